@@ -5,16 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import decontaminate, language, packing, simhash, toxicity
+from .common import fold, table
+
+
+def tokenizer() -> str:
+    """The tokenizer file that the packing query is to use; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(fold() != 0))
+    found = language.label(docs, model)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold() != 0).select("doc_id", F.col("toxic").alias("label")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each leak: ``doc_id, item_id`` and how much of the item the tiles cover."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "covered_tokens", "item_tokens", F.size("tiles").alias("n_tiles"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {}
