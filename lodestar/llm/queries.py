@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, simhash, toxicity
+from . import decontaminate, language, packing, pii, simhash, toxicity
 from .common import fold, table
 
 
@@ -40,6 +40,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each leak: ``doc_id, item_id`` and how much of the item the tiles cover."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {}
