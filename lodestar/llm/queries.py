@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, pii, simhash, toxicity
+from . import decontaminate, language, packing, pii, secrets, simhash, toxicity
 from .common import fold, table
 
 
@@ -50,6 +50,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "covered_tokens", "item_tokens", F.size("tiles").alias("n_tiles"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
@@ -57,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
