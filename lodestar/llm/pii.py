@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import unused
 
 KINDS = ["email", "ip", "card", "phone"]
 EXTRA = ["iban"]
@@ -119,7 +120,7 @@ def find(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
     repeat are treated alike.
     """
     names = KINDS + EXTRA
-    free = next(p for p in (f"_{i}_" for i in range(10_000)) if not any(c.startswith(p) for c in docs.columns))
+    free = unused(docs, "pii")
     guards = _guards(F.col(text))
     found = S.find(docs, text, {k: (PATTERNS[k], guards[k]) for k in names}, free)
     keep, score = ({k: partial(f, k) for k in names} for f in (_keep, _score))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, pii, secrets, simhash, toxicity
+from . import decontaminate, language, packing, pii, secrets, simhash, toxicity, urls
 from .common import fold, table
 
 
@@ -18,6 +18,35 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: op1_urls: host rules by length, else the pattern rules, both written out.
+OP1_SQL = """
+WITH split AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, url, rest, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw FROM split
+), parts AS (
+  SELECT page_id, url,
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM hosts
+), rules(verdict, r_host, r_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT page_id, r_host || r_path AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC) AS rank
+  FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule,
+  coalesce(f.verdict, CASE WHEN regexp_matches(lower(p.url),
+    '://([^/?#]*\\.)?(spam-farm|cheap-pills)\\.|://([^/?#]*[.-])?(casino|free-money|replica-watches|payday-loans|adult|xxx)[.-]|://([^/?#]*\\.)?doubleclick\\.net([:/?#]|$)|[?&;](phpsessid|jsessionid)=')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.rank = 1
+"""
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(fold() != 0))
@@ -55,6 +84,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": op1_urls,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
@@ -63,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_urls": OP1_SQL}

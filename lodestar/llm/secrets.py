@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut
+from .common import cut, small, unused
 
 # The rules.  Each has a pattern that reads alike in Java and Python, and, where
 # a match must pass a test, the least length of what group 1 (the whole match if 0) holds.
@@ -37,7 +37,6 @@ EXTRA = {
 }
 RULES = BASE | EXTRA
 MARK = "[SECRET]"
-BROADCAST_ROWS = 100_000  # candidates up to this number go to all machines (some MB), more are joined by a shuffle
 STRINGS = 64  # a part of a pattern with more readings than this counts as anything
 
 
@@ -127,10 +126,8 @@ def find(docs: DataFrame, to: str = "secrets", rules: dict[str, tuple[str, int,
     own text.  Other columns stay as they are, whatever their names.
     """
     found = cut(candidates(index(docs.select("doc_id", "text"), rules), rules))
-    free = next(p for p in (f"_{i}_" for i in range(10_000)) if not any(c.startswith(p) for c in docs.columns))
-    right = found.select(F.col("doc_id").alias(f"{free}id"), F.col("may").alias(f"{free}may"))
-    if found.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
+    free = unused(docs, "secret")
+    right = small(found.select(F.col("doc_id").alias(f"{free}id"), F.col("may").alias(f"{free}may")))
     full = [r for r, (p, _, _) in rules.items() if not trigram_query(p)]
     df = docs.join(right, docs["doc_id"].eqNullSafe(right[f"{free}id"]), "left")
     may = {r: F.lit(True) if r in full else F.coalesce(F.array_contains(f"{free}may", r), F.lit(False)) for r in rules}
@@ -146,7 +143,7 @@ def _long(rule: str, rules: dict[str, tuple[str, int, int]], x: Column) -> Colum
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; ``n_chars``, if there, is counted anew."""
-    free = next(p for p in (f"_found{i}" for i in range(10_000)) if p not in docs.columns)
+    free = unused(docs, "found")
     made = find(docs, free)
     made = made.withColumn("text", S.redacted(F.col("text"), F.col(free), mark))
     if "n_chars" in docs.columns:

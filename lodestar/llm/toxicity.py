@@ -107,20 +107,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
     return Model(slot, weights, float(fitted.intercept), bits, orders)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``toxicity`` (0 to 1) to every row of ``docs``; only ``text`` is read.
+def score(docs: DataFrame, model: Model, to: str = "toxicity") -> DataFrame:
+    """Add ``to`` (0 to 1) to every row of ``docs``, in place of a column of that name; only ``text`` is read.
 
     A null text counts as empty and gets what the model gives an empty text.
     """
     held = docs.sparkSession.sparkContext.broadcast(vars(model))  # its size is fixed by ``bits`` and ``features``
-    field = "toxicity double"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "toxicity"), field])
-    docs = docs.drop("toxicity")
+    docs = docs.drop(to)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{to}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**held.value)
         for batch in chain.from_iterable(slices(b, "text") for b in batches):
             scores = pa.array([model.score(x.as_py()) for x in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, to])
 
     return docs.mapInArrow(run, schema)
