@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, pii, secrets, simhash, suffixes, toxicity, urls
+from . import decontaminate, language, media, packing, pii, secrets, simhash, suffixes, toxicity, urls
 from .common import fold, table
 
 
@@ -47,6 +47,12 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.rank = 1
 """
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copies among pictures that are made from the pages (the tables have no images)."""
+    found = media.copies(media.pictures(table(spark, sf_dir, "pages").select("page_id", "html")))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(fold() != 0))
@@ -89,6 +95,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
+    "op2_media": op2_media,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
