@@ -56,15 +56,16 @@ class Model:
     def score(self, text: str | None) -> float:
         has = np.zeros(len(self.weights), bool)
         has[self.slot[buckets(text, self.bits, self.orders)]] = True
-        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[has].sum(), -500, 500))))
+        with np.errstate(over="ignore"):
+            return float(1 / (1 + np.exp(-(self.intercept + self.weights[has].sum()))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = SMOOTH) -> Model:
     """Fit on ``docs`` (``doc_id, text``) joined with ``labels`` (``doc_id, label`` of 0 or 1).
 
     Rows with a null id or label are left out; an id that has both labels counts as 1.  With
-    rows of one class only, or none, the model gives every text the share of toxic rows (0
-    for none).
+    rows of one class only the model gives every text the score of that class, and 0 with no
+    rows.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
