@@ -6,17 +6,17 @@ no group grows with the corpus.  In a group the pieces go, longest first, into t
 bin with room.  The bins are the leaves of a tournament tree whose inner nodes hold the
 largest room below, so finding that bin takes log2(bins) steps.
 
-Tokenising is exact and one pass.  White space in front of a word belongs to the word in
-byte-level BPE, so a text may be split at each space that has no white space beside it and
-the parts' ids are the text's ids; parts repeat, so their ids are kept (a bounded table).
+Texts are tokenised once: where a document is cut does not depend on how it is packed, so
+the pass that tokenises it also makes the pieces' checksums, and no ids are shuffled.
 """
 
 from __future__ import annotations
 
-import re
+import contextlib
+import json
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,57 +24,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut
 
 SIZE = 1024
 END = 0
 GROUP = 8192
-KEPT = 300_000
+# Fixed value: how byte-level BPE cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Ids:
-    """Token ids of texts, by a tokenizers file with a byte-level BPE; ``kept`` bounds the table of words."""
+    """Token ids of texts, by a file of the tokenizers library.
 
-    def __init__(self, file: str, kept: int = KEPT) -> None:
+    A byte-level BPE whose merges are in the order of its ids is handed to tiktoken, which
+    gives the same ids several times faster; any other model runs as it is.
+    """
+
+    def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        self.model, self.kept, self.table = Tokenizer.from_file(file), kept, {}
+        self.model, self.fast = Tokenizer.from_file(file), None
         self.model.encode_special_tokens = True
-        self.beside, self.between = re.compile(r" (?=\s)|(?<=\s) "), re.compile(r"(?<!\s) (?!\s)")
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = []
-        for text in texts:
-            first, *rest = self.between.split(text) if self.beside.search(text) else text.split(" ")
-            words.append([first, *map(" ".__add__, rest)] if text else [])
-        new = list(set(chain.from_iterable(words)).difference(self.table))
-        if len(self.table) + len(new) > self.kept:
-            self.table.clear()
-            new = list(set(chain.from_iterable(words)))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.table.update(zip(part, (x.ids for x in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.table.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(get, w)), np.uint32) for w in words]
-        for w in new:
-            if len(w) > 100:
-                del self.table[w]
-        return out
+        spec = json.loads(self.model.to_str())
+        if ranks := byte_ranks(spec):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast:
+            with contextlib.suppress(BaseException):  # its regular expressions give up on endless white space
+                return np.array(self.fast(text), "<u4")
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes to id for a byte-level BPE that tiktoken can run, else None."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not spec["normalizer"] and not model.get("dropout") and not model.get("ignore_merges") and not model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or not plain:
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, the others for 256 on
+    other = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    special = {x["id"] for x in spec["added_tokens"]}
+    ranks = {t: i for t, i in ranks.items() if i not in special}
+    in_order = None not in made and made == sorted(made) and len(ranks) == 256 + len(made)
+    return ranks if in_order else None
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """The cut documents: ``doc_id, start, length, ids_crc32, doc_tokens``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         ids_of = Ids(tokenizer)
-        for batch in chain.from_iterable(slices(b, "text") for b in batches):
+        for batch in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of([x or "" for x in batch.column(1).to_pylist()]), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc_id, ids = doc_id.as_py(), np.append(ids_of(text.as_py() or ""), np.array([end], "<u4"))
                 out += ((doc_id, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size]), len(ids)) for at in range(0, len(ids), size))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
