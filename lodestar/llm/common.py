@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, small, stored, table
 
-BROADCAST_ROWS = 200_000  # of a few short columns: some MB
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which all machines share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may lack it: it
-    gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to a new path in the checkpoint folder and read it again."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows; ``df`` should be cut or stored."""
-    return F.broadcast(df) if df.count() <= rows else df
+__all__ = ["cut", "fold", "slices", "small", "stored", "table", "unused"]
 
 
 def unused(df: DataFrame, stem: str) -> str:
