@@ -17,10 +17,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
 
 
+def _let(value: Column, f) -> Column:  # noqa: ANN001
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalised(v: Column) -> Column:
     """Length one; the zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scale = lambda s: F.transform(s["v"], lambda x: x / F.when(s["n"] > 0, s["n"]).otherwise(F.lit(1.0)))
+    return _let(v, lambda w: _let(F.named_struct(F.lit("v"), w, F.lit("n"), norm(w)), lambda s: scale(s)))
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -44,7 +49,15 @@ def token_counts(df: DataFrame, keys: list[str], text: str, size: int = DEFAULT.
 
 
 def hashed(text: Column, size: int = DEFAULT.embedding_size) -> Column:
-    """The same vector as an array, made in one expression."""
+    """The same vector as an array in one expression, for short texts."""
     at = F.transform(tokens(F.lower(text)), lambda w: bucket(w, size))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    return normalised(counts)
+    add = lambda acc, b: F.transform(acc, lambda v, i: F.when(i == b, v + 1).otherwise(v))
+    return normalised(F.aggregate(at, F.array_repeat(F.lit(0.0), size), add))
+
+
+def embedded(df: DataFrame, key: str, text: str, size: int = DEFAULT.embedding_size) -> DataFrame:
+    """``key, embedding`` for each row, for long texts; texts without a token get the zero vector."""
+    parts = token_counts(df, [key], text, size).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    made = df.select(key).join(parts.select(key, at.alias("embedding")), key, "left")
+    return made.select(key, F.coalesce("embedding", F.array_repeat(F.lit(0.0), size)).alias("embedding"))

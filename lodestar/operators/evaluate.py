@@ -27,7 +27,7 @@ def token_f1(pairs: DataFrame) -> DataFrame:
 
 def _by_sentence(pairs: DataFrame, answer: str, against: str) -> DataFrame:
     """Each sentence of the answer with its best similarity to the texts it is held against."""
-    rows = pairs.select("qid", F.transform(F.col(against), hashed).alias("against"), F.posexplode(sentences(F.col(answer))).alias("pos", "sentence"))
+    rows = pairs.select("qid", F.transform(F.col(against), lambda x: hashed(x)).alias("against"), F.posexplode(sentences(F.col(answer))).alias("pos", "sentence"))
     rows = rows.withColumn("v", hashed(F.col("sentence")))
     return rows.select("qid", "pos", F.array_max(F.transform("against", lambda a: dot(F.col("v"), a))).alias("similarity"))
 
@@ -46,7 +46,7 @@ def faithfulness(pairs: DataFrame, config: Config = DEFAULT, split: bool = False
     of the best ones.  Both are null for refusals and without retrieved texts.  ``split``
     compares with the sentences of the texts instead of the texts.
     """
-    texts = F.flatten(F.transform("retrieved", sentences)) if split else F.col("retrieved")
+    texts = F.flatten(F.transform("retrieved", lambda x: sentences(x))) if split else F.col("retrieved")
     usable = pairs.where(~is_refusal(F.col("prediction")) & (F.size(F.coalesce("retrieved", F.array().cast("array<string>"))) > 0)).withColumn("texts", texts)
     best = _by_sentence(usable, "prediction", "texts")
     scores = best.groupBy("qid").agg(F.avg((F.round("similarity", 9) >= config.faithful_similarity).cast("double")).alias("faithfulness_hard"), F.avg("similarity").alias("faithfulness_soft"))

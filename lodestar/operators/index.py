@@ -48,7 +48,7 @@ def single_hop_samples(index: DataFrame, chunks: DataFrame, n: int, least: int =
     """``n`` chunks with entities and a length within bounds, by draw."""
     named = index.select("doc_id", "chunk_idx").distinct()
     fit = chunks.where(F.length("text").between(least, most)).join(named, ["doc_id", "chunk_idx"], "left_semi")
-    return fit.withColumn("draw", draw("doc_id", "chunk_idx", config=config)).orderBy("draw").limit(n).select("doc_id", "chunk_idx", F.length("text").alias("n_chars"))
+    return fit.withColumn("draw", draw("doc_id", "chunk_idx", config=config)).orderBy("draw").limit(n).select("doc_id", "chunk_idx", F.length("text").cast("long").alias("n_chars"))
 
 
 def first_docs(index: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
@@ -76,8 +76,8 @@ def chains(index: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFrame
     cols = ["doc_1"]
     for k in range(2, n_docs + 1):
         near = made.join(names, "last").join(first, "entity")
-        for c in cols:
-            near = near.where(F.col("next") != F.col(c))
+        for j in range(1, k):
+            near = near.where(F.col("next") != F.col(f"doc_{j}"))
         best = F.min(F.struct("draw", "entity", "next")).alias("b")
         made = near.groupBy(*cols).agg(best).select(*cols, F.col("b.entity").alias(f"bridge_{k - 1}"), F.col("b.next").alias(f"doc_{k}"), F.col("b.next").alias("last"))
         cols += [f"bridge_{k - 1}", f"doc_{k}"]

@@ -26,8 +26,8 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK
     )
     q, i = deal(queries, "qid", "qb", "ib", n_q, n_i), deal(items, "item_id", "ib", "qb", n_i, n_q)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        out, left, right = [], part[part["side"] == 0], part[part["side"] == 1]
         if len(left) and len(right):
             right = right.sort_values("id", ignore_index=True)
             ids, matrix = right["id"].to_numpy(), np.stack(right["embedding"].to_numpy())
@@ -43,7 +43,8 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK
         found = pd.concat(out) if out else pd.DataFrame({"qid": [], "item_id": [], "similarity": []}).astype({"qid": "int64", "item_id": "int64", "similarity": "float64"})
         return found[found["similarity"] > -np.inf]
 
-    found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, "qid long, item_id long, similarity double")
+    sides = q.withColumn("side", F.lit(0)).unionByName(i.withColumn("side", F.lit(1)))
+    found = sides.groupBy("qb", "ib").applyInPandas(best, "qid long, item_id long, similarity double")
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -11,7 +11,7 @@ from ..operators import search
 from ..storage import table
 from . import query
 
-CHUNKS = r"""tok AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), x -> x <> '') AS t FROM documents),
+CHUNKS = r"""tok AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS t FROM documents),
 starts AS (SELECT doc_id, t, unnest(range(0, len(t), 412)) AS s FROM tok WHERE len(t) > 0),
 chunks AS (SELECT doc_id, (s // 412)::INTEGER AS chunk_idx, array_to_string(t[s + 1 : s + 512], ' ') AS text FROM starts)"""
 #: Documents of one language are one question's passages, in order of their ids.
@@ -51,7 +51,7 @@ def context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x)), x -> x <> '') AS s FROM documents),
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
 x AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM s)
 SELECT doc_id, pos::INTEGER AS pos, md5(sentence) AS sentence_md5 FROM x"""
 )
@@ -175,7 +175,7 @@ def refusal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_refusal(F.col("text")).alias("refusal"))
 
 
-@query("SELECT doc_id, source || '_' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR)), '0') AS query_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
+@query("SELECT doc_id, source || '_' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') AS query_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return _docs(spark, sf_dir).select("doc_id", "source", n.alias("n")).select("doc_id", T.query_id(F.col("source"), F.col("n")).alias("query_id"))

@@ -110,7 +110,7 @@ def top_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(trim(lower(text)), '\s+'), x -> x <> '')) AS w FROM documents),
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(trim(lower(text)), '\s+'), lambda x: x <> '')) AS w FROM documents),
 b AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 64)::INTEGER AS bucket, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM b"""
 )
