@@ -45,7 +45,7 @@ SENTENCE_END = "\u0001"
 def sentences(text: Column) -> Column:
     """Sentences end with . ! or ? before white space; they are stripped, blank ones dropped."""
     parts = F.split(F.regexp_replace(text, r"([.!?])\s+", f"$1{SENTENCE_END}"), SENTENCE_END)
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_refusal(answer: Column) -> Column:

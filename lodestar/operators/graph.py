@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import capitalised, valid_name
-from ..storage import cut
+from ..storage import cut, together
 
 
 def extract(chunks: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float = DEF
     for n in range(1, rounds + 1):
         flow = scores.join(links.withColumnRenamed("src", "node"), "node").select("qid", F.col("dst").alias("node"), (alpha * F.col("score") / F.col("degree")).alias("part"))
         back = start.select("qid", "node", ((1 - alpha) * F.col("share")).alias("part"))
-        new = flow.unionByName(back).groupBy("qid", "node").agg(F.sum("part").alias("score"))
+        new = together(flow, back).groupBy("qid", "node").agg(F.sum("part").alias("score"))
         if n % every == 0 or tolerance is not None:
             new = cut(new)
         if tolerance is not None:
@@ -100,7 +100,7 @@ def ppr_subgraph(scores: DataFrame, seeds: DataFrame, config: Config = DEFAULT)
     """``qid, node``: the best nodes with at least the least score, and all seeds of the question."""
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "node")
     top = scores.where(F.col("score") >= config.ppr_min_score).withColumn("r", F.row_number().over(order)).where(F.col("r") <= config.ppr_nodes)
-    return top.select("qid", "node").union(seeds.select("qid", "node")).distinct()
+    return together(top.select("qid", "node"), seeds.select("qid", "node")).distinct()
 
 
 def within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
@@ -110,7 +110,7 @@ def within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     for d in range(1, depth + 1):
         edge = seen.where(F.col("hops") == d - 1).join(both.withColumnRenamed("src", "node"), "node")
         new = edge.select("qid", F.col("dst").alias("node"), F.lit(d).alias("hops")).distinct()
-        seen = seen.unionByName(new).groupBy("qid", "node").agg(F.min("hops").alias("hops"))
+        seen = together(seen, new).groupBy("qid", "node").agg(F.min("hops").alias("hops"))
     return seen
 
 
@@ -128,7 +128,7 @@ def sources(stated: DataFrame, triplets: DataFrame) -> DataFrame:
     triplet matches, as the graph has none.
     """
     turned = stated.select("qid", F.col("object").alias("subject"), "relation", F.col("subject").alias("object"), "similarity")
-    found = stated.unionByName(turned).distinct().join(triplets, ["subject", "relation", "object"])
+    found = together(stated, turned).distinct().join(triplets, ["subject", "relation", "object"])
     best = found.groupBy("qid", "doc_id", "chunk_idx").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "doc_id", "chunk_idx")
     return best.withColumn("pos", F.row_number().over(order))
@@ -209,7 +209,7 @@ def path_metrics(edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
         front = cut(step.join(seen, ["src", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front.withColumn("d", F.lit(d))))
+        seen = cut(together(seen, front.withColumn("d", F.lit(d))))
     return seen.where("d > 0").agg(F.round(F.avg("d"), 4).alias("avg_path"), F.max("d").cast("long").alias("diameter"), F.lit(top["n"]).cast("long").alias("n_nodes"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..storage import together
 
 
 def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def interleave(first: DataFrame, second: DataFrame) -> DataFrame:
     """
     both = first.select("qid").distinct().join(second.select("qid").distinct(), "qid")
     place = lambda df, k: df.select("qid", (2 * F.col("pos") + k).alias("pos"), "doc_id", "chunk_idx", "text")
-    rows = place(first, 0).unionByName(place(second, 1)).join(both, "qid").where("text <> ''")
+    rows = together(place(first, 0), place(second, 1)).join(both, "qid").where("text <> ''")
     key = F.when(F.col("doc_id").isNotNull(), F.concat_ws(":", "doc_id", "chunk_idx")).otherwise(F.md5("text"))
     seen = F.row_number().over(Window.partitionBy("qid", "key").orderBy("pos"))
     return rows.withColumn("key", key).withColumn("seen", seen).where("seen = 1").drop("key", "seen")
@@ -28,7 +29,7 @@ def add_round(held: DataFrame, found: DataFrame) -> DataFrame:
     Repeats inside ``found`` stay, and passages without a document never block others.
     """
     new = found.join(held.select("qid", "doc_id", "chunk_idx").distinct(), ["qid", "doc_id", "chunk_idx"], "left_anti")
-    return held.unionByName(new.select(held.columns))
+    return together(held, new.select(held.columns))
 
 
 def rounds(turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -68,5 +69,5 @@ def next_number(ids: DataFrame) -> DataFrame:
 
 def latest_types(old: DataFrame, new: DataFrame) -> DataFrame:
     """``qid, scheme, type``: what is new wins, by question and scheme."""
-    rows = old.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
+    rows = together(old.withColumn("age", F.lit(1)), new.withColumn("age", F.lit(0)))
     return rows.groupBy("qid", "scheme").agg(F.min_by("type", "age").alias("type"))

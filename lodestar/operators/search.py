@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..storage import together
 
 BLOCK = 2048  # vectors on each side of a block
 
@@ -43,7 +44,7 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK
         found = pd.concat(out) if out else pd.DataFrame({"qid": [], "item_id": [], "similarity": []}).astype({"qid": "int64", "item_id": "int64", "similarity": "float64"})
         return found[found["similarity"] > -np.inf]
 
-    sides = q.withColumn("side", F.lit(0)).unionByName(i.withColumn("side", F.lit(1)))
+    sides = together(q.withColumn("side", F.lit(0)), i.withColumn("side", F.lit(1)))
     found = sides.groupBy("qb", "ib").applyInPandas(best, "qid long, item_id long, similarity double")
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANY = 1_000_000
 BROADCAST_ROWS = 200_000  # of a few short columns: some MB
 
 
@@ -31,9 +32,14 @@ def folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy."""
+    """Write ``df`` to the checkpoint folder and go on from the written copy.
+
+    A checkpoint goes on claiming the partitioning of the plan that made it, which adaptive
+    execution may have changed since, and joins would trust the claim.  A coalesce to more
+    partitions than there are moves nothing and claims nothing.
+    """
     folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).coalesce(MANY)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(first: DataFrame, second: DataFrame) -> DataFrame:
+    """All rows of both, by column name, without a claim on how they are dealt.
+
+    A union of two tables dealt by the same key claims that key's partitioning, which adaptive
+    execution may not keep; see ``cut``.
+    """
+    return first.unionByName(second).coalesce(MANY)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows; ``df`` should be cut or stored."""
     return F.broadcast(df) if df.count() <= rows else df

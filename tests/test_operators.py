@@ -1,0 +1,237 @@
+"""Operators on rows written out, and against plain Python."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar import schemas
+from lodestar.config import Config
+from lodestar.functions import parsing, prompts, text, vectors
+from lodestar.operators import evaluate, graph, index, merge, search, strategies, validate
+from lodestar.sources import readers, writers
+from lodestar.streaming import ingest
+
+
+def one(spark, column, **values):
+    frame = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)) if values else spark.range(1)
+    return frame.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 412, 413, 512, 513, 924, 925])
+def test_chunks(spark, n):
+    words = [f"w{i}" for i in range(n)]
+    found = text.chunks(spark.createDataFrame([(1, " ".join(words)), (2, None)], "doc_id long, text string")).orderBy("chunk_idx").collect()
+    assert [r["text"] for r in found] == [" ".join(words[s : s + 512]) for s in range(0, n, 412)]
+
+
+def test_budget_is_the_prefix_rule(spark):
+    rnd = random.Random(1)
+    rows = [(q, p, "x" * rnd.randrange(60)) for q in range(20) for p in range(rnd.randrange(12))]
+    config = Config(context_tokens=40)
+    found = search.token_budget(spark.createDataFrame(rows, "qid int, pos int, text string"), "qid", config)
+    want = []
+    for q in range(20):
+        used = 0
+        for _, p, t in (r for r in rows if r[0] == q):
+            used += len(t) // 4
+            if used > 40:
+                break
+            want.append((q, p))
+    assert sorted((r["qid"], r["pos"]) for r in found.collect()) == want
+
+
+def test_parsing(spark):
+    fenced = '```json\n[["a","b","c"],["a","b"],["x","y","z","w"]]\n```'
+    assert one(spark, parsing.triplets(F.col("c")), c=fenced) == [["a", "b", "c"]]
+    assert one(spark, parsing.triplets(F.col("c")), c='"abc"') == [] and one(spark, parsing.triplets(F.col("c")), c="nothing") == []
+    assert one(spark, parsing.judge_label(F.col("c")), c='{"label": "Correct"}') == "correct"
+    assert one(spark, parsing.judge_label(F.col("c")), c="?") == "incomplete"
+    assert one(spark, parsing.evaluation(F.col("c")), c="{")["sufficient"] is False
+    assert one(spark, parsing.question_type(F.col("c")), c="so: complex_reasoning, or fact_retrieval") == "fact_retrieval"
+
+
+@pytest.mark.parametrize(("answer", "refusal"), [(None, True), ("", True), ("I Cannot Answer it", True), ("yes", False)])
+def test_refusals(spark, answer, refusal):
+    assert spark.createDataFrame([(answer,)], "a string").select(text.is_refusal(F.col("a")).alias("x")).first()["x"] is refusal
+
+
+def test_sentences_and_ids(spark):
+    assert one(spark, text.sentences(F.col("t")), t=" A b.  C d! E?  ") == ["A b.", "C d!", "E?"]
+    assert one(spark, text.query_id(F.lit("multi_hop"), F.lit(7))) == "multi_hop_0007"
+    assert one(spark, text.query_id(F.lit("x"), F.lit(12345))) == "x_12345"
+
+
+def test_prompts(spark):
+    made = one(spark, prompts.sufficient(F.col("q"), F.lit("a"), F.col("c")), q="why", c="z" * 3000)
+    assert [m["role"] for m in made] == ["system", "user"] and made[1]["content"].count("z") == prompts.CONTEXT_CHARS
+    assert "Hops: 1" in one(spark, prompts.two_hop(F.lit("a"), F.lit("b"), F.lit("e")))[1]["content"]
+
+
+def test_vectors(spark):
+    same = one(spark, vectors.normalised(F.array(F.lit(3.0), F.lit(4.0))))
+    assert same == [0.6, 0.8] and one(spark, vectors.normalised(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
+    assert one(spark, vectors.similarity(F.array(F.lit(0.0)), F.array(F.lit(2.0)), "euclidean")) == -2.0
+    frame = spark.createDataFrame([(1, "a b b"), (2, ""), (3, None)], "k int, t string")
+    array = {r["k"]: r["v"] for r in frame.select("k", vectors.hashed(F.col("t")).alias("v")).collect()}
+    rows = {r["k"]: r["embedding"] for r in vectors.embedded(frame, "k", "t").collect()}
+    assert array[1] == pytest.approx(rows[1]) and sum(rows[2]) == sum(rows[3]) == 0 and len(rows[3]) == 64
+
+
+def test_blocks_do_not_change_the_search(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(100, [1.0] * 8), (101, [1.0] * 8)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    queries = items.where("item_id % 7 = 0 or item_id > 99").withColumnRenamed("item_id", "qid")
+    for skip in (False, True):
+        found = search.block_top_k(queries, items, 4, block=9, skip_self=skip).collect()
+        dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+        want = []
+        for q, v in rows:
+            if q % 7 == 0 or q > 99:
+                best = sorted(((-round(dot(v, w), 9), i) for i, w in rows if not (skip and i == q)))[:4]
+                want += [(q, i, k + 1) for k, (_, i) in enumerate(best)]
+        assert sorted((r["qid"], r["item_id"], r["rank"]) for r in found) == sorted(want)
+
+
+def test_thresholds(spark):
+    found = spark.createDataFrame([(1, 0.3), (1, 0.5), (1, 0.7)], "qid int, similarity double")
+    assert [r["similarity"] for r in search.thresholded(found, "intent").collect()] == [0.5, 0.7]
+    assert [r["similarity"] for r in search.thresholded(found, "compat").collect()] == [0.3, 0.5]
+
+
+def test_interleave_is_the_loop(spark):
+    rnd = random.Random(2)
+    of = lambda: [(q, p, rnd.choice([None, 1, 2, 3]), 0, rnd.choice(["", "a", "b", "c"])) for q in range(15) for p in range(rnd.randrange(1, 6))]
+    a, b = of(), of()
+    schema = "qid int, pos int, doc_id long, chunk_idx int, text string"
+    found = merge.interleave(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()
+    want = []
+    for q in range(15):
+        left, right, seen = [r for r in a if r[0] == q], [r for r in b if r[0] == q], set()
+        for i in range(max(len(left), len(right))):
+            for k, rows in enumerate((left, right)):
+                if i < len(rows) and rows[i][4]:
+                    key = rows[i][2:4] if rows[i][2] is not None else rows[i][4]
+                    if key not in seen:
+                        seen.add(key)
+                        want.append((q, 2 * i + k, *rows[i][2:]))
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
+def test_components_and_paths(spark):
+    rnd = random.Random(5)
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(40)] + [(f"b{rnd.randrange(9)}", f"b{rnd.randrange(9)}") for _ in range(12)]
+    found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert {found[f"a{i}"] for i in range(41)} == {"a0"} and all(found[x] == found[y] for x, y in pairs)
+    line = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
+    row = graph.path_metrics(line).first()
+    assert (row["avg_path"], row["diameter"], row["n_nodes"]) == (1.6667, 3, 4)
+    assert graph.path_metrics(line, Config(path_nodes=3)).first()["avg_path"] == -1.0
+    assert graph.path_metrics(line.limit(0)).first()["n_nodes"] == 0
+
+
+def test_pagerank_converges_and_keeps_its_mass(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    seeds = spark.createDataFrame([(1, "a", 2.0), (1, "zz", 1.0), (2, "d", 1.0)], "qid int, node string, weight double")
+    got = {(r["qid"], r["node"]): r["score"] for r in graph.pagerank(edges, seeds, 100, tolerance=1e-6).collect()}
+    near = {"a": "bc", "b": "ac", "c": "abd", "d": "c"}
+    for q, start in ((1, "a"), (2, "d")):
+        x = {n: float(n == start) for n in near}
+        for _ in range(200):
+            x = {n: 0.15 * (n == start) + 0.85 * sum(x[m] / len(near[m]) for m in near[n]) for n in near}
+        assert {n: got[q, n] for n in near} == pytest.approx(x, abs=1e-5)
+
+
+def test_numbers_follow_the_names(spark):
+    names = [f"n{i:03d}" for i in random.Random(1).sample(range(900), 300)]
+    found = graph.numbered(spark.createDataFrame([(n,) for n in names], "entity string")).orderBy("entity_id").collect()
+    assert [(r["entity_id"], r["entity"]) for r in found] == list(enumerate(sorted(names)))
+
+
+def test_collapsed_edges_and_sources(spark):
+    rows = [("a", "r1", "b", 1, 0, "t", 0), ("b", "r2", "a", 2, 0, "t", 0), ("a", "r1", "a", 3, 0, "t", 0), (" ", "r", "b", 4, 0, "t", 0), (None, "r", "b", 5, 0, "t", 0)]
+    stated = spark.createDataFrame(rows, schemas.TRIPLETS)
+    kept = graph.valid(stated)
+    assert kept.count() == 3
+    assert sorted(map(tuple, graph.collapsed(kept, ["doc_id"]).collect())) == [("a", "a", "r1", 3), ("a", "b", "r2", 2)]
+    asked = spark.createDataFrame([(7, "b", "r1", "a", 0.5)], "qid int, subject string, relation string, object string, similarity double")
+    assert [(r["doc_id"], r["similarity"]) for r in graph.sources(asked, kept).collect()] == [(1, 0.5)]
+
+
+def test_chains_have_different_documents(spark):
+    rnd = random.Random(4)
+    rows = list({(f"e{rnd.randrange(6)}", rnd.randrange(12), 0) for _ in range(40)})
+    found = index.chains(spark.createDataFrame(rows, "entity string, doc_id long, chunk_idx int"), 3).collect()
+    held = {(e, d) for e, d, _ in rows}
+    for r in found:
+        assert len({r["doc_1"], r["doc_2"], r["doc_3"]}) == 3
+        assert {(r["bridge_1"], r["doc_1"]), (r["bridge_1"], r["doc_2"]), (r["bridge_2"], r["doc_2"]), (r["bridge_2"], r["doc_3"])} <= held
+    assert len({frozenset((r["doc_1"], r["doc_2"], r["doc_3"])) for r in found}) == len(found) > 0
+
+
+def test_scores(spark):
+    rows = [("1", "a b c", "A b d. x", ["a b d"]), ("2", "a", "I cannot answer", ["a"]), ("3", "a", "a", [])]
+    pairs = spark.createDataFrame(rows, "qid string, reference string, prediction string, retrieved array<string>")
+    got = {r["qid"]: r for r in evaluate.all_metrics(pairs).collect()}
+    assert got["2"]["semantic_f1"] == got["2"]["coverage"] == 0 and got["2"]["faithfulness_hard"] is None and got["2"]["llm_label"] == "incomplete"
+    assert got["3"]["semantic_f1"] == 1 and got["3"]["faithfulness_soft"] is None and got["3"]["llm_label"] == "correct"
+    assert 0 < got["1"]["faithfulness_soft"] <= 1
+    assert evaluate.summary(evaluate.all_metrics(pairs)).first()["n"] == 3
+
+
+def test_equal_vectors(spark):
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(12)], "item_id long, embedding array<double>")
+    assert evaluate.two_nn(same).first()["intrinsic_dimension"] is None
+    assert evaluate.two_nn(same.limit(2)).first()["valid_samples"] == 0
+
+
+def test_validation(spark):
+    leaks = validate.leaks(spark.createDataFrame([(1, "who is Ann", " ann ", True), (2, "x", "", False), (3, "x", "y", False)], "id int, question string, answer string, llm_knows boolean"))
+    assert [r["leak_type"] for r in leaks.orderBy("id").collect()] == ["both", "exact_match", "none"]
+    seen = validate.shortcuts(spark.createDataFrame([(1, "z", "a z"), (1, "z", "b"), (2, "q", "b")], "id int, answer string, text string"))
+    assert {r["id"]: r["passed"] for r in seen.collect()} == {1: False, 2: True}
+
+
+def test_files(spark, tmp_path):
+    lines = [{"id": 1, "title": "T", "context": "c one"}, {"id": 1, "text": "later"}, {"doc_id": 2, "content": "two"}, {"id": 3}]
+    (tmp_path / "lines.json").write_text("\n\n".join(map(json.dumps, lines)))
+    (tmp_path / "array.json").write_text(json.dumps(lines))
+    for name in ("lines.json", "array.json"):
+        assert {r["doc_id"]: r["text"] for r in readers.read_corpus(spark, str(tmp_path / name)).collect()} == {1: "later", 2: "two"}
+    (tmp_path / "triplets.json").write_text(json.dumps({"a|||r|||b": [{"doc_id": 1, "chunk_idx": 0, "source_text": "t"}, {"doc_id": 2}], "a|||b": [{"doc_id": 3}]}))
+    assert sorted(r["doc_id"] for r in readers.read_triplets(spark, str(tmp_path / "triplets.json")).collect()) == [1, 2]
+    (tmp_path / "types.json").write_text(json.dumps({"1": {"s": "fact_retrieval"}}))
+    assert readers.read_types(spark, str(tmp_path / "types.json")).collect()[0]["type"] == "fact_retrieval"
+    (tmp_path / "answers.json").write_text('{"id": "1", "rag_answer": "", "llm_answer": "x"}\n{"id": "1", "rag_answer": "y", "rounds": 2}\n{"id": "2", "rag_answer": null}')
+    assert {r["qid"]: (r["answer"], r["rounds"]) for r in readers.read_answers(spark, str(tmp_path / "answers.json")).collect()} == {"1": ("y", 2), "2": ("", None)}
+    (tmp_path / "found.json").write_text('{"id": "1", "chunks": [{"text": "a"}]}\n{"id": "2", "history": [{"round": 1, "answer": "b"}]}\n{"id": "3"}')
+    assert {r["qid"]: r["retrieved"] for r in readers.read_retrievals(spark, str(tmp_path / "found.json")).collect()} == {"1": ["a"], "2": ["b"], "3": []}
+    assert writers.place("/r/", "answers", "naive", "m", "d") == "/r/answers/naive/m/d"
+
+
+def test_resuming(spark):
+    asked = spark.createDataFrame([(0, "q"), (1, "q"), (2, ""), (None, "q"), (3, "q")], "qid long, question string")
+    done = spark.createDataFrame([(1, "a"), (3, None)], "qid long, answer string")
+    assert sorted(r["qid"] for r in merge.unanswered(asked, done).collect()) == [0, 3]
+
+
+def test_stream(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    reply = lambda q: q.select("qid", F.upper("question").alias("answer"))
+    for k in range(2):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps({"id": str(i), "question": f"q{i}"}) for i in (0, k, 5)))
+        ingest.answer_stream(ingest.questions(spark, str(folder)), reply, str(out), str(tmp_path / "state")).awaitTermination()
+    assert sorted((r["qid"], r["answer"]) for r in readers.read_answers(spark, str(out)).collect()) == [("0", "Q0"), ("1", "Q1"), ("5", "Q5")]
+    assert spark.read.json(str(out)).count() == 3
+
+
+def test_iterative_answers(spark):
+    asked = spark.createDataFrame([(1, "Where is Anna"), (2, "Nothing here")], "qid long, question string")
+    chunks = spark.createDataFrame([(1, 0, "Anna lives near Bert. Bert sleeps.")], "doc_id long, chunk_idx int, text string")
+    held = index.entity_chunks(graph.extract(chunks))
+    found = {r["qid"]: r for r in strategies.iterative(asked, lambda q: strategies.graph_passages(q, held, chunks, 3)).collect()}
+    assert found[1]["answer"] == "Anna lives near Bert." and found[1]["rounds"] == 1
+    assert "cannot answer" in found[2]["answer"]
