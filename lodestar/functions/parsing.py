@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 JUDGE_LABELS = ["correct", "incorrect", "incomplete"]
-QUESTION_TYPES = ["fact_retrieval", "complex_reasoning", "query_focused"]
+# The question types, in the order in which they are looked for, and the default.
+QUESTION_TYPES = ["distributed", "query_focused", "full_context"]
+DEFAULT_TYPE = "query_focused"
 EVALUATION = "struct<sufficient: boolean, reason: string, sub_question: string>"
 
 
@@ -44,9 +46,9 @@ def says_correct(content: Column) -> Column:
 
 
 def question_type(content: Column, kinds: list[str] = QUESTION_TYPES) -> Column:
-    """The type that is the answer, else the first one in it, else the last of all."""
+    """The type that is the answer, else the first of all that is in it, else the default."""
     low = F.lower(F.trim(content))
     out = F.when(low.isin(*kinds), low)
     for kind in kinds:
         out = out.when(F.contains(low, F.lit(kind)), F.lit(kind))
-    return out.otherwise(F.lit(kinds[-1]))
+    return out.otherwise(F.lit(DEFAULT_TYPE))

@@ -230,6 +230,6 @@ def iterative_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.rounds(turns)
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT qid, len({TOK.format('question')}) AS n FROM pairs) SELECT CASE WHEN n < 12 THEN 'fact_retrieval' WHEN n < 30 THEN 'complex_reasoning' ELSE 'query_focused' END AS type, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH {PAIRS}, t AS (SELECT qid, len({TOK.format('question')}) AS n FROM pairs) SELECT CASE WHEN n < 12 THEN 'distributed' WHEN n < 30 THEN 'full_context' ELSE 'query_focused' END AS type, count(*) AS n FROM t GROUP BY 1")
 def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select(RULES.classify(F.col("question")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))

@@ -74,12 +74,12 @@ def question_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k(type) AS (VALUES ('fact_retrieval'), ('complex_reasoning'), ('query_focused')), t AS (SELECT CASE WHEN turn % 3 = 0 THEN 'fact_retrieval' WHEN turn % 3 = 1 THEN 'complex_reasoning' END AS type FROM conversations)
+    """WITH k(type) AS (VALUES ('distributed'), ('full_context'), ('query_focused')), t AS (SELECT CASE WHEN turn % 3 = 0 THEN 'distributed' WHEN turn % 3 = 1 THEN 'full_context' END AS type FROM conversations)
 SELECT k.type, count(t.type) AS n, round(100.0::DOUBLE * count(t.type) / (SELECT count(*) FROM t), 2) AS pct FROM k LEFT JOIN t ON t.type = k.type GROUP BY k.type"""
 )
 def question_type_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types without a question are listed with zero; questions without a type count in the total."""
-    kind = F.when(F.col("turn") % 3 == 0, F.lit(QUESTION_TYPES[0])).when(F.col("turn") % 3 == 1, F.lit(QUESTION_TYPES[1]))
+    kind = F.when(F.col("turn") % 3 == 0, F.lit(QUESTION_TYPES[0])).when(F.col("turn") % 3 == 1, F.lit(QUESTION_TYPES[2]))
     return validate.type_shares(table(spark, sf_dir, "conversations").select(kind.alias("type")), QUESTION_TYPES)
 
 

@@ -135,11 +135,11 @@ def iterative_evaluation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'fact_retrieval' WHEN 1 THEN 'complex_reasoning' WHEN 2 THEN 'fact_retrieval' ELSE 'query_focused' END AS type FROM events"""
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'distributed' WHEN 1 THEN 'full_context' WHEN 2 THEN 'distributed' ELSE 'query_focused' END AS type FROM events"""
 )
 def question_type_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 5
-    content = F.when(k == 0, F.lit(" Fact_Retrieval ")).when(k == 1, F.lit("it is complex_reasoning.")).when(k == 2, F.lit("complex_reasoning or fact_retrieval")).when(k == 3, F.lit("query_focused")).otherwise(F.lit("unsure"))
+    content = F.when(k == 0, F.lit(" Distributed ")).when(k == 1, F.lit("it is full_context.")).when(k == 2, F.lit("full_context or distributed")).when(k == 3, F.lit("query_focused")).otherwise(F.lit("unsure"))
     return table(spark, sf_dir, "events").select("event_id", parsing.question_type(content).alias("type"))
 
 

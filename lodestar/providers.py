@@ -41,7 +41,7 @@ def rule_judge(expected: Column, answer: Column) -> Column:
 def rule_type(question: Column) -> Column:
     """By the question's length: short ones ask for a fact, long ones for reasoning."""
     n = F.size(tokens(question))
-    return F.when(n < 12, F.lit("fact_retrieval")).when(n < 30, F.lit("complex_reasoning")).otherwise(F.lit("query_focused"))
+    return F.when(n < 12, F.lit("distributed")).when(n < 30, F.lit("full_context")).otherwise(F.lit("query_focused"))
 
 
 @dataclass(frozen=True)

@@ -49,7 +49,7 @@ def test_parsing(spark):
     assert one(spark, parsing.judge_label(F.col("c")), c='{"label": "Correct"}') == "correct"
     assert one(spark, parsing.judge_label(F.col("c")), c="?") == "incomplete"
     assert one(spark, parsing.evaluation(F.col("c")), c="{")["sufficient"] is False
-    assert one(spark, parsing.question_type(F.col("c")), c="so: complex_reasoning, or fact_retrieval") == "fact_retrieval"
+    assert one(spark, parsing.question_type(F.col("c")), c="so: full_context, or distributed") == "distributed"
 
 
 @pytest.mark.parametrize(("answer", "refusal"), [(None, True), ("", True), ("I Cannot Answer it", True), ("yes", False)])
@@ -202,8 +202,8 @@ def test_files(spark, tmp_path):
         assert {r["doc_id"]: r["text"] for r in readers.read_corpus(spark, str(tmp_path / name)).collect()} == {1: "later", 2: "two"}
     (tmp_path / "triplets.json").write_text(json.dumps({"a|||r|||b": [{"doc_id": 1, "chunk_idx": 0, "source_text": "t"}, {"doc_id": 2}], "a|||b": [{"doc_id": 3}]}))
     assert sorted(r["doc_id"] for r in readers.read_triplets(spark, str(tmp_path / "triplets.json")).collect()) == [1, 2]
-    (tmp_path / "types.json").write_text(json.dumps({"1": {"s": "fact_retrieval"}}))
-    assert readers.read_types(spark, str(tmp_path / "types.json")).collect()[0]["type"] == "fact_retrieval"
+    (tmp_path / "types.json").write_text(json.dumps({"1": {"s": "distributed"}}))
+    assert readers.read_types(spark, str(tmp_path / "types.json")).collect()[0]["type"] == "distributed"
     (tmp_path / "answers.json").write_text('{"id": "1", "rag_answer": "", "llm_answer": "x"}\n{"id": "1", "rag_answer": "y", "rounds": 2}\n{"id": "2", "rag_answer": null}')
     assert {r["qid"]: (r["answer"], r["rounds"]) for r in readers.read_answers(spark, str(tmp_path / "answers.json")).collect()} == {"1": ("y", 2), "2": ("", None)}
     (tmp_path / "found.json").write_text('{"id": "1", "chunks": [{"text": "a"}]}\n{"id": "2", "history": [{"round": 1, "answer": "b"}]}\n{"id": "3"}')
