@@ -93,6 +93,37 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+#: op10_secrets: RE2 has no possessive quantifiers, and its (?i) also folds two letters beyond A-Z.
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORDS = "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key")
+_RE2 = {
+    **{kind: pattern.replace("}+", "}") for kind, (pattern, _, _) in secrets.RULES.items()},
+    "assign": rf"""({_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+}
+
+
+def _op10_sql() -> str:
+    quoted = {kind: "'" + pattern.replace("'", "''") + "'" for kind, pattern in _RE2.items()}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gs FROM documents WHERE regexp_matches(text, {p})"
+        for rank, (kind, p) in enumerate(quoted.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    listed = "string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, rank)"
+    return f"""
+WITH found AS ({found}),
+each AS (SELECT doc_id, kind, rank, unnest(ms) AS m, unnest(gs[1 : len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM found),
+placed AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(m) AS start FROM each),
+kept AS (SELECT * FROM placed WHERE kind <> 'assign' OR length(regexp_extract(m, {quoted['assign']}, 2)) >= 12),
+made AS (SELECT doc_id, {counts}, {listed} FILTER (rank < {len(secrets.BASE)}) AS base, {listed} AS spans FROM kept GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN made m ON m.doc_id = d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_media": op2_media,
@@ -105,4 +136,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op1_urls": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_urls": OP1_SQL, "op10_secrets": _op10_sql()}
