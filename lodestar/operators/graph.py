@@ -18,6 +18,24 @@ def extract(chunks: DataFrame) -> DataFrame:
     return rows.select("pair.subject", F.lit("next_to").alias("relation"), "pair.object", "doc_id", "chunk_idx", "source_text", "pos")
 
 
+def attempted(replies: DataFrame) -> DataFrame:
+    """A model's replies (``content``) with ``triplets`` and ``status``: failed where the JSON is broken.
+
+    The failed rows are the queue for another attempt; what fails again stays in it.
+    """
+    from ..functions.parsing import json_of
+    from ..functions.parsing import triplets as parsed
+
+    good = json_of(F.col("content"), "array<array<string>>").isNotNull()
+    return replies.withColumn("triplets", parsed(F.col("content"))).withColumn("status", F.when(good, F.lit("done")).otherwise(F.lit("failed")))
+
+
+def retried(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The first attempt's rows, those that failed replaced by the second attempt's."""
+    again = second.join(first.where("status = 'failed'").select(key), key, "left_semi")
+    return together(first.where("status <> 'failed'"), again.select(first.columns))
+
+
 def valid(triplets: DataFrame) -> DataFrame:
     return triplets.where(valid_name(F.col("subject")) & valid_name(F.col("relation")) & valid_name(F.col("object")))
 

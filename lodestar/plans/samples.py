@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks
-from ..operators import graph, index
+from ..operators import generate, graph, index
 from ..storage import cut, table
 from . import query
 from .texts import CHUNKS
@@ -94,3 +94,37 @@ SELECT entity, n_docs, doc_id, chunk_idx, row_number() OVER (PARTITION BY entity
 )
 def summary_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.summary_clusters(_index(spark, sf_dir), 20).withColumn("place", F.col("place").cast("long"))
+
+
+SINGLE = r"""drawn1 AS (SELECT doc_id, chunk_idx, text, md5('42|' || doc_id || '|' || chunk_idx) AS draw FROM chunks WHERE length(text) BETWEEN 100 AND 2000 AND (doc_id, chunk_idx) IN (SELECT (doc_id, chunk_idx) FROM idx) ORDER BY draw LIMIT 50),
+named AS (SELECT *, regexp_extract_all(text, '[A-Z][a-z]{3,}')[1] AS name, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM drawn1),
+single AS (SELECT doc_id, chunk_idx, text, draw, 'What is said about ' || name || '?' AS question, list_filter(s, lambda x: contains(x, name))[1] AS answer FROM named)"""
+
+
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_chunks(spark, sf_dir))
+    held = index.entity_chunks(graph.valid(graph.extract(rows)))
+    drawn = index.single_hop_samples(held, rows, 50).drop("n_chars").join(rows, ["doc_id", "chunk_idx"])
+    made = generate.single_hop(drawn).withColumn("draw", index.draw("doc_id", "chunk_idx"))
+    return generate.numbered(made, "single_hop", ["draw"])
+
+
+@query(f"WITH {INDEX}, {SINGLE} SELECT 'single_hop_' || lpad((row_number() OVER (ORDER BY draw))::VARCHAR, 4, '0') AS id, doc_id, chunk_idx, question, md5(answer) AS answer_md5 FROM single")
+def generated_single_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _single(spark, sf_dir).select("id", "doc_id", "chunk_idx", "question", F.md5("answer").alias("answer_md5"))
+
+
+@query(
+    f"""WITH {STEP_2}, k AS (SELECT *, row_number() OVER (PARTITION BY least(doc_1, doc_2), greatest(doc_1, doc_2) ORDER BY doc_1, bridge_1, doc_2) AS r FROM two)
+SELECT doc_1, doc_2, 'Which name leads from document ' || doc_1 || ' to document ' || doc_2 || '?' AS question, bridge_1 AS answer FROM k WHERE r = 1"""
+)
+def generated_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = generate.multi_hop(index.chains(_index(spark, sf_dir), 2), 2)
+    return made.select(F.col("doc_ids")[0].alias("doc_1"), F.col("doc_ids")[1].alias("doc_2"), "question", "answer")
+
+
+@query(f"WITH {INDEX}, {SINGLE} SELECT 'single_hop_' || lpad((row_number() OVER (ORDER BY draw))::VARCHAR, 4, '0') AS id, 'single_hop' AS type, true AS shortcut, NOT contains(lower(question), lower(trim(answer))) AS leak FROM single")
+def validated_single_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of the generated questions that need no answer from a context."""
+    made = _single(spark, sf_dir).withColumn("facts", F.array("text"))
+    return generate.checked(made).select("id", "type", "shortcut", "leak")

@@ -179,3 +179,14 @@ def refusal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return _docs(spark, sf_dir).select("doc_id", "source", n.alias("n")).select("doc_id", T.query_id(F.col("source"), F.col("n")).alias("query_id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 0 ELSE 2 END AS n_triplets FROM events")
+def extraction_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken replies are asked for again; the second attempt mends those with odd ids."""
+    from ..operators import graph
+
+    replies = _replies(spark, sf_dir).select("event_id", "content")
+    mended = F.when(F.col("event_id") % 2 == 1, F.concat(F.regexp_replace("content", "```(json)?", ""), F.lit("]"))).otherwise(F.col("content"))
+    made = graph.retried(graph.attempted(replies), graph.attempted(replies.withColumn("content", mended)), "event_id")
+    return made.select("event_id", "status", F.size("triplets").alias("n_triplets"))
