@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, stored
+from .common import cut, stored
 
 LENGTH = 400
 GRAM = 64
@@ -242,11 +242,12 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["key", "same", "row", "anchor", "first", "last"])
 
     anchors = stored(rows.select("row", "text").mapInArrow(find, "key long, same long, row long, anchor int, first int, last int"), "anchors")
-    several = anchors.groupBy("key").agg(F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("mixed")).where("n > 1").select("key", "mixed")
-    live = stored(anchors.join(several, "key"), "live")
+    counts = anchors.groupBy("key").agg(F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("mixed"))
+    live = stored(anchors.join(cut(counts.where("n > 1").select("key", "mixed")), "key"), "live")  # cut: a join of two plain shuffles can split a hot key
     contexts = live.groupBy("key", "same").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("row", "anchor", "first", "last")).alias("at"))
     equal = live.join(contexts.where("n > 1").select("key", "same"), ["key", "same"]).select("row", F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end"))
-    wanted = cut(contexts.where("mixed").select("key", "same", "n", "at.*").groupBy("row").agg(F.collect_list(F.struct("key", "same", "n", "anchor", "first", "last")).alias("at")))
+    several = stored(contexts.where("mixed").select("key", "same", "n", "at.*"), "contexts")
+    wanted = several.groupBy("row").agg(F.collect_list(F.struct("key", "same", "n", "anchor", "first", "last")).alias("at"))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +257,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 out += ((x["key"], row, x["first"], x["anchor"] - x["first"], 0, length - GRAM, x["same"], data[x["first"] : x["last"] + length], x["n"]) for x in at)
             yield _node_batch(out, [pa.int64()])
 
-    nodes = rows.select("row", "text").join(small(wanted), "row").mapInArrow(carry, f"{NODE}, n long")
+    nodes = rows.select("row", "text").join(wanted, "row").mapInArrow(carry, f"{NODE}, n long")
     found = equal
     while True:
         nodes = stored(nodes, "nodes")
@@ -274,13 +275,12 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield _node_batch([(*x, n) for x, n in _with_n(part, length)], [pa.int64()])
 
         parts = stored(large.mapInArrow(split, f"{NODE}, n long"), "parts")
-        alone = parts.groupBy("key").agg(F.count("*").alias("k"), (F.min("same") != F.max("same")).alias("mixed")).where("k > 1").select("key", "mixed")
-        parts = parts.join(alone, "key")
-        equal = parts.groupBy("key", "same").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.first("mixed").alias("mixed"), F.min(F.struct("row", "start")).alias("at"))
+        equal = stored(parts.groupBy("key", "same").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min(F.struct("row", "start")).alias("at")), "equal")
         again = parts.join(equal.where("k > 1").select("key", "same"), ["key", "same"])
         found = found.unionByName(again.select("row", F.col("start").alias("begin"), (F.col("start") + F.length("context")).cast("long").alias("end")))
-        one = equal.where("mixed").select("key", "same", "total", "at.row", "at.start")
-        nodes = parts.drop("n", "mixed").join(one, ["key", "same", "row", "start"]).withColumnRenamed("total", "n").select(*(c.split(" ")[0] for c in NODE.split(", ")), "n")
+        mixed = equal.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
+        one = equal.join(mixed, "key").select("key", "same", "total", "at.row", "at.start")
+        nodes = parts.drop("n").join(one, ["key", "same", "row", "start"]).withColumnRenamed("total", "n").select(*(c.split(" ")[0] for c in NODE.split(", ")), "n")
 
 
 def _with_n(part: pd.DataFrame, length: int) -> Iterator[tuple[tuple, int]]:
