@@ -49,7 +49,7 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.rank = 1
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of copies among pictures that are made from the pages (the tables have no images)."""
-    found = media.copies(media.pictures(table(spark, sf_dir, "pages").select("page_id", "html")))
+    found = media.copies(media.articles(table(spark, sf_dir, "pages")), media.picture, ("number", "article"))
     return found.withColumnRenamed("id", "page_id")
 
 

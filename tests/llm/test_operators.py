@@ -344,9 +344,9 @@ def test_toxicity(spark, empty):
 
 def test_media(spark):
     rnd = np.random.RandomState(4)
-    grey = lambda: rnd.randint(0, 256, (40, 40)).repeat(4, 0).repeat(4, 1)
-    one, two = grey(), grey()
-    images = [one, one[12:, 20:], (one * 0.7 + 20), two, two[:, :-30], grey(), one, one[:10, :10]]
+    blocks = lambda: rnd.randint(0, 256, (40, 40)).repeat(4, 0).repeat(4, 1)
+    one, two = blocks(), blocks()
+    images = [one, one[12:, 20:], (one * 0.7 + 20), two, two[:, :-30], blocks(), one, one[:10, :10]]
     rows = [(i, im.shape[1], bytearray(im.astype(np.uint8).tobytes()), 1) for i, im in enumerate(images)] + [(None, 3, None, 1), (50, None, None, 1), (51, 7, bytearray(b"abc"), 1), (52, 7, bytearray(b"abc"), 1)]
     got = {r["id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "id long, width int, pixels binary, word int")).collect()}
     assert [got[i] for i in range(8)] == [0, 0, 0, 3, 3, 5, 0, 7]
