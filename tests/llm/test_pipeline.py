@@ -1,5 +1,8 @@
+import random
+
 import __spark_entry__
 import corpus_pipeline
+from lodestar.llm import resemblance
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +28,47 @@ def test_registry():
     names = list(__spark_entry__.queries())
     assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def _sets(texts):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def _greedy(sets):
+    """Numbers of the sets that are similar, by 0.8 or more, to no earlier one that stays."""
+    stay = []
+    for i, x in enumerate(sets):
+        if not any(9 * len(x & sets[j]) >= 4 * (len(x) + len(sets[j])) for j in stay):
+            stay.append(i)
+    return stay
+
+
+def test_near_duplicates_from_0_8_on(spark, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    line = [word() for _ in range(12)]  # a line that many texts have
+    texts, planted = [None, "", "one", "One", "one two"], []
+    for edits in range(10):  # single words, each in five shingles
+        for _ in range(4):
+            base = [word() for _ in range(200)] + line
+            texts.append(" ".join(base))
+            for at in rnd.sample(range(2, 198, 6), edits):
+                base[at] = word()
+            planted.append(len(texts))
+            texts.append(" ".join(base))
+    chain = [word() for _ in range(150)]
+    for k in range(40):  # each is similar to its neighbours, not to those farther off
+        texts.append(" ".join(chain[2 * k :] + [f"{k}{i}" for i in range(2 * k)]))
+    sets = _sets(texts)
+    both = [len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in planted]
+    assert sum(0.8 <= x < 0.85 for x in both) >= 4 and sum(0.7 < x < 0.8 for x in both) >= 4 and sum(0.9 <= x < 1 for x in both) >= 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = _greedy(sets)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == want
+    for long, block, common in ((256, 8, 2), (2, 512, 10**9)):  # all in pairs of blocks; rounds and then pairs
+        monkeypatch.setattr(resemblance, "LONG", long)
+        monkeypatch.setattr(resemblance, "BLOCK", block)
+        monkeypatch.setattr(resemblance, "COMMON", common)
+        gone = {r["doc_id"] for r in resemblance.later_copies(docs).collect()}
+        assert [i for i in range(len(texts)) if i not in gone] == want
