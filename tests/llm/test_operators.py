@@ -361,3 +361,13 @@ def test_turned_images_keep_their_descriptors():
     b = [p for p in media.keypoints(np.rot90(image)) if p[2] == 0]
     near = sum(any((x[4] ^ y[4]) & (1 << 64) - 1 and ((x[4] ^ y[4]) & (1 << 64) - 1).bit_count() <= 12 or x[4] == y[4] for y in b) for x in a)
     assert near >= len(a) // 2
+
+
+def test_corners_close_by_and_repeated_are_kept():
+    rnd = np.random.RandomState(9)
+    close = 0
+    for _ in range(5):
+        at = [(x, y) for x, y, scale, *_ in media.keypoints(rnd.randint(0, 256, (40, 40)).repeat(4, 0).repeat(4, 1).astype(np.uint8)) if scale == 0]
+        close += sum(max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 10 for i, a in enumerate(at) for b in at[:i])
+    assert close > 0
+    assert len(media.keypoints(np.tile(rnd.randint(0, 256, (8, 8)).repeat(4, 0).repeat(4, 1), (4, 4)).astype(np.uint8))) > 1
