@@ -9,9 +9,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, small, stored, table
+from ..storage import cut, small, stored, table, together
 
-__all__ = ["cut", "fold", "slices", "small", "stored", "table", "unused"]
+__all__ = ["cut", "fold", "slices", "small", "spread_join", "stored", "table", "unused"]
+
+HOT = 10_000  # a key with over one in so many rows is hot, so there are at most as many hot keys
 
 
 def unused(df: DataFrame, stem: str) -> str:
@@ -38,3 +40,17 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[
         yield batch.slice(begin)
 
 
+def spread_join(many: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join with a table of distinct keys that are not null, whose hot ones shuffle nothing.
+
+    ``keys`` has in ``n`` how many rows of ``many`` hold the key.  A key with more than one in
+    ``HOT`` of those rows is hot: there are fewer than ``HOT`` such keys, which are broadcast.
+    Both inputs are read twice and should be cut or stored.
+    """
+    total = keys.agg(F.sum(n).alias("total")).first()["total"] or 0
+    hot = keys.where(F.col(n) > max(total / HOT, 1000))
+    if hot.isEmpty():
+        return many.join(keys, on)
+    hot = cut(hot)
+    rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(n) <= max(total / HOT, 1000)), on)
+    return together(many.join(F.broadcast(hot), on), rest)

@@ -5,8 +5,8 @@ hash, the first of equals.  Equal windows have equal anchors at equal places, so
 that can agree for ``length`` bytes fall into one bucket, that of their anchor's hash, and a
 bucket needs no more of a text than its anchors' contexts: the bytes of the windows an anchor
 stands for.  Buckets with one occurrence have no repeat and are dropped by a count.  Equal
-contexts are merged by a count, too (their windows all repeat); only buckets with several
-different contexts get the texts of these.
+contexts, by a digest of 128 bits, are merged by a count, too (their windows all repeat);
+only buckets with several different contexts get the texts of these.
 
 Buckets are sorted one block at a time.  In a block, suffixes are sorted by their first
 ``V`` bytes.  Longer ties are resolved by the ranks of a difference-cover sample, which prefix
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, spread_join, stored
 
 LENGTH = 400
 GRAM = 64
@@ -199,10 +199,15 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             rest = rest.iloc[stop:].reset_index(drop=True)
 
 
-def _hash(data: bytes, seed: int = 0) -> int:
+def _key(data: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
 
 
+def _same(data: bytes) -> bytes:
+    """A digest of 128 bits that stands for the bytes; together with the bucket's key 192."""
+    return xxhash.xxh3_128_digest(data)
+
+
 def _divide(part: pd.DataFrame, length: int) -> Iterator[tuple]:
     """Rows of a large bucket, for each part of its range of places that the context has windows in."""
     for key, row, start, anchor, low, high, context in zip(*(part[c] for c in ("key", "row", "start", "anchor", "low", "high", "context")), strict=True):
@@ -213,21 +218,22 @@ def _divide(part: pd.DataFrame, length: int) -> Iterator[tuple]:
             if first <= last:
                 core = context[anchor - x : anchor - y + length]
                 sub = context[first : last + length]
-                yield _hash(core, (key ^ x) & 0x7FFFFFFF), row, start + first, anchor - first, x, y, _hash(sub), sub
+                yield _key(core, (key ^ x) & 0x7FFFFFFF), row, start + first, anchor - first, x, y, _same(sub), sub
 
 
-NODE = "key long, row long, start long, anchor int, low int, high int, same long, context binary"
+NODE = "key long, row long, start long, anchor int, low int, high int, same binary, context binary"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    """The rows with a number each, written once: read again, the numbers stay what they are."""
+    return stored(docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")), "rows")
 
 
 def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``row, begin, end``: bytes of ``text`` that lie in repeated strings of ``length`` bytes.
 
-    ``rows`` has ``row, text``; a row's number must not change when it is read again.  The
-    ranges may overlap.
+    ``rows`` has ``row, text`` and is a stored table: it is read three times, and a row's
+    number must be the same each time.  The ranges may overlap.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +242,19 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             out = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
-                out += ((g - (1 << 63), _hash(data[s : e + length]), row, a, s, e) for g, a, s, e in anchors(data))
+                out += ((g - (1 << 63), _same(data[s : e + length]), row, a, s, e) for g, a, s, e in anchors(data))
             columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
+            kinds = [pa.int64(), pa.binary(), pa.int64()] + [pa.int32()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["key", "same", "row", "anchor", "first", "last"])
 
-    anchors = stored(rows.select("row", "text").mapInArrow(find, "key long, same long, row long, anchor int, first int, last int"), "anchors")
+    anchors = stored(rows.select("row", "text").mapInArrow(find, "key long, same binary, row long, anchor int, first int, last int"), "anchors")
     counts = anchors.groupBy("key").agg(F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("mixed"))
-    live = stored(anchors.join(cut(counts.where("n > 1").select("key", "mixed")), "key"), "live")  # cut: a join of two plain shuffles can split a hot key
+    live = stored(spread_join(anchors, cut(counts.where("n > 1")), ["key"]).drop("n"), "live")
     contexts = live.groupBy("key", "same").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("row", "anchor", "first", "last")).alias("at"))
-    equal = live.join(contexts.where("n > 1").select("key", "same"), ["key", "same"]).select("row", F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end"))
-    several = stored(contexts.where("mixed").select("key", "same", "n", "at.*"), "contexts")
+    contexts = stored(contexts.where("mixed or n > 1").select("key", "same", "n", "mixed", "at.*"), "contexts")
+    equal = spread_join(live.drop("mixed"), contexts.where("n > 1").select("key", "same", "n"), ["key", "same"])
+    equal = equal.select("row", F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end"))
+    several = contexts.where("mixed")
     wanted = several.groupBy("row").agg(F.collect_list(F.struct("key", "same", "n", "anchor", "first", "last")).alias("at"))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +284,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
         parts = stored(large.mapInArrow(split, f"{NODE}, n long"), "parts")
         equal = stored(parts.groupBy("key", "same").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min(F.struct("row", "start")).alias("at")), "equal")
-        again = parts.join(equal.where("k > 1").select("key", "same"), ["key", "same"])
+        again = spread_join(parts, equal.where("k > 1").select("key", "same", "k"), ["key", "same"], "k")
         found = found.unionByName(again.select("row", F.col("start").alias("begin"), (F.col("start") + F.length("context")).cast("long").alias("end")))
         mixed = equal.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
         one = equal.join(mixed, "key").select("key", "same", "total", "at.row", "at.start")
@@ -291,7 +299,7 @@ def _with_n(part: pd.DataFrame, length: int) -> Iterator[tuple[tuple, int]]:
 
 
 def _node_batch(out: list[tuple], more: list[pa.DataType]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64(), pa.binary(), *more]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary(), pa.binary(), *more]
     columns = list(zip(*out, strict=True)) or [()] * len(kinds)
     names = [*(c.split(" ")[0] for c in NODE.split(", ")), "n"]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)

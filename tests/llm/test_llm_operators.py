@@ -122,6 +122,41 @@ def test_large_buckets_are_divided(spark, monkeypatch):
     assert sum(r[2] for r in whole) > 60 * 300
 
 
+def test_results_do_not_hang_on_how_scans_are_split(spark, tmp_path, monkeypatch):
+    """Between two passes over the table its splits change, as when executors join or are lost."""
+    rnd = random.Random(3)
+    passage = words(rnd, 120)
+    rows = [(i, f"{words(rnd, 60)} {passage if i % 3 == 0 else ''} {words(rnd, 30)}") for i in range(200)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.option("parquet.block.size", 4096).parquet(path)
+    want = sorted(map(tuple, suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect()))
+    assert sum(r[2] > 0 for r in want) == 67
+    sizes, keep = iter([9000, 70_000, 5000, 40_000, 128 << 20] * 20), suffixes.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", stored)
+    try:
+        assert sorted(map(tuple, suffixes.remove_repeats(spark.read.parquet(path)).drop("kept").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from lodestar.llm import common
+
+    monkeypatch.setattr(common, "HOT", 2)
+    many = spark.createDataFrame([(i, 7 if i < 4000 else i % 5) for i in range(5000)], "i int, k long")
+    keys = many.groupBy("k").count().withColumnRenamed("count", "n")
+    joined = common.spread_join(many, keys.where("k <> 3"), ["k"])
+    assert sorted((r["i"], r["n"]) for r in joined.collect()) == [(i, 4000 if i < 4000 else 200) for i in range(5000) if i < 4000 or i % 5 != 3]
+
+
 def test_suffix_order_is_lexicographic():
     rnd = np.random.RandomState(3)
     text = np.concatenate([rnd.randint(97, 99, 400), np.tile([97, 98, 97], 120), rnd.randint(97, 99, 100)]).astype(np.uint8)

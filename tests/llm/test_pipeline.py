@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
 from lodestar.llm import resemblance
@@ -24,6 +26,32 @@ def test_stages_and_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("stage", ["near_duplicates", "decontamination"])
+def test_stages_do_not_hang_on_how_scans_are_split(spark, tmp_path, monkeypatch, stage):
+    from lodestar.llm import resemblance
+
+    path, run = str(tmp_path / "docs"), dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.repartition(5).write.option("parquet.block.size", 20_000).parquet(path)
+    want = run(spark, spark.read.parquet(path).coalesce(1), "/root/testdata/sf0.01").count()
+    sizes = iter([90_000, 700_000, 50_000, 400_000, 128 << 20] * 20)
+    for module, name in ((corpus_pipeline, "stored"), (corpus_pipeline, "cut"), (resemblance, "stored"), (resemblance, "cut")):
+
+        def changed(*args, keep=getattr(module, name)):
+            out = keep(*args)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            return out
+
+        monkeypatch.setattr(module, name, changed)
+    try:
+        kept = run(spark, spark.read.parquet(path), "/root/testdata/sf0.01").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert want < docs.count() and kept == want
+
+
 def test_registry():
     names = list(__spark_entry__.queries())
     assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
