@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join, stored
+from .common import cut, slices, spread_join, stored
 
 LENGTH = 400
 GRAM = 64
@@ -238,7 +238,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
             out = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
@@ -258,7 +258,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = several.groupBy("row").agg(F.collect_list(F.struct("key", "same", "n", "anchor", "first", "last")).alias("at"))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
             out = []
             for row, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_py().encode()
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     gone = repeats(rows, length).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))  # no more than a text has anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
             out = []
             for doc_id, text, ranges in zip(*(batch.column(c) for c in ("doc_id", "text", "gone")), strict=True):
                 data = (text.as_py() or "").encode()
