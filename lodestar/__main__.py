@@ -1,8 +1,14 @@
-"""Commands: process, retrieve and evaluate over corpus and question files, and registered queries.
+"""Commands over corpus and question files; see ``jobs`` for what they write under OUT.
 
-    python -m lodestar process CORPUS OUT            chunks, vectors, triplets and graph tables
-    python -m lodestar retrieve METHOD OUT QUESTIONS ANSWERS   llm_direct, naive, graph, hybrid, iterative
-    python -m lodestar evaluate QUESTIONS ANSWERS OUT
+    python -m lodestar process embedding|index|graph|all CORPUS OUT
+    python -m lodestar retrieve METHOD OUT QUESTIONS
+    python -m lodestar retry METHOD OUT QUESTIONS
+    python -m lodestar evaluate result|labels METHOD OUT QUESTIONS
+    python -m lodestar evaluate semantic|structure OUT
+    python -m lodestar compare METHOD METHOD OUT
+    python -m lodestar questions generate|validate|filter|all OUT
+    python -m lodestar classify SCHEME OUT QUESTIONS
+    python -m lodestar pipeline CORPUS QUESTIONS OUT --method METHOD
     python -m lodestar query NAME TABLES OUT
 """
 
@@ -10,72 +16,87 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .functions.text import chunks
-from .functions.vectors import embedded
-from .operators import evaluate, graph, index, strategies
-from .sources import readers, writers
-
-METHODS = ["llm_direct", "naive", "graph", "hybrid", "iterative"]
-PASSAGES = 5
-
-
-def process(spark: SparkSession, corpus: str, out: str) -> None:
-    rows = chunks(readers.read_corpus(spark, corpus)).withColumn("row_id", F.xxhash64("doc_id", "chunk_idx"))
-    rows.write.mode("overwrite").parquet(f"{out}/chunks")
-    rows = spark.read.parquet(f"{out}/chunks")
-    embedded(rows, "row_id", "text").write.mode("overwrite").parquet(f"{out}/embeddings")
-    graph.valid(graph.extract(rows)).write.mode("overwrite").parquet(f"{out}/triplets")
-    stated = spark.read.parquet(f"{out}/triplets")
-    names = graph.numbered(graph.entities(stated))
-    edges = graph.collapsed(stated, ["doc_id", "chunk_idx", "pos"])
-    ids = lambda c: names.select(F.col("entity").alias(c), F.col("entity_id").alias({"a": "src", "b": "dst"}[c]))
-    writers.write_graph(names, edges.join(ids("a"), "a").join(ids("b"), "b").select("src", "dst", "relation", "doc_id"), f"{out}/graph")
-
-
-def answers(spark: SparkSession, method: str, out: str, questions: DataFrame) -> DataFrame:
-    asked = questions.select(F.col("qid"), "question")
-    if method == "llm_direct":
-        return strategies.direct(asked)
-    rows = spark.read.parquet(f"{out}/chunks")
-    held = index.entity_chunks(spark.read.parquet(f"{out}/triplets"))
-    by_graph = lambda q: strategies.graph_passages(q, held, rows, PASSAGES)
-    if method == "graph":
-        return strategies.answered(asked, by_graph(asked), method)
-    if method == "iterative":
-        return strategies.iterative(asked, by_graph)
-    numbered = asked.withColumn("number", F.xxhash64("qid"))
-    near = strategies.naive_passages(numbered.select(F.col("number").alias("qid"), "question"), rows, PASSAGES)
-    near = near.withColumnRenamed("qid", "number").join(numbered.select("number", "qid"), "number").drop("number")
-    return strategies.answered(asked, near, method) if method == "naive" else strategies.hybrid(asked, near, by_graph(asked))
+from pyspark.sql import SparkSession
 
+from . import jobs
 
-def main(args: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="lodestar", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    commands = parser.add_subparsers(dest="command", required=True)
-    for name, places in (("process", ["corpus", "out"]), ("retrieve", ["method", "out", "questions", "answers"]), ("evaluate", ["questions", "answers", "out"]), ("query", ["name", "tables", "out"])):
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="lodestar", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = top.add_subparsers(dest="command", required=True)
+
+    def add(name: str, *places: str, **choices: list[str]) -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
         for place in places:
-            sub.add_argument(place, **({"choices": METHODS} if place == "method" else {}))
-    given = parser.parse_args(args)
-    spark = SparkSession.builder.appName("lodestar").getOrCreate()
+            sub.add_argument(place, choices=choices.get(place))
+        sub.add_argument("--no-resume", action="store_true")
+        return sub
+
+    add("process", "stage", "corpus", "out", stage=["embedding", "index", "graph", "all"])
+    add("retrieve", "method", "out", "questions", method=jobs.METHODS)
+    add("retry", "method", "out", "questions", method=["naive", "graph"])
+    judge = add("evaluate", "what", what=["result", "labels", "semantic", "structure"])
+    judge.add_argument("rest", nargs="+", help="METHOD OUT QUESTIONS, or OUT")
+    judge.add_argument("--hubness-k", type=int, default=10)
+    add("compare", "first", "second", "out", first=jobs.METHODS, second=jobs.METHODS)
+    asks = add("questions", "step", "out", step=["generate", "validate", "filter", "all"])
+    for kind, n in (("single-hop", 50), ("multi-hop", 50), ("summary", 20)):
+        asks.add_argument(f"--{kind}", type=int, default=n)
+    asks.add_argument("--append", action="store_true")
+    add("classify", "scheme", "out", "questions")
+    whole = add("pipeline", "corpus", "questions", "out")
+    whole.add_argument("--method", default="graph", choices=[*jobs.METHODS, "all"])
+    whole.add_argument("--skip-process", action="store_true")
+    whole.add_argument("--skip-eval", action="store_true")
+    add("query", "name", "tables", "out")
+    return top
+
+
+def run(spark: SparkSession, given: argparse.Namespace) -> None:
+    resume = not given.no_resume
     if given.command == "process":
-        process(spark, given.corpus, given.out)
+        if given.stage in ("embedding", "all"):
+            jobs.chunk(spark, given.corpus, given.out)
+            jobs.embed(spark, given.out, resume)
+        if given.stage in ("index", "all"):
+            jobs.build_index(spark, given.out)
+        if given.stage in ("graph", "all"):
+            jobs.extract(spark, given.out, resume)
+            jobs.build_graph(spark, given.out)
     elif given.command == "retrieve":
-        made = answers(spark, given.method, given.out, readers.read_questions(spark, given.questions))
-        writers.replace_rows(made.withColumnsRenamed({"qid": "id", "answer": "rag_answer"}).drop("method"), given.answers)
+        jobs.retrieve(spark, given.method, given.out, given.questions, resume)
+    elif given.command == "retry":
+        jobs.retry(spark, given.method, given.out, given.questions)
+    elif given.command == "evaluate" and given.what in ("result", "labels"):
+        method, out, questions = given.rest
+        jobs.evaluate_answers(spark, method, out, questions, resume, given.what == "labels")
     elif given.command == "evaluate":
-        asked = readers.read_questions(spark, given.questions).select("qid", F.col("answer").alias("reference"))
-        given_answers = readers.read_answers(spark, given.answers).select("qid", F.col("answer").alias("prediction"))
-        pairs = asked.join(given_answers, "qid").withColumn("retrieved", F.array().cast("array<string>"))
-        writers.write_metrics(evaluate.all_metrics(pairs), given.out)
+        (out,) = given.rest
+        jobs.evaluate_semantic(spark, out, given.hubness_k) if given.what == "semantic" else jobs.evaluate_structure(spark, out)
+    elif given.command == "compare":
+        jobs.compare(spark, given.first, given.second, given.out)
+    elif given.command == "questions":
+        if given.step in ("generate", "all"):
+            jobs.generate_questions(spark, given.out, given.single_hop, given.multi_hop, given.summary, given.append)
+        if given.step in ("validate", "all"):
+            jobs.validate_questions(spark, given.out, resume)
+        if given.step in ("filter", "all"):
+            jobs.filter_questions(spark, given.out)
+    elif given.command == "classify":
+        jobs.classify(spark, given.out, given.questions, given.scheme)
+    elif given.command == "pipeline":
+        methods = jobs.METHODS if given.method == "all" else [given.method]
+        jobs.pipeline(spark, given.corpus, given.questions, given.out, methods, given.skip_process, given.skip_eval, resume)
     else:
         from . import plans
 
         plans.load()[0][given.name](spark, given.tables).write.mode("overwrite").parquet(given.out)
 
 
+def main(args: list[str] | None = None) -> None:
+    given = parser().parse_args(args)
+    run(SparkSession.builder.appName("lodestar").getOrCreate(), given)
+
+
 if __name__ == "__main__":
     main()

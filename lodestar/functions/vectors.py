@@ -61,3 +61,15 @@ def embedded(df: DataFrame, key: str, text: str, size: int = DEFAULT.embedding_s
     at = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     made = df.select(key).join(parts.select(key, at.alias("embedding")), key, "left")
     return made.select(key, F.coalesce("embedding", F.array_repeat(F.lit(0.0), size)).alias("embedding"))
+
+
+def trigrams(name: Column) -> Column:
+    """The letters of a name, three at a time, as tokens; white space counts as one letter."""
+    low = F.regexp_replace(F.lower(name), r"\s+", "_")
+    each = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    return F.when(F.length(low) > 2, F.array_join(each, " ")).otherwise(low)
+
+
+def embedded_names(df: DataFrame, key: str, name: str, size: int = DEFAULT.embedding_size) -> DataFrame:
+    """``key, embedding`` for names: hashed trigrams, so that names spelt alike are near each other."""
+    return embedded(df.select(key, trigrams(F.col(name)).alias("_name")), key, "_name", size)

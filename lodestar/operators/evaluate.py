@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.text import is_refusal, sentences, tokens
 from ..functions.vectors import dot, hashed
+from ..storage import cut
 from .search import block_top_k
 
 
@@ -68,6 +69,21 @@ def all_metrics(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return out
 
 
+def to_evaluate(questions: DataFrame, answers: DataFrame, retrieved: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """``qid, reference, prediction, retrieved``: answered questions that have no scores yet.
+
+    ``questions`` has ``qid, reference``, ``answers`` ``qid, prediction``, ``retrieved``
+    ``qid, retrieved`` (texts; none for a question means an empty list) and ``done`` ``qid``.
+    """
+    rows = questions.where("reference is not null").join(answers.where("prediction is not null"), "qid")
+    if done is not None:
+        rows = rows.join(done.select("qid").distinct(), "qid", "left_anti")
+    none = F.array().cast("array<string>")
+    if retrieved is None:
+        return rows.withColumn("retrieved", none)
+    return rows.join(retrieved.select("qid", "retrieved"), "qid", "left").withColumn("retrieved", F.coalesce("retrieved", none))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """Means that ignore nulls, and the labels' counts and shares."""
     labelled = F.count("llm_label")
@@ -83,6 +99,64 @@ def comparison(labels: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right, "qid").groupBy("label_a", "label_b").agg(F.count("*").alias("n"))
 
 
+def compared(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """``qid, label_a, label_b, same, winner``: two methods' labels of each question that both have.
+
+    The winner has the better label of correct, incomplete, incorrect; null for equal ones.
+    """
+    left = labels.where(F.col("method") == a).select("qid", F.col("llm_label").alias("label_a"))
+    right = labels.where(F.col("method") == b).select("qid", F.col("llm_label").alias("label_b"))
+    worth = lambda c: F.when(F.col(c) == "correct", 2).when(F.col(c) == "incomplete", 1).otherwise(0)
+    winner = F.when(worth("label_a") > worth("label_b"), F.lit(a)).when(worth("label_a") < worth("label_b"), F.lit(b))
+    return left.join(right, "qid").select("qid", "label_a", "label_b", (F.col("label_a") == F.col("label_b")).alias("same"), winner.alias("winner"))
+
+
+def semantic_report(vectors: DataFrame, k: int = DEFAULT.hub_neighbours) -> DataFrame:
+    """One row with every metric of ``item_id, embedding``; an empty table has the status ``failed`` and no metrics."""
+    size = vectors.agg(F.count("*").alias("total_embeddings"), F.max(F.size("embedding")).alias("embedding_dimension"))
+    seen = hubs(vectors, k)
+    spread = seen.agg(F.round(F.coalesce(F.nanvl(F.skewness("occurrence"), F.lit(0.0)), F.lit(0.0)), 6).alias("hubness_score"), F.max("occurrence").alias("debug_max_occurrence"), F.round(F.avg("occurrence"), 6).alias("debug_mean_occurrence"))
+    top = rank_hubs(seen).agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "occurrence"))).alias("t"))
+    top = top.select(F.transform("t", lambda x: F.struct(x["item_id"].alias("chunk_index"), x["occurrence"].alias("occurrence"))).alias("top_hubs"))
+    rows = size.crossJoin(two_nn(vectors)).crossJoin(centroid_distances(vectors)).crossJoin(spread).crossJoin(top)  # one row each
+    some = F.col("total_embeddings") > 0
+    part = lambda *c: F.when(some, F.struct(*c))
+    return rows.select(
+        F.when(some, F.lit("success")).otherwise(F.lit("failed")).alias("status"), "total_embeddings", "embedding_dimension",
+        part("intrinsic_dimension", "valid_samples").alias("semantic_complexity"),
+        part(*(f"{x}_centroid_distance" for x in ("avg", "std", "min", "max"))).alias("semantic_distinguishability"),
+        part("hubness_score", F.lit(k).alias("k"), "top_hubs").alias("semantic_interference"), "debug_max_occurrence", "debug_mean_occurrence",
+    )
+
+
+def structure_report(vertices: DataFrame, edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """One row with every metric of a graph of ``node`` and ``src, dst, relation``; an empty one has zeros."""
+    from . import graph
+
+    vertices, edges = cut(vertices), cut(edges)
+    stats = graph.basic_stats(vertices, edges)
+    linked = graph.components(edges.select("src", "dst")).select("component")
+    alone = vertices.join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("component"))
+    sizes = linked.groupBy("component").agg(F.count("*").alias("n")).unionByName(alone.withColumn("n", F.lit(1).cast("long")))
+    joined = sizes.agg(F.count("*").alias("n_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.round(F.coalesce(F.max("n") / F.sum("n"), F.lit(0.0)), 4).alias("largest_ratio"), (F.count("*") == 1).alias("connected"))
+    d = graph.degrees(edges).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("total"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"))
+    clustered = graph.clustering(vertices, edges.select("src", "dst")).select(F.coalesce("avg_clustering", F.lit(0.0)).alias("avg_clustering"))
+    paths = graph.path_metrics(edges.select("src", "dst"), config).select("avg_path", "diameter", F.col("n_nodes").alias("path_nodes"))
+    top = graph.top_relations(edges).agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "relation")))).alias("t")).select(F.transform("t", lambda x: F.struct(x["relation"].alias("relation"), x["n"].alias("n"))).alias("top"))
+    rows = stats.crossJoin(joined).crossJoin(d).crossJoin(clustered).crossJoin(paths).crossJoin(top)  # one row each
+    n = F.col("n_nodes")
+    mean = F.when(n > 0, F.round(F.col("total") / n, 6)).otherwise(F.lit(0.0))
+    central = F.when(n > 1, F.round(F.col("total") / n / (n - 1), 6)).otherwise(F.lit(0.0))
+    return rows.select(
+        F.when(n > 0, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
+        F.struct("n_nodes", "n_edges", "n_relations", "density", "avg_degree", "n_isolated").alias("basic_stats"),
+        F.struct("n_components", "largest", "largest_ratio", "connected").alias("connectivity"),
+        F.struct(mean.alias("avg_degree"), "max_degree", central.alias("avg_centrality")).alias("centrality"),
+        F.struct("avg_path", "diameter", F.col("path_nodes").alias("n_nodes")).alias("path_metrics"),
+        F.struct("n_relations", "top").alias("relation_metrics"), "avg_clustering",
+    )
+
+
 def two_nn(vectors: DataFrame) -> DataFrame:
     """Intrinsic dimension from the two nearest neighbours of each vector: one row.
 

@@ -89,26 +89,28 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float = DEF
 
     ``edges`` has ``src, dst`` (both directions are made), ``seeds`` ``qid, node, weight``.
     Every round joins the scores with the edges and adds them up by node; scores start at the
-    seeds' shares.  With a ``tolerance`` rounds stop once the change, summed over nodes, is
-    below it for every question.  The plan is cut every few rounds.
+    seeds' shares.  The plan is cut every few rounds; with a ``tolerance`` it is seen then
+    whether the last round's change, summed over nodes, is below it times the number of
+    nodes for every question, which ends the work.  Seeds that are not in the graph are left out; without any a question has no row.
     """
-    both = both_ways(edges, loops=True)
+    both = cut(both_ways(edges, loops=True))
     links = cut(both.join(both.groupBy("src").agg(F.count("*").alias("degree")), "src"))
+    enough = None if tolerance is None else tolerance * links.select("src").distinct().count()
     total = seeds.groupBy("qid").agg(F.sum("weight").alias("total"))
     start = cut(seeds.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(total, "qid").select("qid", "node", (F.col("weight") / F.col("total")).alias("share")))
     known = start.groupBy("qid").agg(F.sum("share").alias("known"))
-    start = start.join(known, "qid").select("qid", "node", (F.col("share") / F.col("known")).alias("share"))
+    start = cut(start.join(known, "qid").select("qid", "node", (F.col("share") / F.col("known")).alias("share")))
     scores = start.select("qid", "node", F.col("share").alias("score"))
     for n in range(1, rounds + 1):
         flow = scores.join(links.withColumnRenamed("src", "node"), "node").select("qid", F.col("dst").alias("node"), (alpha * F.col("score") / F.col("degree")).alias("part"))
         back = start.select("qid", "node", ((1 - alpha) * F.col("share")).alias("part"))
         new = together(flow, back).groupBy("qid", "node").agg(F.sum("part").alias("score"))
-        if n % every == 0 or tolerance is not None:
+        if n % every == every - 1 or n % every == 0:
             new = cut(new)
-        if tolerance is not None:
+        if tolerance is not None and n % every == 0:
             pair = new.alias("n").join(scores.alias("o"), ["qid", "node"], "full")
             change = pair.groupBy("qid").agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
-            if (change or 0.0) < tolerance:
+            if (change or 0.0) < enough:
                 return new
         scores = new
     return scores
@@ -121,6 +123,23 @@ def ppr_subgraph(scores: DataFrame, seeds: DataFrame, config: Config = DEFAULT)
     return together(top.select("qid", "node"), seeds.select("qid", "node")).distinct()
 
 
+def ppr_filtered(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``qid, node``: of more than ``config.ppr_nodes`` nodes, the seeds and the best others by PageRank among the nodes.
+
+    ``edges`` has ``src, dst``; PageRank runs on the edges that a question's nodes induce, so
+    a node stands for itself in each question.
+    """
+    own = lambda c: F.struct("qid", F.col(c).alias("node"))
+    inside = cut(induced(both_ways(edges), nodes).select("qid", own("src").alias("src"), own("dst").alias("dst")))
+    weights = seeds.select("qid", own("node").alias("node"), "weight")
+    scores = pagerank(inside, weights, config.ppr_rounds, config.ppr_alpha, 1e-6).select("qid", F.col("node.node").alias("node"), "score")
+    first = F.when(F.col("seed"), 0).otherwise(1)
+    order = Window.partitionBy("qid").orderBy(first, F.desc(F.round(F.coalesce("score", F.lit(0.0)), 12)), "node")
+    rows = nodes.join(scores, ["qid", "node"], "left").join(seeds.select("qid", "node", F.lit(True).alias("seed")), ["qid", "node"], "left")
+    rows = rows.withColumn("seed", F.coalesce("seed", F.lit(False)))
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= config.ppr_nodes).select("qid", "node")
+
+
 def within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """``qid, node, hops``: everything within ``depth`` edges of a question's start nodes."""
     both = both_ways(edges)
@@ -139,6 +158,32 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return left.join(ends.withColumnRenamed("node", "dst"), ["qid", "dst"])
 
 
+def subgraph(nodes: DataFrame, seeds: DataFrame, names: DataFrame) -> DataFrame:
+    """``qid, entity, similarity, rank, is_seed``: seeds with their rank, the other nodes without.
+
+    ``names`` has ``entity_id, entity``; a node without a name is called ``Entity_`` and its id.
+    """
+    rows = together(nodes.select("qid", "node"), seeds.select("qid", "node")).distinct().join(seeds, ["qid", "node"], "left")
+    rows = rows.join(names.withColumnRenamed("entity_id", "node"), "node", "left")
+    name = F.coalesce("entity", F.concat(F.lit("Entity_"), F.col("node").cast("string")))
+    return rows.select("qid", name.alias("entity"), "similarity", "rank", F.col("rank").isNotNull().alias("is_seed"))
+
+
+def stated(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, names: DataFrame) -> DataFrame:
+    """``qid, subject, relation, object, similarity``: edges among a question's nodes, by name.
+
+    ``edges`` has ``src, dst, relation`` (ids; a missing relation is ``related_to``).  The
+    similarity is the better one of the two ends as seeds, 0 if neither is one.
+    """
+    known = seeds.select("qid", F.col("node"), "similarity")
+    end = lambda c, to: known.select("qid", F.col("node").alias(c), F.col("similarity").alias(to))
+    rows = induced(edges, nodes).join(end("src", "s1"), ["qid", "src"], "left").join(end("dst", "s2"), ["qid", "dst"], "left")
+    called = lambda c, to: names.select(F.col("entity_id").alias(c), F.col("entity").alias(to))
+    rows = rows.join(called("src", "subject"), "src").join(called("dst", "object"), "dst")
+    best = F.greatest(F.coalesce("s1", F.lit(0.0)), F.coalesce("s2", F.lit(0.0)))
+    return rows.select("qid", "subject", F.coalesce("relation", F.lit("related_to")).alias("relation"), "object", best.alias("similarity"))
+
+
 def sources(stated: DataFrame, triplets: DataFrame) -> DataFrame:
     """Chunks that state a question's triplets, each with its best similarity: ``qid, doc_id, chunk_idx, similarity, pos``.
 

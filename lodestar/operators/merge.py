@@ -56,8 +56,13 @@ def unanswered(questions: DataFrame, answers: DataFrame, key: str = "qid") -> Da
 
 
 def update_answers(answers: DataFrame, new: DataFrame, key: str = "qid") -> DataFrame:
-    """Answers by key, replaced where ``new`` has one; null answers in ``new`` replace nothing."""
-    latest = new.groupBy(key).agg(F.max("answer").alias("new_answer"))
+    """Answers by key, replaced where ``new`` has one; null answers in ``new`` replace nothing.
+
+    Of several new answers that with the greatest ``pos`` holds, or the greatest text where
+    ``new`` has no ``pos``.
+    """
+    given = new.where("answer is not null")
+    latest = given.groupBy(key).agg((F.max_by("answer", "pos") if "pos" in new.columns else F.max("answer")).alias("new_answer"))
     return answers.join(latest, key, "left").withColumn("answer", F.coalesce("new_answer", "answer")).drop("new_answer")
 
 

@@ -8,20 +8,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..storage import together
+from ..storage import cut, together
 
-BLOCK = 2048  # vectors on each side of a block
+BLOCK = 16_384  # vectors on each side of a block, at most
+LEAST = 1024
+DIGITS = 12  # similarities are rounded to so many places, so that ties are ties in any order of adding up
 
 
-def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK, skip_self: bool = False, metric: str = "cosine") -> DataFrame:
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
+
+
+def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return np.round(a @ b.T, DIGITS)
+    far = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.round(-np.sqrt(np.maximum(0, far)), DIGITS)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` highest of each row, by score and then by column."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    r, c = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((c, -scores[r, c], r))
+    r, c = r[order], c[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r, "left")
+    return r[place < k], c[place < k]
+
+
+def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int | None = None, skip_self: bool = False, metric: str = "cosine") -> DataFrame:
     """The ``k`` best items of every query: ``qid, item_id, similarity, rank``.
 
-    ``queries`` has ``qid, embedding`` and ``items`` ``item_id, embedding``.  Both are dealt
-    into blocks by a hash; each pair of blocks is one matrix product, which keeps the best k
-    of its block for each query, so what is shuffled afterwards is k rows for each query and
-    item block.  Ties go to the smaller item id.
+    ``queries`` has ``qid, embedding`` and ``items`` ``item_id, embedding``, of any length
+    (the zero vector has similarity 0 to all).  Both are dealt into blocks by a hash; each
+    pair of blocks is one matrix product, which keeps the best k of its block for each
+    query, so what is shuffled afterwards is k rows for each query and item block.  Blocks
+    grow with the input up to ``BLOCK`` rows, while there are enough pairs of them to keep
+    all cores busy.  Ties go to the smaller item id.
     """
-    n_q, n_i = (max(1, -(-x.count() // block)) for x in (queries, items))
+    count_q, count_i = queries.count(), items.count()
+    if block is None:
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        block = int(min(BLOCK, max(LEAST, max(count_q, count_i) / max(1.0, cores**0.5))))
+    n_q, n_i = max(1, -(-count_q // block)), max(1, -(-count_i // block))
     deal = lambda df, key, own, other, n, m: df.select(
         F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64(key), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
     )
@@ -32,15 +64,15 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK
         if len(left) and len(right):
             right = right.sort_values("id", ignore_index=True)
             ids, matrix = right["id"].to_numpy(), np.stack(right["embedding"].to_numpy())
-            for begin in range(0, len(left), 256):
-                part = left.iloc[begin : begin + 256]
+            matrix = _unit(matrix) if metric == "cosine" else matrix
+            for begin in range(0, len(left), 128):
+                part = left.iloc[begin : begin + 128]
                 a = np.stack(part["embedding"].to_numpy())
-                scores = a @ matrix.T if metric == "cosine" else -np.sqrt(np.maximum(0, ((a[:, None] - matrix[None]) ** 2).sum(2)))
+                scores = _scores(_unit(a) if metric == "cosine" else a, matrix, metric)
                 if skip_self:
                     scores[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows = np.arange(len(part))[:, None]
-                out.append(pd.DataFrame({"qid": np.repeat(part["id"].to_numpy(), top.shape[1]), "item_id": ids[top].ravel(), "similarity": scores[rows, top].ravel()}))
+                r, c = _best(scores, k)
+                out.append(pd.DataFrame({"qid": part["id"].to_numpy()[r], "item_id": ids[c], "similarity": scores[r, c]}))
         found = pd.concat(out) if out else pd.DataFrame({"qid": [], "item_id": [], "similarity": []}).astype({"qid": "int64", "item_id": "int64", "similarity": "float64"})
         return found[found["similarity"] > -np.inf]
 
@@ -72,20 +104,31 @@ def merged_seeds(found: DataFrame, config: Config = DEFAULT, least: float | None
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.seeds)
 
 
-def token_budget(ranked: DataFrame, key: str, config: Config = DEFAULT, text: str = "text", pos: str = "pos") -> DataFrame:
+def token_budget(ranked: DataFrame, key: str, config: Config = DEFAULT, text: str = "text", pos: str = "pos", wide: bool = False) -> DataFrame:
     """The longest prefix of each key's texts, by ``pos``, whose estimated tokens fit the budget.
 
-    Estimates are not negative, so a running sum is the rule that stops at the first overflow.
+    Estimates are not negative, so a running sum is the rule that stops at the first
+    overflow.  A key's list goes through one task; with ``wide`` it may have any length:
+    lists are cut into ranges over all tasks, only the ranges that begin within the budget
+    are summed up row by row, and only texts that are kept move.
     """
     from ..functions.text import estimated_tokens
 
-    running = F.sum(estimated_tokens(F.col(text), config)).over(Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("running_tokens", running).where(F.col("running_tokens") <= config.context_tokens)
+    cost = estimated_tokens(F.col(text), config)
+    upto = lambda value, *parts: F.sum(value).over(Window.partitionBy(*parts).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    if not wide:
+        return ranked.withColumn("running_tokens", upto(cost, key)).where(F.col("running_tokens") <= config.context_tokens)
+    dealt = cut(ranked.select(key, pos, cost.alias("_n")).repartitionByRange(key, pos).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(key, "_part").agg(F.sum("_n").alias("_sum"))  # a row for each key in each range
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = sums.withColumn("_before", before).where(F.col("_before") <= config.context_tokens).select(key, "_part", "_before")
+    rows = dealt.join(begun, [key, "_part"]).withColumn("running_tokens", F.col("_before") + upto(F.col("_n"), key, "_part"))
+    return ranked.join(rows.where(F.col("running_tokens") <= config.context_tokens).select(key, pos, "running_tokens"), [key, pos])
 
 
-def contexts(ranked: DataFrame, key: str, config: Config = DEFAULT, text: str = "text", pos: str = "pos") -> DataFrame:
+def contexts(ranked: DataFrame, key: str, config: Config = DEFAULT, text: str = "text", pos: str = "pos", wide: bool = False) -> DataFrame:
     """``key, context, n_texts``: the texts of a key in order, joined; a budget bounds what is gathered."""
-    kept = token_budget(ranked, key, config, text, pos)
+    kept = token_budget(ranked, key, config, text, pos, wide)
     rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     gathered = kept.groupBy(key).agg(rows.alias("rows"))
     texts = F.filter(F.transform("rows", lambda x: x["t"]), lambda x: x != "")

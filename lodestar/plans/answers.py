@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import chunks as chunked
-from ..operators import evaluate, index, merge, strategies
-from ..operators.graph import extract, valid
+from ..operators import evaluate, merge, strategies
+from ..operators.graph import extract
 from ..providers import RULES
 from ..storage import cut, table
 from . import query
+from .graphs import pagerank_steps
 from .texts import CHUNKS
 
 #: A question is a user's turn, its expected answer the next turn; the turn's number is in the id.
@@ -45,6 +48,12 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", "reference", "question", text.alias("prediction"), F.when(F.col("qid") % 5 != 0, F.array("reference", "question")).alias("retrieved"))
 
 
+def _two_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of the predictions, and of answers that repeat the reference."""
+    rows = predicted(spark, sf_dir)
+    return evaluate.judged(rows).withColumn("method", F.lit("naive")).unionByName(evaluate.judged(rows.withColumn("prediction", F.col("reference"))).withColumn("method", F.lit("graph")))
+
+
 def _round(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -92,17 +101,56 @@ def judge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.judged(predicted(spark, sf_dir))
 
 
+SPLIT = f"""{PREDICTED}, {SENTENCES}, both_texts AS (SELECT qid, 'r' AS side, {SENT.format('reference')} AS s FROM answered WHERE qid % 5 <> 0 UNION ALL SELECT qid, 'q', {SENT.format('question')} FROM answered WHERE qid % 5 <> 0),
+tkey AS (SELECT qid || side || i AS key, qid, text FROM (SELECT qid, side, unnest(s) AS text, generate_subscripts(s, 1) AS i FROM both_texts)), {_vectors('tv', 'tkey')},
+cross_sim AS (SELECT k.qid, k.key, t.key AS other, coalesce(sum(a.value * v.value), 0) AS sim FROM akey k JOIN tkey t ON t.qid = k.qid LEFT JOIN av a ON a.key = k.key LEFT JOIN tv v ON v.key = t.key AND v.bucket = a.bucket GROUP BY ALL),
+best2 AS (SELECT qid, key, max(sim) AS sim FROM cross_sim GROUP BY ALL),
+faith AS (SELECT qid, avg((round(sim, 9) >= 0.7)::INTEGER) AS faithfulness_hard, avg(sim) AS faithfulness_soft FROM best2 GROUP BY qid)"""
+
+
+@query(f"WITH {SPLIT} SELECT p.qid, round(faithfulness_hard, 6) AS faithfulness_hard, round(faithfulness_soft, 6) AS faithfulness_soft FROM predicted p LEFT JOIN faith USING (qid)")
+def faithfulness_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the sentences of what was retrieved."""
+    return _round(evaluate.faithfulness(predicted(spark, sf_dir), split=True), "faithfulness_hard", "faithfulness_soft")
+
+
+SCORES = f"""{FAITHFUL}, {COVERAGE.split(SENTENCES + ', ')[1]}, {F1.replace(PREDICTED + ', ', '')}, judged AS (SELECT qid, {JUDGED.format('prediction', 'reference')} AS llm_label FROM predicted),
+scores AS (SELECT p.qid, semantic_f1, coverage, faithfulness_hard, faithfulness_soft, llm_label FROM predicted p JOIN f1 USING (qid) JOIN coverage USING (qid) LEFT JOIN faith USING (qid) JOIN judged USING (qid))"""
+MEANS = ("semantic_f1", "coverage", "faithfulness_hard", "faithfulness_soft")
+
+
+@query(f"WITH {SCORES} SELECT qid, {', '.join(f'round({c}, 6) AS {c}' for c in MEANS)}, llm_label FROM scores")
+def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score of every answered question."""
+    return _round(evaluate.all_metrics(predicted(spark, sf_dir)), *MEANS)
+
+
 @query(
-    f"""WITH {F1}, judged AS (SELECT qid, {JUDGED.format('prediction', 'reference')} AS l FROM predicted)
-SELECT count(*) AS n, round(avg(semantic_f1), 6) AS avg_semantic_f1, count(*) FILTER (l = 'correct') AS n_correct, count(*) FILTER (l = 'incorrect') AS n_incorrect, count(*) FILTER (l = 'incomplete') AS n_incomplete,
-  round(100.0::DOUBLE * count(*) FILTER (l = 'incomplete') / count(*), 2) AS pct_incomplete FROM f1 JOIN judged USING (qid)"""
+    f"""WITH {SCORES} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in MEANS)}, {', '.join(f"count(*) FILTER (llm_label = '{k}') AS n_{k}" for k in ('correct', 'incorrect', 'incomplete'))},
+{', '.join(f"round(100.0::DOUBLE * count(*) FILTER (llm_label = '{k}') / count(*), 2) AS pct_{k}" for k in ('correct', 'incorrect', 'incomplete'))} FROM scores"""
 )
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predicted(spark, sf_dir)
-    scores = evaluate.token_f1(rows).select("qid", "semantic_f1").join(evaluate.judged(rows), "qid")
-    empty = F.lit(None).cast("double")
-    made = evaluate.summary(scores.withColumns({"coverage": empty, "faithfulness_hard": empty, "faithfulness_soft": empty}))
-    return made.select("n", "avg_semantic_f1", "n_correct", "n_incorrect", "n_incomplete", "pct_incomplete")
+    return evaluate.summary(evaluate.all_metrics(predicted(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PREDICTED}, found AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user' AND turn % 4 = 0)
+SELECT p.qid, md5(p.prediction) AS prediction_md5, CASE WHEN f.qid IS NULL THEN 0 ELSE 1 END AS n_retrieved FROM predicted p LEFT JOIN found f USING (qid) WHERE p.qid % 7 <> 0"""
+)
+def to_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers meet their questions and what was retrieved for them; those with scores (every seventh id) are left out."""
+    rows = cut(predicted(spark, sf_dir))
+    found = table(spark, sf_dir, "conversations").where("role = 'user' and turn % 4 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.array("text").alias("retrieved"))
+    made = evaluate.to_evaluate(rows.select("qid", "reference"), rows.select("qid", "prediction"), found, rows.where("qid % 7 = 0").select("qid"))
+    return made.select("qid", F.md5("prediction").alias("prediction_md5"), F.size("retrieved").alias("n_retrieved"))
+
+
+@query(
+    f"""WITH {PREDICTED}, a AS (SELECT qid, {JUDGED.format('prediction', 'reference')} AS l FROM predicted), b AS (SELECT qid, {JUDGED.format('reference', 'reference')} AS l FROM predicted)
+SELECT a.qid, a.l AS label_a, b.l AS label_b, a.l = b.l AS same, CASE WHEN a.l = b.l THEN NULL WHEN b.l = 'correct' THEN 'graph' WHEN a.l = 'correct' THEN 'naive' WHEN b.l = 'incomplete' THEN 'graph' ELSE 'naive' END AS winner FROM a JOIN b USING (qid)"""
+)
+def method_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.compared(_two_methods(spark, sf_dir), "naive", "graph")
 
 
 @query(
@@ -110,10 +158,7 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.l AS label_a, b.l AS label_b, count(*) AS n FROM a JOIN b USING (qid) GROUP BY ALL"""
 )
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predictions against answers that repeat the reference."""
-    rows = predicted(spark, sf_dir)
-    labels = evaluate.judged(rows).withColumn("method", F.lit("naive")).unionByName(evaluate.judged(rows.withColumn("prediction", F.col("reference"))).withColumn("method", F.lit("graph")))
-    return evaluate.comparison(labels, "naive", "graph")
+    return evaluate.comparison(_two_methods(spark, sf_dir), "naive", "graph")
 
 
 def _best_sentence(source: str) -> str:
@@ -128,62 +173,142 @@ def answer_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.direct(pairs(spark, sf_dir))
 
 
-#: Every hundredth conversation asks; passages are the chunks of all documents.
-ASKED = f"{PAIRS}, asked AS (SELECT * FROM pairs WHERE conv_id % 100 = 0)"
+#: The first questions of every tenth conversation ask (conversation and turn make an id divisible by 100); passages are the chunks of all documents.
+ASKED = f"{PAIRS}, asked AS (SELECT * FROM pairs WHERE (conv_id * 10 + qid % 1000) % 100 = 0)"
+#: PageRank runs so many rounds where it has SQL.
+ROUNDS = 12
+FIXED = replace(DEFAULT, ppr_rounds=ROUNDS)
+PLAIN = {"config": FIXED, "tolerance": None}
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(pairs(spark, sf_dir).where(F.col("conv_id") % 100 == 0).select("qid", "question"))
+    return cut(pairs(spark, sf_dir).where((F.col("conv_id") * 10 + F.col("qid") % 1000) % 100 == 0).select("qid", "question"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunked(table(spark, sf_dir, "documents")).withColumn("row_id", F.col("doc_id") * 1000 + F.col("chunk_idx"))
+    return cut(chunked(table(spark, sf_dir, "documents")).withColumn("row_id", F.col("doc_id") * 1000 + F.col("chunk_idx")))
+
 
+def _world(chunks: DataFrame) -> strategies.Graph:
+    return strategies.graph_of(extract(chunks))
 
-@query()
+
+NAIVE = f"""{ASKED}, {CHUNKS}, ckey AS (SELECT doc_id * 1000 + chunk_idx AS key, text FROM chunks), {_vectors('cv', 'ckey')}, qkey AS (SELECT qid AS key, question AS text FROM asked), {_vectors('qv', 'qkey')},
+near AS (SELECT a.qid, c.key, round(coalesce(s.sim, 0), 12) AS similarity FROM asked a CROSS JOIN ckey c LEFT JOIN (SELECT qv.key AS qid, cv.key, sum(qv.value * cv.value) AS sim FROM qv JOIN cv USING (bucket) GROUP BY ALL) s ON s.qid = a.qid AND s.key = c.key),
+naive AS (SELECT qid, key // 1000 AS doc_id, key % 1000 AS chunk_idx, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, key) - 1 AS pos FROM near QUALIFY pos < 100)"""
+
+
+@query(f"WITH {NAIVE} SELECT qid, pos, doc_id, chunk_idx::INTEGER AS chunk_idx, round(similarity, 6) AS similarity FROM naive")
+def naive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strategies.naive_passages(_asked(spark, sf_dir), _chunks(spark, sf_dir), DEFAULT.top_k)
+    return found.select("qid", F.col("pos").cast("long").alias("pos"), "doc_id", "chunk_idx", F.round("similarity", 6).alias("similarity"))
+
+
+def _answered(source: str, method: str, asks: str = "asked") -> str:
+    """The best sentence of the passages of ``source`` (qid, pos, text) within the budget, or a refusal."""
+    return f"""ranked AS (SELECT qid, pos, text, sum(length(text) // 4) OVER (PARTITION BY qid ORDER BY pos) AS run FROM {source}),
+ctx AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS context FROM ranked WHERE run <= 8000 GROUP BY qid), rows AS (SELECT qid, question, context FROM asked JOIN ctx USING (qid)), {_best_sentence('rows')}
+SELECT a.qid, '{method}' AS method, md5(coalesce(b.answer, '{REFUSAL}')) AS answer_md5 FROM {asks} a LEFT JOIN best b USING (qid)"""
+
+
+def _hashed(made: DataFrame) -> DataFrame:
+    return made.select("qid", "method", F.md5("answer").alias("answer_md5"))
+
+
+@query(f"WITH {NAIVE}, held AS (SELECT * FROM naive JOIN chunks USING (doc_id, chunk_idx)), {_answered('held', 'naive')}")
 def answer_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth conversation's questions, answered from the five most similar chunks."""
+    """Answered from the hundred most similar chunks, as far as the budget goes."""
     asked = _asked(spark, sf_dir)
-    return strategies.answered(asked, strategies.naive_passages(asked, _chunks(spark, sf_dir), 5), "naive")
+    return _hashed(strategies.answered(asked, strategies.naive_passages(asked, _chunks(spark, sf_dir), DEFAULT.top_k), "naive"))
 
 
-GRAPH = f"""{ASKED}, {CHUNKS}, names AS (SELECT doc_id, chunk_idx, regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS n FROM chunks), idx AS (SELECT DISTINCT doc_id, chunk_idx, unnest(n) AS entity FROM names WHERE len(n) > 1),
-ask AS (SELECT DISTINCT qid, unnest(regexp_extract_all(question, '[A-Z][a-z]{{3,}}')) AS entity FROM asked),
-held AS (SELECT qid, doc_id, chunk_idx, count(*) AS n FROM ask JOIN idx USING (entity) GROUP BY ALL),
-graph AS (SELECT qid, doc_id, chunk_idx, row_number() OVER (PARTITION BY qid ORDER BY n DESC, doc_id, chunk_idx) - 1 AS pos FROM held QUALIFY pos < 5)"""
+TRIGRAMS = r"CASE WHEN length({0}) > 2 THEN array_to_string(list_transform(range(1, length({0}) - 1), lambda i: substr(regexp_replace(lower({0}), '\s+', '_', 'g'), i::INTEGER, 3)), ' ') ELSE lower({0}) END"
+#: Triplets of the chunks, entity ids, edges by id, and the seeds of each question.
+SEEDED = f"""{CHUNKS}, named AS (SELECT doc_id, chunk_idx, regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS n FROM chunks),
+trip AS (SELECT doc_id, chunk_idx, n[i] AS subject, n[i + 1] AS object FROM (SELECT *, unnest(range(1, len(n))) AS i FROM named WHERE len(n) > 1)),
+ent AS (SELECT row_number() OVER (ORDER BY entity) - 1 AS entity_id, entity FROM (SELECT subject AS entity FROM trip UNION SELECT object FROM trip)),
+edges AS (SELECT DISTINCT least(a.entity_id, b.entity_id) AS src, greatest(a.entity_id, b.entity_id) AS dst FROM trip JOIN ent a ON a.entity = subject JOIN ent b ON b.entity = object),
+sym AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+askn AS (SELECT qid, question, list_distinct(regexp_extract_all(question, '[A-Z][a-z]{{3,}}')) AS n FROM asked),
+aske AS (SELECT qid, unnest(CASE WHEN len(n) > 0 THEN n ELSE [question] END) AS entity FROM askn),
+tkey1 AS (SELECT DISTINCT entity AS key, {TRIGRAMS.format('entity')} AS text FROM aske), {_vectors('av', 'tkey1')},
+tkey2 AS (SELECT entity_id AS key, {TRIGRAMS.format('entity')} AS text FROM ent), {_vectors('ev', 'tkey2')},
+esim AS (SELECT av.key AS entity, ev.key AS node, round(sum(av.value * ev.value), 12) AS similarity FROM av JOIN ev USING (bucket) GROUP BY ALL),
+etop AS (SELECT * FROM esim QUALIFY row_number() OVER (PARTITION BY entity ORDER BY similarity DESC, node) <= 20),
+emax AS (SELECT qid, node, max(similarity) AS similarity FROM aske JOIN etop USING (entity) WHERE similarity > 0.4 GROUP BY ALL),
+seed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, node) AS rank FROM emax QUALIFY rank <= 20),
+seeds AS (SELECT qid, node, similarity AS weight FROM seed)"""
 
 
-@query(
-    f"""WITH {GRAPH}, ranked AS (SELECT qid, pos, text, sum(length(text) // 4) OVER (PARTITION BY qid ORDER BY pos) AS run FROM graph JOIN chunks USING (doc_id, chunk_idx)),
-ctx AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS context FROM ranked WHERE run <= 8000 GROUP BY qid), rows AS (SELECT qid, question, context FROM asked JOIN ctx USING (qid)), {_best_sentence('rows')}
-SELECT a.qid, 'graph' AS method, md5(coalesce(b.answer, '{REFUSAL}')) AS answer_md5 FROM asked a LEFT JOIN best b USING (qid)"""
-)
+@query(f"WITH {ASKED}, {SEEDED} SELECT qid, entity, rank, round(similarity, 6) AS similarity FROM seed JOIN ent ON entity_id = node")
+def graph_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that start the search for each question."""
+    world = _world(_chunks(spark, sf_dir))
+    found = strategies.seeds(_asked(spark, sf_dir), world).join(world.names.withColumnRenamed("entity_id", "node"), "node")
+    return found.select("qid", "entity", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+PLACED = f"""{SEEDED}, {pagerank_steps(ROUNDS)},
+ptop AS (SELECT qid, node FROM x{ROUNDS} WHERE score >= 1e-5 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, node) <= 100),
+nodes AS MATERIALIZED (SELECT qid, node FROM ptop UNION SELECT qid, node FROM seeds),
+inside AS (SELECT a.qid, e.src, e.dst, greatest(coalesce(s.similarity, 0), coalesce(t.similarity, 0)) AS similarity FROM edges e JOIN nodes a ON a.node = e.src JOIN nodes b ON b.node = e.dst AND b.qid = a.qid LEFT JOIN seed s ON s.qid = a.qid AND s.node = e.src LEFT JOIN seed t ON t.qid = a.qid AND t.node = e.dst),
+spelt AS (SELECT qid, a.entity AS subject, b.entity AS object, similarity FROM inside JOIN ent a ON a.entity_id = src JOIN ent b ON b.entity_id = dst),
+ways AS (SELECT qid, subject, object, similarity FROM spelt UNION SELECT qid, object, subject, similarity FROM spelt),
+held1 AS (SELECT qid, doc_id, chunk_idx, max(similarity) AS similarity FROM ways JOIN trip USING (subject, object) GROUP BY ALL),
+sources AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id, chunk_idx) - 1 AS pos FROM held1)"""
+
+
+@query(f"WITH {ASKED}, {PLACED} SELECT n.qid, entity, round(similarity, 6) AS similarity, rank, rank IS NOT NULL AS is_seed FROM nodes n JOIN ent ON entity_id = n.node LEFT JOIN seed s ON s.qid = n.qid AND s.node = n.node")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strategies.graph_search(_asked(spark, sf_dir), _world(_chunks(spark, sf_dir)), **PLAIN).nodes
+    return found.select("qid", "entity", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"), "is_seed")
+
+
+@query(f"WITH {ASKED}, {PLACED} SELECT qid, subject, 'next_to' AS relation, object, round(similarity, 6) AS similarity FROM spelt")
+def graph_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strategies.graph_search(_asked(spark, sf_dir), _world(_chunks(spark, sf_dir)), **PLAIN).triplets
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {ASKED}, {PLACED} SELECT qid, pos, doc_id, chunk_idx, round(1 - 0.01::DOUBLE * pos, 6) AS similarity FROM sources")
+def graph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    found = strategies.graph_passages(_asked(spark, sf_dir), _world(chunks), chunks, **PLAIN)
+    return found.select("qid", F.col("pos").cast("long").alias("pos"), "doc_id", "chunk_idx", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {ASKED}, {PLACED}, held AS (SELECT * FROM sources JOIN chunks USING (doc_id, chunk_idx)), {_answered('held', 'graph')}")
 def answer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same questions, answered from the five chunks that name most of their entities."""
-    asked, rows = _asked(spark, sf_dir), _chunks(spark, sf_dir)
-    held = index.entity_chunks(valid(extract(rows)))
-    made = strategies.answered(asked, strategies.graph_passages(asked, held, rows, 5), "graph")
-    return made.select("qid", "method", F.md5("answer").alias("answer_md5"))
+    """Answered from the chunks that state the triplets around the question's entities."""
+    asked, chunks = _asked(spark, sf_dir), _chunks(spark, sf_dir)
+    return _hashed(strategies.answered(asked, strategies.graph_passages(asked, _world(chunks), chunks, **PLAIN), "graph"))
+
+
+HYBRID = f"""{NAIVE}, {PLACED.replace(CHUNKS + ', ', '')}, each_one AS (SELECT qid, 2 * pos AS pos, doc_id, chunk_idx FROM naive UNION ALL SELECT qid, 2 * pos + 1, doc_id, chunk_idx FROM sources),
+held AS (SELECT * FROM each_one JOIN chunks USING (doc_id, chunk_idx) WHERE qid IN (SELECT qid FROM naive) AND qid IN (SELECT qid FROM sources) AND text <> '' QUALIFY row_number() OVER (PARTITION BY qid, doc_id, chunk_idx ORDER BY pos) = 1)"""
 
 
-@query()
+@query(f"WITH {HYBRID}, asks AS (SELECT * FROM asked WHERE qid IN (SELECT qid FROM held)), {_answered('held', 'hybrid', 'asks')}")
 def answer_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, rows = _asked(spark, sf_dir), _chunks(spark, sf_dir)
-    held = index.entity_chunks(valid(extract(rows)))
-    return strategies.hybrid(asked, strategies.naive_passages(asked, rows, 5), strategies.graph_passages(asked, held, rows, 5))
+    """Answered from both lists, one passage of each in turn."""
+    asked, chunks = _asked(spark, sf_dir), _chunks(spark, sf_dir)
+    near = strategies.naive_passages(asked, chunks, DEFAULT.top_k)
+    return _hashed(strategies.hybrid(asked, near, strategies.graph_passages(asked, _world(chunks), chunks, **PLAIN)))
 
 
-@query()
+@query(f"WITH {ASKED}, {PLACED}, held AS (SELECT * FROM sources JOIN chunks USING (doc_id, chunk_idx)), one AS (WITH {_answered('held', 'iterative')}) SELECT *, 1 AS rounds FROM one WHERE answer_md5 <> md5('{REFUSAL}')")
 def answer_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, rows = _asked(spark, sf_dir), _chunks(spark, sf_dir)
-    held = cut(index.entity_chunks(valid(extract(rows))))
-    return strategies.iterative(asked, lambda q: strategies.graph_passages(q, held, rows, 5))
+    """Those that a round with passages answers (the stand-in answers from any passage, so the first)."""
+    asked, chunks = _asked(spark, sf_dir), _chunks(spark, sf_dir)
+    world = _world(chunks)
+    made, _ = strategies.iterative(asked, lambda q: strategies.graph_passages(q, world, chunks, **PLAIN))
+    return made.where(F.col("answer") != REFUSAL).select("qid", "method", F.md5("answer").alias("answer_md5"), "rounds")
 
 
-#: Two ranked lists of a language's documents: by id, and by length; the second has no id for every seventh.
-LISTS = """lists AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p1, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS p2 FROM documents),
-rows AS (SELECT lang AS qid, 2 * p1 AS pos, doc_id, 0 AS chunk_idx, text FROM lists WHERE p1 < 40
-  UNION ALL SELECT lang, 2 * p2 + 1, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id END, 0, text FROM lists WHERE p2 < 40),
+#: Two ranked lists of a conversation's turns: by number, and by length; the second has no id for every third.
+LISTS = """lists AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p1, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) - 1 AS p2 FROM conversations),
+rows AS (SELECT conv_id AS qid, 2 * p1 AS pos, turn AS doc_id, 0 AS chunk_idx, text FROM lists
+  UNION ALL SELECT conv_id, 2 * p2 + 1, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn END, 0, text FROM lists),
 keyed AS (SELECT *, row_number() OVER (PARTITION BY qid, CASE WHEN doc_id IS NULL THEN md5(text) ELSE doc_id || ':' || chunk_idx END ORDER BY pos) AS seen FROM rows WHERE text <> ''),
 merged AS (SELECT qid, pos, doc_id, chunk_idx, text FROM keyed WHERE seen = 1)"""
 
@@ -191,10 +316,10 @@ merged AS (SELECT qid, pos, doc_id, chunk_idx, text FROM keyed WHERE seen = 1)""
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents")
-    rank = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)) - 1
-    of = lambda pos, doc_id: docs.withColumn("pos", pos).where("pos < 40").select(F.col("lang").alias("qid"), "pos", doc_id.alias("doc_id"), F.lit(0).alias("chunk_idx"), "text")
-    return merge.interleave(of(rank("doc_id"), F.col("doc_id")), of(rank("n_chars", "doc_id"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id"))))
+    turns = table(spark, sf_dir, "conversations")
+    rank = lambda *order: F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)) - 1
+    of = lambda pos, doc_id: turns.select(F.col("conv_id").alias("qid"), pos.alias("pos"), doc_id.alias("doc_id"), F.lit(0).alias("chunk_idx"), "text")
+    return merge.interleave(of(rank("turn"), F.col("turn")), of(rank(F.length("text"), "turn"), F.when(F.col("turn") % 3 != 0, F.col("turn"))))
 
 
 @query(f"WITH {LISTS} SELECT qid, pos, doc_id, chunk_idx, md5(text) AS text_md5 FROM merged")

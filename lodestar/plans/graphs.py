@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.text import chunks as chunked
 from ..operators import graph
 from ..storage import cut, table
 from . import query
+from .texts import CHUNKS
 
 #: All triplets of the star schema; small ones leave out parts and orders.
 SMALL = """small AS (
@@ -78,47 +80,54 @@ def entities_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entities_per_doc(triplets(spark, sf_dir))
 
 
+VERTICES = """vertices AS (SELECT 's' || s_suppkey AS node FROM supplier UNION SELECT 'c' || c_custkey FROM customer UNION SELECT 'n' || n_nationkey FROM nation UNION SELECT 'r' || r_regionkey FROM region UNION SELECT 'p' || p_partkey FROM part)"""
+
+
+def _all_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that no one supplies and regions without nations, too."""
+    of = lambda name, prefix, key: table(spark, sf_dir, name).select(_name(prefix, key).alias("node"))
+    rows = of("supplier", "s", "s_suppkey").union(of("customer", "c", "c_custkey")).union(of("nation", "n", "n_nationkey"))
+    return rows.union(of("region", "r", "r_regionkey")).union(of("part", "p", "p_partkey")).distinct()
+
+
 @query(
-    f"""WITH {EDGES}, v AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), n AS (SELECT count(*) AS n FROM v), m AS (SELECT count(*) AS m, count(DISTINCT relation) AS r FROM edges)
-SELECT n AS n_nodes, m AS n_edges, r AS n_relations, round(2.0::DOUBLE * m / (n * (n - 1)), 6) AS density, round(2.0::DOUBLE * m / n, 2) AS avg_degree, 0::BIGINT AS n_isolated FROM n, m"""
+    f"""WITH {EDGES}, {VERTICES}, ends AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), n AS (SELECT count(*) AS n, count(*) FILTER (node NOT IN (SELECT node FROM ends)) AS alone FROM vertices), m AS (SELECT count(*) AS m, count(DISTINCT relation) AS r FROM edges)
+SELECT n AS n_nodes, m AS n_edges, r AS n_relations, round(2.0::DOUBLE * m / (n * (n - 1)), 6) AS density, round(2.0::DOUBLE * m / n, 2) AS avg_degree, alone AS n_isolated FROM n, m"""
 )
 def graph_basic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(triplets(spark, sf_dir))
-    return graph.basic_stats(_vertices(edges), edges)
+    return graph.basic_stats(_all_vertices(spark, sf_dir), _edges(triplets(spark, sf_dir)))
 
 
-@query(
-    f"""WITH RECURSIVE {SMALL_EDGES}, {BOTH}, reach(node, component) AS (
-  SELECT src, src FROM sym WHERE src LIKE 'r%' UNION SELECT dst, component FROM reach JOIN sym ON src = node)
-SELECT node, min(least(component, node2)) AS component FROM (SELECT r.node, r.component, min(x.node) OVER (PARTITION BY r.component) AS node2 FROM reach r JOIN reach x ON x.component = r.component AND x.node = r.node) GROUP BY node"""
-)
+#: Every vertex with an edge reaches a region; a component is named after its smallest vertex.
+REACH = f"""{EDGES}, {BOTH}, reach(node, root) AS (SELECT src, src FROM sym WHERE src LIKE 'r%' UNION SELECT dst, root FROM reach JOIN sym ON src = node),
+low AS (SELECT root, min(node) AS m FROM reach GROUP BY root), labels AS (SELECT node, min(m) AS component FROM reach JOIN low USING (root) GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT node, component FROM labels")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_edges(small_triplets(spark, sf_dir)))
+    return graph.components(_edges(triplets(spark, sf_dir)))
 
 
 @query(
-    f"""WITH RECURSIVE {SMALL_EDGES}, {BOTH}, reach(node, component) AS (
-  SELECT src, src FROM sym WHERE src LIKE 'r%' UNION SELECT dst, component FROM reach JOIN sym ON src = node),
-sizes AS (SELECT component, count(*) AS n FROM reach GROUP BY component)
+    f"""WITH RECURSIVE {REACH}, sizes AS (SELECT component, count(*) AS n FROM labels GROUP BY component)
 SELECT count(*) AS n_components, max(n) AS largest, round(max(n) / sum(n)::DOUBLE, 4) AS largest_ratio, count(*) = 1 AS connected FROM sizes"""
 )
 def graph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = graph.components(_edges(small_triplets(spark, sf_dir))).groupBy("component").agg(F.count("*").alias("n"))
+    sizes = graph.components(_edges(triplets(spark, sf_dir))).groupBy("component").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("n_components"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 4).alias("largest_ratio"), (F.count("*") == 1).alias("connected"))
 
 
 @query(
-    """WITH pairs AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_orderkey % 50 = 0),
+    f"""WITH {CHUNKS}, named AS (SELECT regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS n FROM chunks), trip AS (SELECT n[i] AS a, n[i + 1] AS b FROM (SELECT n, unnest(range(1, len(n))) AS i FROM named WHERE len(n) > 1)),
+vertices AS (SELECT a AS u FROM trip UNION SELECT b FROM trip), pairs AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM trip WHERE a <> b),
 sym AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs), k AS (SELECT u, count(*) AS k FROM sym GROUP BY u),
 t AS (SELECT x.u, count(*) AS t FROM sym x JOIN sym y ON x.u = y.u AND x.v < y.v JOIN pairs p ON p.a = x.v AND p.b = y.v GROUP BY x.u)
-SELECT round(sum(CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) / count(*), 6) AS avg_clustering, count(*) AS n_nodes FROM k LEFT JOIN t USING (u)"""
+SELECT round(sum(CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) / count(*), 6) AS avg_clustering, count(*) AS n_nodes FROM vertices LEFT JOIN k USING (u) LEFT JOIN t USING (u)"""
 )
 def graph_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers are joined if one order (of those with round keys) has lines of both."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 50 == 0).select("l_orderkey", "l_suppkey").distinct()
-    pairs = lines.join(lines.withColumnRenamed("l_suppkey", "dst"), "l_orderkey").where(F.col("l_suppkey") < F.col("dst")).select(F.col("l_suppkey").alias("src"), "dst").distinct()
-    pairs = cut(pairs)
-    return graph.clustering(_vertices(pairs), pairs)
+    """Names that stand next to each other in the documents are joined."""
+    stated = cut(graph.extract(chunked(table(spark, sf_dir, "documents"))).select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct())
+    return graph.clustering(_vertices(stated), stated)
 
 
 @query(
@@ -132,18 +141,16 @@ def graph_degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE t AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-sym AS (SELECT a AS src, b AS dst FROM t UNION SELECT b, a FROM t), reach(node, component) AS (
+    f"""WITH RECURSIVE {SMALL_EDGES}, {BOTH}, reach(node, component) AS (
   SELECT src, src FROM sym WHERE src LIKE 'r%' UNION SELECT dst, component FROM reach JOIN sym ON src = node),
 low AS (SELECT component, count(*) AS n, min(node) AS first FROM reach GROUP BY component), top AS (SELECT component, n FROM low ORDER BY n DESC, first LIMIT 1),
-walk(src, node, d) AS (SELECT node, node, 0 FROM reach WHERE component = (SELECT component FROM top) UNION SELECT walk.src, sym.dst, d + 1 FROM walk JOIN sym ON sym.src = walk.node WHERE d < 4),
+walk(src, node, d) AS (SELECT node, node, 0 FROM reach WHERE component = (SELECT component FROM top WHERE n <= 5000) UNION SELECT walk.src, sym.dst, d + 1 FROM walk JOIN sym ON sym.src = walk.node WHERE d < 4),
 best AS (SELECT src, node, min(d) AS d FROM walk GROUP BY src, node)
-SELECT round(avg(d), 4) AS avg_path, max(d)::BIGINT AS diameter, (SELECT n FROM top) AS n_nodes FROM best WHERE d > 0"""
+SELECT coalesce(round(avg(d), 4), -1) AS avg_path, coalesce(max(d), -1)::BIGINT AS diameter, (SELECT n FROM top) AS n_nodes FROM best WHERE d > 0"""
 )
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths among regions, nations and suppliers."""
-    kept = small_triplets(spark, sf_dir).where(~F.startswith("subject", F.lit("c")))
-    return graph.path_metrics(cut(_edges(kept)))
+    """Paths among regions, nations, suppliers and customers: where they are.  A region's tree is a component; one of over 5000 nodes gives -1."""
+    return graph.path_metrics(cut(_edges(small_triplets(spark, sf_dir))))
 
 
 @query(f"WITH {TRIPLETS} SELECT relation, count(*) AS n FROM triplets GROUP BY relation ORDER BY n DESC, relation LIMIT 5")
@@ -151,25 +158,33 @@ def relation_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_relations(triplets(spark, sf_dir))
 
 
-#: Two questions with weighted seeds among the suppliers.
-SEEDS = "seeds(qid, node, weight) AS (VALUES (1, 's1', 0.75::DOUBLE), (1, 's2', 0.25::DOUBLE), (2, 's3', 0.5::DOUBLE))"
+#: A question for each region; its seeds are the two suppliers there with most money.
+SEEDS = """rich AS (SELECT n_regionkey AS qid, 's' || s_suppkey AS node, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+seeds AS (SELECT qid, node, CASE r WHEN 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS weight FROM rich WHERE r <= 2)"""
 
 
-def _seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "s1", 0.75), (1, "s2", 0.25), (2, "s3", 0.5)], "qid int, node string, weight double")
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    r = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
+    top = rows.select(F.col("n_regionkey").alias("qid"), _name("s", "s_suppkey").alias("node"), r.alias("r")).where("r <= 2")
+    return cut(top.select("qid", "node", F.when(F.col("r") == 1, 0.75).otherwise(0.25).alias("weight")))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    """The rounds written one after another."""
-    steps = ["deg AS MATERIALIZED (SELECT src, count(*) AS k FROM sym GROUP BY src)", "p AS (SELECT qid, node, weight / sum(weight) OVER (PARTITION BY qid) AS share FROM seeds)", "x0 AS (SELECT qid, node, share AS score FROM p)"]
+def pagerank_steps(rounds: int) -> str:
+    """CTEs from ``sym`` (src, dst) and ``seeds`` (qid, node, weight) to ``x{rounds}``: the rounds written one after another."""
+    steps = ["deg AS MATERIALIZED (SELECT src, count(*) AS k FROM sym GROUP BY src)", "p AS MATERIALIZED (SELECT qid, node, weight / sum(weight) OVER (PARTITION BY qid) AS share FROM seeds)", "x0 AS (SELECT qid, node, share AS score FROM p)"]
     for n in range(1, rounds + 1):
         steps.append(f"x{n} AS MATERIALIZED (SELECT qid, node, sum(part) AS score FROM (SELECT x.qid, s.dst AS node, 0.85::DOUBLE * x.score / d.k AS part FROM x{n - 1} x JOIN sym s ON s.src = x.node JOIN deg d ON d.src = x.node UNION ALL SELECT qid, node, (1 - 0.85::DOUBLE) * share FROM p) GROUP BY qid, node)")
-    return f"{EDGES}, {BOTH}, {SEEDS}, {', '.join(steps)}"
+    return ", ".join(steps)
+
+
+def _pagerank_sql(rounds: int) -> str:
+    return f"{EDGES}, {BOTH}, {SEEDS}, {pagerank_steps(rounds)}"
 
 
 @query(f"WITH {_pagerank_sql(4)} SELECT qid, node, round(score, 9) AS score FROM x4")
 def ppr_fixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = graph.pagerank(_edges(triplets(spark, sf_dir)), _seeds(spark), 4, DEFAULT.ppr_alpha)
+    scores = graph.pagerank(_edges(triplets(spark, sf_dir)), _seeds(spark, sf_dir), 4, DEFAULT.ppr_alpha)
     return scores.withColumn("score", F.round("score", 9))
 
 
@@ -178,35 +193,41 @@ def ppr_fixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT qid, node FROM top WHERE r <= 100 UNION SELECT qid, node FROM seeds"""
 )
 def ppr_topn_with_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _seeds(spark)
+    seeds = _seeds(spark, sf_dir)
     return graph.ppr_subgraph(graph.pagerank(_edges(triplets(spark, sf_dir)), seeds, 4), seeds)
 
 
+@query()
+def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same seeds, until the scores hardly change any more."""
+    return graph.pagerank(_edges(triplets(spark, sf_dir)), _seeds(spark, sf_dir), DEFAULT.ppr_rounds, DEFAULT.ppr_alpha, 1e-6)
+
+
 BFS = f"""{EDGES}, {BOTH}, {SEEDS}, h1 AS (SELECT DISTINCT qid, dst AS node FROM seeds JOIN sym ON src = node), h2 AS (SELECT DISTINCT qid, dst AS node FROM h1 JOIN sym ON src = node),
 within2 AS (SELECT qid, node, min(hops) AS hops FROM (SELECT qid, node, 0 AS hops FROM seeds UNION ALL SELECT qid, node, 1 FROM h1 UNION ALL SELECT qid, node, 2 FROM h2) GROUP BY qid, node)"""
 
 
 @query(f"WITH {BFS} SELECT qid, node, hops FROM within2")
 def bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.within(_edges(triplets(spark, sf_dir)), _seeds(spark))
+    return graph.within(_edges(triplets(spark, sf_dir)), _seeds(spark, sf_dir))
 
 
 @query(f"WITH {BFS} SELECT a.qid, e.src, e.dst, e.relation FROM edges e JOIN within2 a ON a.node = e.src AND a.hops <= 1 JOIN within2 b ON b.node = e.dst AND b.hops <= 1 AND b.qid = a.qid")
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = cut(_edges(triplets(spark, sf_dir)))
-    return graph.induced(edges, graph.within(edges, _seeds(spark), 1)).select("qid", "src", "dst", "relation")
+    return graph.induced(edges, graph.within(edges, _seeds(spark, sf_dir), 1)).select("qid", "src", "dst", "relation")
 
 
 @query(
-    """WITH stated AS (SELECT l_suppkey % 3 AS qid, l_partkey, l_suppkey, max(l_discount) AS similarity FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL),
+    """WITH stated AS (SELECT l_suppkey AS qid, l_partkey, l_suppkey, max(l_discount) AS similarity FROM lineitem GROUP BY ALL),
 best AS (SELECT qid, l_orderkey AS doc_id, l_linenumber AS chunk_idx, max(similarity) AS similarity FROM stated JOIN lineitem USING (l_partkey, l_suppkey) GROUP BY ALL)
 SELECT qid, doc_id, chunk_idx, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id, chunk_idx) AS pos FROM best"""
 )
 def source_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their lines are the documents and chunks that state a supply."""
+    """Orders and their lines are the documents and chunks that state a supply; each supplier's supplies are a question's triplets."""
     lines = table(spark, sf_dir, "lineitem")
     rows = lines.select(_name("p", "l_partkey").alias("subject"), F.lit("supplied_by").alias("relation"), _name("s", "l_suppkey").alias("object"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_idx"), "l_suppkey", "l_discount")
-    stated = rows.where("l_suppkey < 10").groupBy((F.col("l_suppkey") % 3).alias("qid"), "subject", "relation", "object").agg(F.max("l_discount").alias("similarity"))
+    stated = rows.groupBy(F.col("l_suppkey").alias("qid"), "subject", "relation", "object").agg(F.max("l_discount").alias("similarity"))
     found = graph.sources(stated, rows.drop("l_suppkey", "l_discount"))
     return found.withColumn("pos", F.col("pos").cast("long"))
 
@@ -218,7 +239,7 @@ SELECT qid, node, similarity, rank, true AS is_seed FROM ranked UNION ALL SELECT
 )
 def subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds are ranked by weight, the nodes around them are not."""
-    seeds = _seeds(spark)
+    seeds = _seeds(spark, sf_dir)
     near = graph.within(_edges(triplets(spark, sf_dir)), seeds, 1).select("qid", "node").join(seeds.select("qid", "node"), ["qid", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "node")).cast("long")
     top = seeds.select("qid", "node", F.col("weight").alias("similarity"), rank.alias("rank"), F.lit(True).alias("is_seed"))

@@ -41,12 +41,12 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BUDGET} SELECT lang, doc_id, running_tokens::BIGINT AS running_tokens FROM kept")
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.token_budget(_docs(spark, sf_dir), "lang", pos="doc_id").select("lang", "doc_id", "running_tokens")
+    return search.token_budget(_docs(spark, sf_dir), "lang", pos="doc_id", wide=True).select("lang", "doc_id", "running_tokens")
 
 
 @query(f"WITH {BUDGET} SELECT lang, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS context_md5, count(*) AS n_texts FROM kept GROUP BY lang")
 def context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = search.contexts(_docs(spark, sf_dir), "lang", pos="doc_id")
+    made = search.contexts(_docs(spark, sf_dir), "lang", pos="doc_id", wide=True)
     return made.select("lang", F.md5("context").alias("context_md5"), F.col("n_texts").cast("long").alias("n_texts"))
 
 

@@ -13,14 +13,14 @@ from . import query
 
 #: Queries are the vectors whose id is divisible by 100, against all vectors.
 PAIRS = """pairs AS (
-  SELECT q.vec_id AS qid, v.vec_id AS item_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
+  SELECT q.vec_id AS qid, v.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
   FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 100 = 0
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, item_id) AS rank FROM pairs
 )"""
 #: Every vector's neighbours but itself.
 NEIGHBOURS = """pairs AS (
-  SELECT q.vec_id AS qid, v.vec_id AS item_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
+  SELECT q.vec_id AS qid, v.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
   FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, item_id) AS rank FROM pairs

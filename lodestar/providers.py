@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT
 from .functions.text import capitalised, is_refusal, sentences, tokens
-from .functions.vectors import embedded
+from .functions.vectors import embedded, embedded_names
 
 
 def overlap(sentence: Column, question: Column) -> Column:
@@ -47,6 +47,7 @@ def rule_type(question: Column) -> Column:
 @dataclass(frozen=True)
 class Providers:
     embed: Callable[[DataFrame, str, str], DataFrame] = embedded
+    embed_names: Callable[[DataFrame, str, str], DataFrame] = embedded_names
     extract_entities: Callable[[Column], Column] = capitalised
     answer: Callable[[Column, Column], Column] = extractive
     answer_directly: Callable[[Column], Column] = from_memory

@@ -44,6 +44,29 @@ def triplets_by_doc(triplets: DataFrame) -> DataFrame:
     return triplets.groupBy("doc_id").agg(F.count("*").alias("n_triplets"), F.countDistinct("chunk_idx").alias("n_chunks"))
 
 
+def regrouped(triplets: DataFrame) -> DataFrame:
+    """``doc_id, triplets``: what each document states, once a chunk, by chunk and name."""
+    item = F.struct("chunk_idx", "subject", "relation", "object")
+    return triplets.groupBy("doc_id").agg(F.array_sort(F.collect_set(item)).alias("triplets"))
+
+
+def from_records(records: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, subject, relation, object, doc_id, chunk_idx, source_text`` of records in ``content``.
+
+    A record is the JSON of an object with ``triplet, doc_id, chunk_idx, source_text`` or of
+    the bare list of three; a bare one belongs to the document of its key, to chunk 0, and
+    has no text.  Lists of another length are dropped.
+    """
+    shape = "struct<triplet: array<string>, doc_id: long, chunk_idx: int, source_text: string>"
+    bare = F.from_json("content", "array<string>")
+    rows = records.withColumn("_r", F.from_json("content", shape)).withColumn("_t", F.coalesce(F.col("_r.triplet"), bare)).where(F.size("_t") == 3)
+    none = F.lit(None)
+    return rows.select(
+        F.col(key).alias("key"), F.col("_t")[0].alias("subject"), F.col("_t")[1].alias("relation"), F.col("_t")[2].alias("object"),
+        F.coalesce("_r.doc_id", F.col(key).cast("long")).alias("doc_id"), F.coalesce("_r.chunk_idx", none.cast("int"), F.lit(0)).alias("chunk_idx"), F.coalesce("_r.source_text", F.lit("")).alias("source_text"),
+    )
+
+
 def first_answer(*columns: str) -> Column:
     """The first column that is neither null nor empty, else ''."""
     return F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in columns), F.lit(""))
@@ -56,11 +79,38 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("qid").agg(F.max_by(F.struct("answer", "rounds"), "pos").alias("a")).select("qid", "a.*")
 
 
+def passages(found: Column) -> Column:
+    """``array<struct<doc_id, chunk_idx, text>>`` of a JSON list of objects or of plain texts (whose ids are null)."""
+    kind = schemas.TEXT_REF
+    objects = F.transform(F.from_json(found, f"array<{kind}>"), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["chunk_idx"].alias("chunk_idx"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    plain = F.transform(F.from_json(found, "array<string>"), lambda x: F.struct(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("chunk_idx"), x.alias("text")))
+    return F.when(F.rlike(found, F.lit(r"^\s*\[\s*\{")), objects).otherwise(plain)
+
+
+def retrieved_texts() -> Column:
+    """The texts of whichever list a row has; of a history, the context of the last round."""
+    last = F.try_element_at(F.from_json("history", schemas.HISTORY), F.lit(-1))["context"]
+    context = F.when(F.col("history").isNotNull(), F.when(last != "", F.array(last)))
+    lists = (F.transform(passages(F.col(c)), lambda x: x["text"]) for c in ("source_sentences", "chunks", "retrieved_chunks"))
+    return F.coalesce(*lists, context, F.array().cast("array<string>"))
+
+
+def _last(rows: DataFrame, *columns: str) -> DataFrame:
+    """The last row of an id holds."""
+    return rows.groupBy("qid").agg(F.max_by(F.struct(*columns), "pos").alias("a")).select("qid", "a.*")
+
+
 def read_retrievals(spark: SparkSession, path: str) -> DataFrame:
     """``qid, retrieved``: the texts of whichever shape a row has; the last row of an id holds."""
     rows = json_rows(spark, path, schemas.RETRIEVALS).withColumn("pos", F.monotonically_increasing_id())
-    texts = F.coalesce(*(F.transform(c, lambda x: x["text"]) for c in ("source_sentences", "chunks", "retrieved_chunks")), F.transform("history", lambda x: x["answer"]), F.array().cast("array<string>"))
-    return rows.select(F.col("id").alias("qid"), texts.alias("retrieved"), "pos").groupBy("qid").agg(F.max_by("retrieved", "pos").alias("retrieved"))
+    return _last(rows.select(F.col("id").alias("qid"), retrieved_texts().alias("retrieved"), "pos"), "retrieved")
+
+
+def read_passages(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """``qid, pos, doc_id, chunk_idx, text`` of the list ``column`` of each question; the last row of an id holds."""
+    rows = json_rows(spark, path, schemas.RETRIEVALS).withColumn("row", F.monotonically_increasing_id())
+    kept = rows.select(F.col("id").alias("qid"), passages(F.col(column)).alias("found"), F.col("row").alias("pos"))
+    return _last(kept, "found").select("qid", F.posexplode("found").alias("pos", "p")).select("qid", "pos", "p.*")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -85,9 +135,42 @@ def read_types(spark: SparkSession, path: str) -> DataFrame:
     return stored.select("qid", F.explode("m").alias("scheme", "type"))
 
 
+def read_typed(spark: SparkSession, path: str) -> DataFrame:
+    """The same of lines {qid, types: {scheme: type}}, as they are written."""
+    rows = spark.read.schema("qid string, types map<string, string>").json(path)
+    return rows.select("qid", F.explode("types").alias("scheme", "type"))
+
+
+def embedded_types(questions: DataFrame, scheme: str) -> DataFrame:
+    """``qid, scheme, type`` of questions that have a ``question_type`` with them."""
+    return questions.where("question_type <> ''").select("qid", F.lit(scheme).alias("scheme"), F.col("question_type").alias("type"))
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A written report of an embedding space or of a graph."""
+    return json_rows(spark, path, schema)
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMBEDDINGS).parquet(path)
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.schema(schemas.VERTICES).parquet(f"{path}/vertices"), spark.read.schema(schemas.EDGES).parquet(f"{path}/edges")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``row_id, doc_id, chunk_idx, text, embedding``: vectors with what they stand for."""
+    return spark.read.schema(schemas.INDEX).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``vertices, edges, triplets, vectors``: a graph, its provenance and its entities' vectors.
+
+    A part that is missing is an error that names all missing ones.
+    """
+    parts = {"vertices": schemas.VERTICES, "edges": schemas.EDGES, "triplets": schemas.TRIPLETS, "vectors": schemas.VECTORS}
+    if lacking := [p for p in parts if not exists(spark, f"{path}/{p}")]:
+        raise FileNotFoundError(f"{path} has no {', '.join(lacking)}")
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in parts.items()}

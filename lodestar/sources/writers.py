@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import exists
+
 
 def place(root: str, stage: str, method: str = "", model: str = "", dataset: str = "") -> str:
     """The folder of a result: stage, method, model, dataset; empty parts are left out."""
@@ -23,18 +25,55 @@ def append_embeddings(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def compact(spark_rows: DataFrame, path: str) -> None:
-    """Rewrite rows, latest for each document and chunk, to a new path."""
-    spark_rows.dropDuplicates(["doc_id", "chunk_idx"]).write.mode("overwrite").parquet(path)
+def compact(rows: DataFrame, path: str) -> None:
+    """Rewrite appended rows to a new path: of each document and chunk, the row with the greatest ``batch``."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "chunk_idx", "batch")]
+    latest = rows.groupBy("doc_id", "chunk_idx").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("doc_id", "chunk_idx", "r.*")
+    latest.write.mode("overwrite").parquet(path)
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """Vectors with their metadata, by row id, so that a search reads back what it needs."""
+    rows.select("row_id", "doc_id", "chunk_idx", "text", "embedding").repartitionByRange("row_id").write.mode("overwrite").parquet(path)
 
 
-def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+def write_graph(vertices: DataFrame, edges: DataFrame, triplets: DataFrame, vectors: DataFrame, path: str) -> None:
+    for name, rows in (("vertices", vertices), ("edges", edges), ("triplets", triplets), ("vectors", vectors)):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_triplets(triplets: DataFrame, path: str, mode: str = "append") -> None:
-    triplets.write.mode(mode).parquet(path)
+    """Statements, each once: what ``path`` holds already is not written again."""
+    spark, keys = triplets.sparkSession, ["subject", "relation", "object", "doc_id", "chunk_idx"]
+    rows = triplets.dropDuplicates(keys)
+    if mode == "append" and exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    rows.write.mode(mode).parquet(path)
+
+
+def write_subgraphs(nodes: DataFrame, triplets: DataFrame, sources: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``id, nodes, triplets, source_sentences`` of each question that has nodes; ``sources`` has ``qid, chunks``."""
+    node = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("place"), "entity", "similarity", "rank", "is_seed")
+    of_nodes = nodes.groupBy("qid").agg(F.array_sort(F.collect_list(node)).alias("n"))
+    of_triplets = triplets.groupBy("qid").agg(F.array_sort(F.collect_list(F.array("subject", "relation", "object"))).alias("triplets"))
+    rows = of_nodes.join(of_triplets, "qid", "left").join(sources, "qid", "left")
+    shown = F.transform("n", lambda x: F.struct(x["rank"].alias("rank"), x["entity"].alias("entity"), x["similarity"].alias("similarity"), x["is_seed"].alias("is_seed")))
+    none = F.array().cast("array<array<string>>")
+    rows.select(F.col("qid").cast("string").alias("id"), shown.alias("nodes"), F.coalesce("triplets", none).alias("triplets"), F.col("chunks").alias("source_sentences")).write.mode(mode).json(path)
+
+
+def write_history(log: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``id, history`` of iterative answering, rounds in order."""
+    verdict = F.struct("sufficient", F.lit("").alias("reason"), "sub_question").alias("evaluation")
+    item = F.struct("round", "query", "answer", "context", verdict, "new_chunks_count")
+    log.groupBy(F.col("qid").cast("string").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("history")).write.mode(mode).json(path)
+
+
+def write_comparison(labels: DataFrame, compared: DataFrame, a: str, b: str, path: str) -> None:
+    """The labels of both methods and how they meet, in three folders."""
+    for method in (a, b):
+        labels.where(F.col("method") == method).write.mode("overwrite").json(f"{path}/{method}")
+    compared.write.mode("overwrite").json(f"{path}/comparison")
 
 
 def write_failed(rows: DataFrame, path: str) -> None:
@@ -43,7 +82,7 @@ def write_failed(rows: DataFrame, path: str) -> None:
 
 
 def write_queries(queries: DataFrame, path: str) -> None:
-    """Sorted by type and id over all files, as JSON lines."""
+    """Sorted by type and id over all files, as JSON lines (an array would be one file from one task)."""
     queries.orderBy("type", "id").write.mode("overwrite").json(path)
 
 

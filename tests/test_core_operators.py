@@ -90,7 +90,7 @@ def test_blocks_do_not_change_the_search(spark):
         want = []
         for q, v in rows:
             if q % 7 == 0 or q > 99:
-                best = sorted(((-round(dot(v, w), 9), i) for i, w in rows if not (skip and i == q)))[:4]
+                best = sorted(((-round(dot(v, w) / (dot(v, v) * dot(w, w)) ** 0.5, 9), i) for i, w in rows if not (skip and i == q)))[:4]
                 want += [(q, i, k + 1) for k, (_, i) in enumerate(best)]
         assert sorted((r["qid"], r["item_id"], r["rank"]) for r in found) == sorted(want)
 
@@ -206,8 +206,21 @@ def test_files(spark, tmp_path):
     assert readers.read_types(spark, str(tmp_path / "types.json")).collect()[0]["type"] == "distributed"
     (tmp_path / "answers.json").write_text('{"id": "1", "rag_answer": "", "llm_answer": "x"}\n{"id": "1", "rag_answer": "y", "rounds": 2}\n{"id": "2", "rag_answer": null}')
     assert {r["qid"]: (r["answer"], r["rounds"]) for r in readers.read_answers(spark, str(tmp_path / "answers.json")).collect()} == {"1": ("y", 2), "2": ("", None)}
-    (tmp_path / "found.json").write_text('{"id": "1", "chunks": [{"text": "a"}]}\n{"id": "2", "history": [{"round": 1, "answer": "b"}]}\n{"id": "3"}')
-    assert {r["qid"]: r["retrieved"] for r in readers.read_retrievals(spark, str(tmp_path / "found.json")).collect()} == {"1": ["a"], "2": ["b"], "3": []}
+    shapes = [
+        ({"id": "1", "chunks": [{"text": "a"}, {"doc_id": 3}]}, ["a", ""]),
+        ({"id": "2", "history": [{"round": 0, "answer": "x", "context": "no"}, {"round": 1, "answer": "b", "context": "last"}]}, ["last"]),
+        ({"id": "3"}, []),
+        ({"id": "4", "source_sentences": ["p", "q"], "chunks": [{"text": "a"}]}, ["p", "q"]),
+        ({"id": "5", "retrieved_chunks": [{"doc_id": 7, "chunk_idx": 1, "text": "[{"}]}, ["[{"]),
+        ({"id": "6", "history": [{"round": 1, "answer": "b"}]}, []),
+        ({"id": "7", "chunks": []}, []),
+        ({"id": "8", "chunks": [{"text": "old"}]}, None),
+        ({"id": "8", "chunks": ["new"]}, ["new"]),
+    ]
+    (tmp_path / "found.json").write_text("\n".join(json.dumps(r) for r, _ in shapes))
+    assert {r["qid"]: r["retrieved"] for r in readers.read_retrievals(spark, str(tmp_path / "found.json")).collect()} == {r["id"]: want for r, want in shapes if want is not None}
+    listed = sorted(map(tuple, readers.read_passages(spark, str(tmp_path / "found.json"), "chunks").collect()))
+    assert listed == [("1", 0, None, None, "a"), ("1", 1, 3, None, ""), ("4", 0, None, None, "a"), ("8", 0, None, None, "new")]
     assert writers.place("/r/", "answers", "naive", "m", "d") == "/r/answers/naive/m/d"
 
 
@@ -228,10 +241,142 @@ def test_stream(spark, tmp_path):
     assert spark.read.json(str(out)).count() == 3
 
 
+def small_world(spark):
+    texts = [(1, 0, "Anna lives near Bert. Bert sleeps."), (2, 0, "Bert knows Carla."), (3, 0, "Carla met Doris and Emilia."), (4, 0, "Xaver alone with Ypsilon.")]
+    chunks = spark.createDataFrame(texts, "doc_id long, chunk_idx int, text string")
+    return chunks, strategies.graph_of(graph.extract(chunks))
+
+
+def test_graph_search_follows_edges(spark):
+    chunks, world = small_world(spark)
+    asked = spark.createDataFrame([("1", "Where is Anna"), ("2", "no names of them"), ("3", None)], "qid string, question string")
+    found = strategies.graph_search(asked, world)
+    nodes = {(r["qid"], r["entity"]): r["is_seed"] for r in found.nodes.collect()}
+    assert nodes["1", "Anna"] and {e for q, e in nodes if q == "1"} >= {"Anna", "Bert", "Carla", "Doris", "Emilia"} and not any(q == "3" for q, _ in nodes)
+    passages = strategies.source_passages(found.sources, chunks).where("qid = '1'").orderBy("pos").collect()
+    assert passages[0]["doc_id"] == 1 and {r["doc_id"] for r in passages} == {1, 2, 3}  # 3 is two edges away
+    assert [r["similarity"] for r in passages] == pytest.approx([1 - 0.01 * i for i in range(len(passages))])
+    assert "Anna" in strategies.answered(asked, strategies.source_passages(found.sources, chunks), "graph").where("qid = '1'").first()["answer"]
+
+
+def test_converged_pagerank_of_questions(spark):
+    """All questions at once against each by itself, with names that occur in several."""
+    rnd = random.Random(8)
+    pairs = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(60)}
+    both = pairs | {(b, a) for a, b in pairs}
+    around = {n: [b for a, b in both if a == n] for n in {a for a, _ in both}}
+    start = {q: {n: 1.0 + q for n in rnd.sample(sorted(around), 3)} for q in range(4)}
+    seeds = spark.createDataFrame([(q, n, w) for q, ns in start.items() for n, w in ns.items()], "qid int, node int, weight double")
+    got = {(r["qid"], r["node"]): r["score"] for r in graph.pagerank(spark.createDataFrame(list(pairs), "src int, dst int"), seeds, 100, tolerance=1e-7).collect()}
+    for q, ns in start.items():
+        x = {n: ns.get(n, 0) / sum(ns.values()) for n in around}
+        for _ in range(150):
+            x = {n: 0.15 * ns.get(n, 0) / sum(ns.values()) + 0.85 * sum(x[m] / len(around[m]) for m in around[n]) for n in around}
+        assert {n: got.get((q, n), 0.0) for n in around} == pytest.approx(x, abs=1e-4)
+
+
+def test_filtering_a_subgraph_keeps_seeds_first(spark):
+    pairs = [(0, i) for i in range(1, 8)] + [(7, 8), (8, 9), (9, 99)]  # 99 is not among the nodes
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    around = {n: [b for p in pairs[:-1] for a, b in (p, p[::-1]) if a == n] for n in range(10)}
+    x = {n: float(n == 9) for n in around}
+    for _ in range(100):
+        x = {n: 0.15 * (n == 9) + 0.85 * sum(x[m] / len(around[m]) for m in around[n]) for n in around}
+    best = sorted(set(around) - {9}, key=lambda n: -x[n])[:2]
+    nodes = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 1), (2, 2)], "qid int, node int")
+    seeds = spark.createDataFrame([(1, 9, 1.0), (2, 1, 1.0)], "qid int, node int, weight double")
+    kept = sorted((r["qid"], r["node"]) for r in graph.ppr_filtered(edges, nodes, seeds, Config(ppr_nodes=3)).collect())
+    assert kept == sorted((1, n) for n in (9, *best)) + [(2, 1), (2, 2)]
+
+
 def test_iterative_answers(spark):
-    asked = spark.createDataFrame([(1, "Where is Anna"), (2, "Nothing here")], "qid long, question string")
-    chunks = spark.createDataFrame([(1, 0, "Anna lives near Bert. Bert sleeps.")], "doc_id long, chunk_idx int, text string")
-    held = index.entity_chunks(graph.extract(chunks))
-    found = {r["qid"]: r for r in strategies.iterative(asked, lambda q: strategies.graph_passages(q, held, chunks, 3)).collect()}
+    chunks, world = small_world(spark)
+    asked = spark.createDataFrame([(1, "Where is Anna"), (2, "")], "qid long, question string")
+    made, log = strategies.iterative(asked, lambda q: strategies.graph_passages(q, world, chunks))
+    found = {r["qid"]: r for r in made.collect()}
     assert found[1]["answer"] == "Anna lives near Bert." and found[1]["rounds"] == 1
     assert "cannot answer" in found[2]["answer"]
+    assert [r["round"] for r in log.where("qid = 1").orderBy("round").collect()] == [0, 1]
+
+
+def test_a_sub_question_of_any_earlier_round_ends_the_work(spark):
+    """The context names Aaaa, then Bbbb, then Aaaa again; the answer is always a refusal."""
+    from dataclasses import replace
+
+    from lodestar.providers import RULES
+
+    names = ["Aaaa", "Bbbb"]
+    asked = spark.createDataFrame([(1, "why")], "qid long, question string")
+    seen = []
+
+    def retrieve(q):
+        seen.append(q.first()["question"])
+        return spark.createDataFrame([(1, 0, len(seen), 0, names[(len(seen) - 1) % 2])], "qid long, pos int, doc_id long, chunk_idx int, text string")
+
+    last = lambda c: F.slice(F.regexp_extract_all(c, F.lit("[A-Z][a-z]{3,}"), F.lit(0)), -1, 1)
+    never = replace(RULES, answer=lambda q, c: F.lit(Config().refusal), extract_entities=lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(last(c)))
+    made, log = strategies.iterative(asked, retrieve, Config(iterative_rounds=5), never)
+    assert seen == ["why", "why Aaaa", "why Bbbb"] and made.first()["rounds"] == 3 and log.count() == 4
+
+
+def test_long_lists_have_the_same_budget(spark):
+    rnd = random.Random(6)
+    rows = [(q, p, "x" * rnd.randrange(40)) for q in range(3) for p in range(400)]
+    frame = spark.createDataFrame(rows, "qid int, pos int, text string")
+    for most in (0, 150, 100_000):
+        plain, wide = (sorted(map(tuple, search.token_budget(frame, "qid", Config(context_tokens=most), wide=w).select("qid", "pos", "running_tokens").collect())) for w in (False, True))
+        assert plain == wide
+
+
+def test_records_old_and_new(spark):
+    rows = [(5, '["a", "r", "b"]'), (6, '{"triplet": ["c", "r", "d"], "doc_id": 9, "chunk_idx": 2, "source_text": "t"}'), (7, '["a", "b"]'), (8, "oops")]
+    got = sorted(map(tuple, readers.from_records(spark.createDataFrame(rows, "doc_id long, content string")).collect()))
+    assert got == [(5, "a", "r", "b", 5, 0, ""), (6, "c", "r", "d", 9, 2, "t")]
+
+
+def test_questions_until_there_are_enough(spark):
+    from lodestar.operators import generate
+
+    pool, tries = spark.range(100), []
+
+    def odd(tried):
+        tries.append(tried.count())
+        return tried.where("id % 10 = 1")
+
+    got = [r["id"] for r in generate.until(pool, 3, odd, ["id"], batch=15).collect()]
+    assert got == [1, 11, 21] and tries == [15, 15]
+    assert generate.until(pool, 50, odd, ["id"], batch=15).count() == 10 and generate.until(pool.limit(0), 5, odd, ["id"]).count() == 0
+
+
+def test_generated_questions(spark):
+    from lodestar.operators import generate
+
+    texts = [(d, 0, f"Bridge{'abcdefgh'[d % 3]} is known here as entry {d}. " + f"Person{'abcdefghijklmnop'[d]}x lives by the river with Commonname. " * 4) for d in range(12)]
+    chunks = spark.createDataFrame(texts, "doc_id long, chunk_idx int, text string")
+    held = index.entity_chunks(graph.valid(graph.extract(chunks)))
+    made = generate.generated(generate.samples(held, chunks, 3, 2), chunks, 3, 5, 2, {"single_hop": 7}).collect()
+    kinds = sorted((r["type"], r["id"]) for r in made)
+    assert [k for k in kinds if k[0] == "single_hop"] == [("single_hop", f"single_hop_{i:04d}") for i in (7, 8, 9)]
+    assert all(r["num_hops"] == len(r["doc_ids"]) == len(r["facts"]) for r in made if r["type"].startswith("multi_hop"))
+    assert {r["type"] for r in made} >= {"single_hop", "summary"} and all(r["answer"] for r in made)
+
+
+def test_reports(spark):
+    empty = evaluate.structure_report(spark.createDataFrame([], "node string"), spark.createDataFrame([], "src string, dst string, relation string")).first()
+    assert empty["status"] == "failed" and empty["basic_stats"]["n_nodes"] == 0 and empty["connectivity"]["largest"] == 0 and empty["path_metrics"]["avg_path"] == -1.0
+    nodes = spark.createDataFrame([(n,) for n in "abcde"], "node string")
+    edges = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("a", "c", "s")], "src string, dst string, relation string")
+    made = evaluate.structure_report(nodes, edges).first()
+    assert made["connectivity"].asDict() == {"n_components": 3, "largest": 3, "largest_ratio": 0.6, "connected": False}
+    assert made["basic_stats"]["n_isolated"] == 2 and made["avg_clustering"] == 0.6 and [tuple(t) for t in made["relation_metrics"]["top"]] == [("r", 2), ("s", 1)]
+    none = evaluate.semantic_report(spark.createDataFrame([], "item_id long, embedding array<double>")).first()
+    assert none["status"] == "failed" and none["total_embeddings"] == 0 and none["semantic_complexity"] is None
+    rnd = random.Random(2)
+    some = evaluate.semantic_report(spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(40)], "item_id long, embedding array<double>"), 3).first()
+    assert some["status"] == "success" and some["embedding_dimension"] == 6 and len(some["semantic_interference"]["top_hubs"]) == 5
+
+
+def test_winners(spark):
+    rows = [(1, "x", "correct"), (1, "y", "incomplete"), (2, "x", "incorrect"), (2, "y", "incomplete"), (3, "x", "correct"), (3, "y", "correct"), (4, "x", "correct")]
+    got = {r["qid"]: r["winner"] for r in evaluate.compared(spark.createDataFrame(rows, "qid int, method string, llm_label string"), "x", "y").collect()}
+    assert got == {1: "x", 2: "y", 3: None}
