@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, small, stored, table, together
 
-__all__ = ["cut", "fold", "slices", "small", "spread_join", "stored", "table", "unused"]
+__all__ = ["cut", "fold", "slices", "small", "spread_join", "stored", "table", "together", "unused"]
 
 HOT = 10_000  # a key with over one in so many rows is hot, so there are at most as many hot keys
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round maps a node to the smallest of itself and its neighbours, follows that map
     twice, and contracts the edges; a round shrinks paths by half or better.  Minima are
-    aggregated before the shuffle, so a hub costs no more than its edges, and the
-    relabelling joins are plain equi-joins that adaptive execution may split.
+    aggregated before the shuffle, so a hub costs no more than its edges.  The maps shrink
+    with the edges; as soon as one is small it is sent out, so a large component's label
+    does not gather its nodes in one task.
 
     Returns ``node, label``.  Null ends are dropped; an empty table gives no rows.
     """
@@ -24,8 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
         step = cut(step)
-        jump = step.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        step = cut(step.join(jump, "to", "left").select("node", F.coalesce("to2", "to").alias("to")))
+        jump = small(step).select(F.col("node").alias("to"), F.col("to").alias("to2"))
+        step = small(cut(step.join(jump, "to", "left").select("node", F.coalesce("to2", "to").alias("to"))))
         if labels is None:
             labels = step.select("node", F.col("to").alias("label"))
         else:

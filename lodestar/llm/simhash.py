@@ -2,12 +2,14 @@
 
 Fingerprints are made in one pass over the texts.  Equal fingerprints are merged first, so
 copies never meet each other again.  Two fingerprints that differ in at most ``radius`` bits
-agree in one of ``radius + 1`` bands, so only the members of a band bucket are compared; a
-bucket over ``BLOCK`` fingerprints is cut into blocks and each pair of blocks is a group of
-its own.  A comparison holds 64 fingerprints as 64 bit planes: one word of a plane has one
-bit of each.  Differences are added into carry-save counters, and a block of lanes is
-abandoned once every lane is beyond the radius.  A group gives a spanning forest of its
-links, never all pairs.
+agree in one of ``radius + 1`` bands, so only the members of a band bucket are compared.  A
+bucket over ``BLOCK`` fingerprints is divided by bands of the bits that are left, in which
+two of its members that link agree in one again; so copies of a row grow with the depth of
+the division, not with the bucket.  Where no more bits are left than the radius, all link.
+
+A comparison holds 64 fingerprints as 64 bit planes: one word of a plane has one bit of each.
+Differences are added into carry-save counters, and a block of lanes is abandoned once every
+lane is beyond the radius.  A bucket gives a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small, spread_join, together
 from .components import components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-BLOCK = 512
+BLOCK = 1024  # fingerprints in a bucket
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -69,43 +72,44 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
 
 
+def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count, in bit planes from the lowest, is over ``radius``."""
+    far, same = over, ~over
+    for k in range(len(counts) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & counts[k]
+        else:
+            far, same = far | (same & counts[k]), same & ~counts[k]
+    return far
+
+
 def _near(planes: np.ndarray, query: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each (query, block) the lanes within ``radius``, as a word; blocks that are abandoned are left out."""
     at = np.arange(len(query))
-    ones = twos = fours = over = np.zeros(len(query), np.uint64)
-    far = lambda: over | (fours & (ones | twos)) if radius == 4 else over | _above(ones, twos, fours, radius)
+    zero = np.zeros(len(query), np.uint64)
+    counts, over = [zero] * radius.bit_length() or [zero], zero
     for p in range(0, 64, 2):
         d1 = planes[p, block] ^ (np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)))
         d2 = planes[p + 1, block] ^ (np.uint64(0) - ((query >> np.uint64(p + 1)) & np.uint64(1)))
-        half = ones ^ d1
-        carry = (ones & d1) | (half & d2)  # carry-save: three planes of weight one become one of one and one of two
-        ones = half ^ d2
-        more = twos & carry
-        twos = twos ^ carry
-        over = over | (fours & more)
-        fours = fours ^ more
+        half = counts[0] ^ d1
+        carry = (counts[0] & d1) | (half & d2)  # carry-save: three planes of weight one become one of one and one of two
+        counts[0] = half ^ d2
+        for k in range(1, len(counts)):
+            counts[k], carry = counts[k] ^ carry, counts[k] & carry
+        over = over | carry
         if p % 8 == 6:
-            alive = (far() | ~lanes) != ALL
+            alive = (_beyond(counts, over, radius) | ~lanes) != ALL
             if not alive.all():
-                at, query, block, lanes, ones, twos, fours, over = (x[alive] for x in (at, query, block, lanes, ones, twos, fours, over))
+                at, query, block, lanes, over, *counts = (x[alive] for x in (at, query, block, lanes, over, *counts))
                 if not len(at):
                     break
-    return at, ~far() & lanes
-
-
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over ``radius`` (0 to 7)."""
-    out = np.zeros_like(ones)
-    for k in range(radius + 1, 8):
-        out |= (ones if k & 1 else ~ones) & (twos if k & 2 else ~twos) & (fours if k & 4 else ~fours)
-    return out
+    return at, ~_beyond(counts, over, radius) & lanes
 
 
-def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smaller fingerprint) that join what links at ``radius`` within each group.
+def pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a < b) of the fingerprints that differ in at most ``radius`` bits within each group.
 
-    ``fps`` are unsigned and ``group`` is non-decreasing.  Every fingerprint that has a link
-    gets one row: the smallest one it can reach inside its group.
+    ``fps`` are unsigned and ``group`` is non-decreasing.
     """
     bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     sizes = np.diff(bounds)
@@ -121,8 +125,7 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, at_once: in
     valid = np.ascontiguousarray(np.packbits((row_of >= 0).reshape(-1, 64), axis=1, bitorder="little")).view("<u8")[:, 0]
     later = np.where(sizes[which] > 1, n_blocks[which] - inside // 64, 0)  # blocks from a query's own on
     ends = np.cumsum(later)
-    root = np.arange(len(fps))
-    found_a, found_b = [], []
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     begin = 0
     while begin < len(fps):
         done = ends[begin - 1] if begin else 0
@@ -140,7 +143,16 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, at_once: in
         found_a.append(a[keep])
         found_b.append(b[keep])
         begin = stop
-    a, b = np.concatenate(found_a or [root[:0]]), np.concatenate(found_b or [root[:0]])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, smaller fingerprint) that join what links at ``radius`` within each group.
+
+    ``fps`` are unsigned and ``group`` is non-decreasing.  Every fingerprint that has a link
+    gets one row: the smallest one it can reach inside its group.
+    """
+    a, b = pairs(fps, group, radius)
     order = np.argsort(fps, kind="stable")
     rank = np.empty(len(fps), np.int64)
     rank[order] = np.arange(len(fps))
@@ -157,35 +169,71 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, at_once: in
     return fps[moved], fps[order[label[moved]]]
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows and the numbers of their groups, from batches sorted by ``keys``; no group is cut."""
+    rest = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            part = pa.Table.from_batches([batch]).to_pandas()
+            rest = part if rest is None else pd.concat([rest, part], ignore_index=True)
+        if rest is None or not len(rest):
+            continue
+        ids = rest[keys].to_numpy()
+        new = np.r_[True, (ids[1:] != ids[:-1]).any(1)]
+        upto = len(rest) if batch is None else int(np.flatnonzero(new)[-1])  # the last group may go on
+        if upto:
+            yield rest.iloc[:upto], np.cumsum(new)[:upto]
+        rest = rest.iloc[upto:].reset_index(drop=True)
+
+
+def _divided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """``fp, mask, key`` to ``radius + 1`` rows each: bands of the bits outside ``mask`` join it and the key."""
+    for batch in batches:
+        fp, mask, key = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "mask", "key"))
+        out = []
+        for m in np.unique(mask):
+            rows = np.flatnonzero(mask == m)
+            left = [b for b in range(64) if not int(m) >> b & 1]
+            for part in np.array_split(left, radius + 1):
+                band = np.uint64(sum(1 << int(b) for b in part))
+                h = key[rows] ^ ((fp[rows] & band) * GOLDEN + band)
+                h = (h ^ (h >> np.uint64(31))) * GOLDEN
+                out.append((fp[rows], np.full(len(rows), m | band), h ^ (h >> np.uint64(29))))
+        columns = [np.concatenate(x).view(np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "mask", "key"])
+
+
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Forest links ``a, b`` (a > b as unsigned) among the distinct fingerprints of ``fp``."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    band = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("key")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    rows = fps.select("fp", F.explode(band).alias("x")).select("fp", "x.band", "x.key")
-    hot = rows.groupBy("band", "key").count().where(F.col("count") > block).select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    rows = rows.join(hot, ["band", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("fp", "band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    keys = ["band", "key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                part = pa.Table.from_batches([batch]).to_pandas()
-                rest = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            if rest is None or not len(rest):
-                continue
-            ids = rest[keys].to_numpy()
-            new = np.r_[True, (ids[1:] != ids[:-1]).any(1)]
-            upto = len(rest) if batch is None else int(np.flatnonzero(new)[-1])  # the last group may go on
-            if upto:
-                a, b = forest(rest["fp"].to_numpy()[:upto].astype(np.int64).view(np.uint64), np.cumsum(new)[:upto], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-            rest = rest.iloc[upto:]
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+        for rows, group in grouped(batches, ["key", "mask"]):
+            a, b = forest(rows["fp"].to_numpy().astype(np.int64).view(np.uint64), group, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    schema, keys = "fp long, mask long, key long", ["key", "mask"]
+    zero = F.lit(0).cast("long")
+    rows, found = fps.select("fp", zero.alias("mask"), zero.alias("key")), None
+    while True:
+        rows = cut(rows.mapInArrow(lambda b: _divided(b, radius), schema))
+        hot = small(cut(rows.groupBy(*keys).count().where(F.col("count") > block).select(*keys)))
+        little = rows.join(hot, keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
+        made = little.mapInArrow(run, "a long, b long")
+        found = made if found is None else together(found, made)
+        large = rows.join(hot, keys, "left_semi")
+        free = 64 - F.bit_count("mask")
+        found = together(found, _all_linked(large.where(free <= radius)))
+        rows = cut(large.where(free > radius))
+        if rows.isEmpty():
+            return found
+
+
+def _all_linked(rows: DataFrame) -> DataFrame:
+    """Links of the rows that agree in all bits of their mask to the smallest one of them."""
+    turned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  in this order unsigned numbers are signed ones
+    rows = rows.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("same"))
+    least = rows.withColumn("t", turned("fp")).groupBy("mask", "same").agg(F.min("t").alias("b")).select("mask", "same", turned("b").alias("b"))
+    return rows.join(least, ["mask", "same"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
@@ -197,10 +245,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     beside ``doc_id`` and ``text`` are not read.
     """
     made = cut(fingerprints(docs, shingle, seed))
-    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = cut(made.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     labels = components(links(nodes.select("fp"), radius))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = cut(named.join(least, "label").select("fp", "component_id"))
+    named = cut(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    least = cut(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")))
+    classes = cut(spread_join(named, least, ["label"], "members").select("fp", "component_id", "n"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return made.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return spread_join(made, classes, ["fp"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
