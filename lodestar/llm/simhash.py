@@ -14,7 +14,7 @@ lane is beyond the radius.  A bucket gives a spanning forest of its links, never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -169,6 +169,19 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np
     return fps[moved], fps[order[label[moved]]]
 
 
+def stars(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint that has a smaller one within ``radius`` in its group, and the smallest such."""
+    a, b = pairs(fps, group, radius)
+    order = np.argsort(fps, kind="stable")
+    rank = np.empty(len(fps), np.int64)
+    rank[order] = np.arange(len(fps))
+    label = rank.copy()
+    np.minimum.at(label, a, rank[b])
+    np.minimum.at(label, b, rank[a])
+    moved = np.flatnonzero(label != rank)
+    return fps[moved], fps[order[label[moved]]]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Rows and the numbers of their groups, from batches sorted by ``keys``; no group is cut."""
     rest = None
@@ -203,19 +216,22 @@ def _divided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "mask", "key"])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Forest links ``a, b`` (a > b as unsigned) among the distinct fingerprints of ``fp``."""
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, within: Callable = forest) -> DataFrame:
+    """Links ``a, b`` (a > b as unsigned) among the distinct fingerprints of ``fp``, which is cut or stored.
+
+    They are what ``within`` gives for each bucket: a ``forest`` of all links, or ``stars``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in grouped(batches, ["key", "mask"]):
-            a, b = forest(rows["fp"].to_numpy().astype(np.int64).view(np.uint64), group, radius)
+            a, b = within(rows["fp"].to_numpy().astype(np.int64).view(np.uint64), group, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     schema, keys = "fp long, mask long, key long", ["key", "mask"]
     zero = F.lit(0).cast("long")
     rows, found = fps.select("fp", zero.alias("mask"), zero.alias("key")), None
     while True:
-        rows = cut(rows.mapInArrow(lambda b: _divided(b, radius), schema))
+        rows = rows.mapInArrow(lambda b: _divided(b, radius), schema)  # cheap, so made twice rather than written
         hot = small(cut(rows.groupBy(*keys).count().where(F.col("count") > block).select(*keys)))
         little = rows.join(hot, keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
         made = little.mapInArrow(run, "a long, b long")
@@ -228,11 +244,15 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
             return found
 
 
+def unsigned(fp: str) -> F.Column:
+    """The same number turned so that signed order is the unsigned order of ``fp``; turning again gives ``fp``."""
+    return F.col(fp).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def _all_linked(rows: DataFrame) -> DataFrame:
     """Links of the rows that agree in all bits of their mask to the smallest one of them."""
-    turned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  in this order unsigned numbers are signed ones
     rows = rows.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("same"))
-    least = rows.withColumn("t", turned("fp")).groupBy("mask", "same").agg(F.min("t").alias("b")).select("mask", "same", turned("b").alias("b"))
+    least = rows.groupBy("mask", "same").agg(F.min(unsigned("fp")).alias("b")).select("mask", "same", unsigned("b").alias("b"))
     return rows.join(least, ["mask", "same"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 

@@ -389,6 +389,39 @@ def test_media(spark):
     assert media.copies(spark.createDataFrame([], "id long, width int, pixels binary")).count() == 0
 
 
+def test_turned_and_resized_images_are_copies(spark):
+    rnd = np.random.RandomState(12)
+    base, other = (rnd.randint(0, 256, (30, 30)).repeat(8, 0).repeat(8, 1) for _ in range(2))
+    images = [base, np.rot90(base), np.rot90(base, 2)[20:, 30:], base.repeat(2, 0).repeat(2, 1), other, rnd.randint(0, 256, (30, 30)).repeat(8, 0).repeat(8, 1)]
+    rows = [(i, im.shape[1], bytearray(np.ascontiguousarray(im).astype(np.uint8).tobytes())) for i, im in enumerate(images)]
+    got = {r["id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "id long, width int, pixels binary")).collect()}
+    assert [got[i] for i in range(6)] == [0, 0, 0, 0, 4, 5]
+
+
+def test_classes_of_copies_are_those_of_equal_keys(spark):
+    """Against plain Python: words by brute force, keys of every image, and what they link."""
+    rnd = np.random.RandomState(2)
+    pool = [rnd.randint(0, 256, (10, 10)).repeat(4, 0).repeat(4, 1) for _ in range(70)]
+    images = [np.hstack([pool[a], pool[b]]) for a, b in rnd.randint(0, 70, (30, 2))] + [pool[0][:20], pool[1][:, 8:] * 0.8]
+    images = [im.astype(np.uint8) for im in images]
+    points = media.all_keypoints(images)
+    prints = {p[4] for ps in points for p in ps}
+    plain = lambda p: p & (1 << 64) - 1
+    word = {p: min((q for q in prints if plain(p ^ q).bit_count() <= media.RADIUS), key=plain) for p in prints}
+    reach, first = list(range(len(images))), {}
+    for n, ps in enumerate(points):
+        keys = [("same", images[n].shape, images[n].tobytes())]
+        if len(ps) > 1:
+            y, x, scale, words_of, turn = (np.array(c) for c in zip(*sorted((p[1], p[0], p[2], word[p[4]], p[3]) for p in ps), strict=True))
+            keys += media.pair_keys(x.astype(float), y.astype(float), scale, turn, words_of.astype(np.int64).view(np.uint64)).tolist()
+        for k in keys:
+            a, b = reach[n], reach[first.setdefault(k, n)]
+            reach = [min(a, b) if r in (a, b) else r for r in reach]
+    rows = [(i, im.shape[1], bytearray(np.ascontiguousarray(im).tobytes())) for i, im in enumerate(images)]
+    got = {r["id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "id long, width int, pixels binary")).collect()}
+    assert 5 < len(set(reach)) < len(images) - 3 and [len({got[i] for i in range(len(images)) if reach[i] == r}) for r in set(reach)] == [1] * len(set(reach)) and len(set(got.values())) == len(set(reach))
+
+
 def test_turned_images_keep_their_descriptors():
     rnd = np.random.RandomState(7)
     image = rnd.randint(0, 256, (16, 16)).repeat(8, 0).repeat(8, 1).astype(np.uint8)
