@@ -408,9 +408,12 @@ def test_classes_of_copies_are_those_of_equal_keys(spark):
     prints = {p[4] for ps in points for p in ps}
     plain = lambda p: p & (1 << 64) - 1
     word = {p: min((q for q in prints if plain(p ^ q).bit_count() <= media.RADIUS), key=plain) for p in prints}
+    different = {(im.shape, im.tobytes()): n for n, im in enumerate(images)}.values()
+    shared = {w for w in word.values() if sum(any(word[p[4]] == w for p in points[n]) for n in different) > 1}
     reach, first = list(range(len(images))), {}
     for n, ps in enumerate(points):
         keys = [("same", images[n].shape, images[n].tobytes())]
+        ps = [p for p in ps if word[p[4]] in shared]
         if len(ps) > 1:
             y, x, scale, words_of, turn = (np.array(c) for c in zip(*sorted((p[1], p[0], p[2], word[p[4]], p[3]) for p in ps), strict=True))
             keys += media.pair_keys(x.astype(float), y.astype(float), scale, turn, words_of.astype(np.int64).view(np.uint64)).tolist()
