@@ -218,14 +218,38 @@ def test_decontamination(spark, docs, empty):
     rows = [(0, "aa bb " + items[0].upper().replace(" ", ", ") + " cc"), (1, moved), (2, broken), (3, items[1]), (None, items[2]), (3, items[1]), (4, items[3]), (5, None), (6, "")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
     found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
-    want = [(0, 0), (1, 0), (3, 1), (3, 1), (None, 2)]
+    want = [(0, 0), (1, 0), (3, 1), (3, 1), (None, 2), (4, 3)]
     assert sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=repr) == sorted(want, key=repr)
-    small = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=100)
-    assert sorted(((r["doc_id"], r["item_id"]) for r in small.collect()), key=repr) == sorted(want, key=repr)
     assert decontaminate.leaks(docs, bench).count() == 0
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_are_those_of_tiling_every_pair(spark, monkeypatch):
+    """With common seeds dealt out by salts, one item at a time, repeated items and a very long text."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(decontaminate, "SALTED", 4)
+    monkeypatch.setattr(decontaminate, "TOGETHER", 1)
+    common = words(rnd, 12)
+    items = [f"{words(rnd, rnd.randrange(1, 30))} {common if i % 3 == 0 else ''} {words(rnd, rnd.randrange(0, 12))}".strip() for i in range(30)] + [common, "solo", ""]
+    texts = [words(rnd, 20_000) + " " + items[4] + " " + items[7]]
+    for i in range(60):
+        parts = items[rnd.randrange(33)].split()
+        cut_at = sorted(rnd.sample(range(len(parts) + 1), min(2, len(parts) + 1)))
+        moved = parts[cut_at[-1] :] + ["q"] * rnd.randrange(2) + parts[: cut_at[0]] + parts[cut_at[0] : cut_at[-1]][: rnd.randrange(1, 40)]
+        texts.append(" ".join(words(rnd, 5).split() + moved + words(rnd, 5).split()) if i % 5 else f"{common} {words(rnd, 4)}")
+    bench = [(i, t) for i, t in enumerate(items)] + [(3, items[3])]
+    want = []
+    for d, text in enumerate(texts):
+        for i, t in enumerate(items):
+            vocab, a, b = {}, decontaminate.tokens(text), decontaminate.tokens(t)
+            x, y = (np.array([vocab.setdefault(w, len(vocab)) for w in ws], np.int64) for ws in (a, b))
+            covered = sum(n for _, _, n in decontaminate.tile(x, y, min(5, len(y)))) if len(y) else 0
+            if len(y) and covered >= 0.8 * len(y):
+                want.append((d, i, covered))
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["covered_tokens"]) for r in found.collect()) == want and len(want) > 30
+
+
 def test_tiling_finds_the_longest_first():
     rnd = np.random.RandomState(0)
     for _ in range(30):
