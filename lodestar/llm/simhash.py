@@ -36,6 +36,15 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed number whose bits are set in over half the unsigned hashes; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.ascontiguousarray(np.packbits(2 * ones > len(hashes), bitorder="little")).view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The signed 64-bit fingerprint of one text; no words give zero."""
     words = (text or "").encode().translate(LOWER).split()
@@ -48,11 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
-        part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.ascontiguousarray(np.packbits(2 * ones > n, bitorder="little")).view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

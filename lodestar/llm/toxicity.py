@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut, slices
 
@@ -68,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
     rows.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     drawn = _sample(known, rows)
@@ -98,10 +99,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
         for batch in batches:
             has = [np.unique(slot[buckets(x.as_py(), bits, orders)]) for x in batch.column("text")]
             has = [x[x < len(ratios)] for x in has]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.astype(np.int32) for x in has], pa.list_(pa.int32()))], ["label", "at"])
+            sparse = pa.StructArray.from_arrays(
+                [pa.array([0] * len(has), pa.int8()), pa.array([len(ratios)] * len(has), pa.int32()), pa.array([x.astype(np.int32) for x in has], pa.list_(pa.int32())), pa.array([ratios[x] for x in has], pa.list_(pa.float64()))],
+                ["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.float64()), sparse], ["label", "features"])
 
-    vector = F.udf(lambda at: Vectors.sparse(len(ratios), at, ratios[at]), VectorUDT())
-    points = sample.select("text", "label").mapInArrow(encode, "label int, at array<int>").select(F.col("label").cast("double").alias("label"), vector("at").alias("features"))
+    points = sample.select("text", "label").mapInArrow(encode, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
     fitted = LogisticRegression(maxIter=60, regParam=REGULARISATION, standardization=False, tol=1e-7).fit(points)
     weights = np.zeros(features + 1)
     weights[: len(ratios)] = np.asarray(fitted.coefficients) * ratios

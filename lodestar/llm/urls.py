@@ -2,8 +2,9 @@
 
 A rule is a regular expression over ``host + path`` (host rules) or over the whole URL in
 lower case (pattern rules).  Each has literal tokens, runs of letters and digits that any
-URL it matches must contain whole.  The rule is filed under the one of them that is rarest in
-the URLs at hand.  A URL looks up its own tokens and runs only the rules filed there.
+URL it matches must contain whole; a rule of several readings has tokens for each.  The rule
+is filed under the token of each reading that is rarest in the URLs at hand.  A URL looks up
+its own tokens and runs only the rules filed there.
 """
 
 from __future__ import annotations
@@ -29,29 +30,29 @@ HOST_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-# Pattern rules as (name, regular expression, mandatory whole tokens).  They judge
+# Pattern rules as (name, regular expression, mandatory whole tokens of each reading).  They judge
 # what no host rule fits, and all of them block.
 PATTERN_RULES = [
-    ("spam-farm", r"://(?:[^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    ("cheap-pills", r"://(?:[^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    ("casino", r"://(?:[^/?#]*[.-])?casino[.-]", ("casino",)),
-    ("free-money", r"://(?:[^/?#]*[.-])?free-money[.-]", ("free", "money")),
-    ("replica-watches", r"://(?:[^/?#]*[.-])?replica-watches[.-]", ("replica", "watches")),
-    ("payday-loans", r"://(?:[^/?#]*[.-])?payday-loans[.-]", ("payday", "loans")),
-    ("adult", r"://(?:[^/?#]*[.-])?(?:adult|xxx)[.-]", ()),
-    ("doubleclick", r"://(?:[^/?#]*\.)?doubleclick\.net(?:[:/?#]|$)", ("doubleclick", "net")),
-    ("session-trap", r"[?&;](?:phpsessid|jsessionid)=", ()),
+    ("spam-farm", r"://(?:[^/?#]*\.)?spam-farm\.", (("spam", "farm"),)),
+    ("cheap-pills", r"://(?:[^/?#]*\.)?cheap-pills\.", (("cheap", "pills"),)),
+    ("casino", r"://(?:[^/?#]*[.-])?casino[.-]", (("casino",),)),
+    ("free-money", r"://(?:[^/?#]*[.-])?free-money[.-]", (("free", "money"),)),
+    ("replica-watches", r"://(?:[^/?#]*[.-])?replica-watches[.-]", (("replica", "watches"),)),
+    ("payday-loans", r"://(?:[^/?#]*[.-])?payday-loans[.-]", (("payday", "loans"),)),
+    ("adult", r"://(?:[^/?#]*[.-])?(?:adult|xxx)[.-]", (("adult",), ("xxx",))),
+    ("doubleclick", r"://(?:[^/?#]*\.)?doubleclick\.net(?:[:/?#]|$)", (("doubleclick", "net"),)),
+    ("session-trap", r"[?&;](?:phpsessid|jsessionid)=", (("phpsessid",), ("jsessionid",))),
 ]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``tokens``: whole tokens of every URL that matches; none: the rule is tried on every URL."""
+    """``tokens``: for each reading, whole tokens of every URL that matches it; a reading without: the rule is tried on every URL."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[tuple[str, ...], ...]
     weight: int  # of the rules that match, the heaviest wins; ties go to the first
     on_host: bool
 
@@ -62,7 +63,7 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
     if not re.fullmatch(r"[\x00-\x7f]*", host + path) or re.search(r"[A-Z]", path):
         whole = TOKEN.findall(host)
     pattern = rf"(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path) or '(?:/|$)'}"
-    return Rule(host + path, verdict, pattern, tuple(whole), len(host) + len(path), True)
+    return Rule(host + path, verdict, pattern, (tuple(whole),), len(host) + len(path), True)
 
 
 def default_rules() -> list[Rule]:
@@ -107,11 +108,15 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url") -
         raise ValueError(f"{len(rules)} rules; deal them into lists of at most {MOST_RULES}")
     made = ["host", "path", "rule", "verdict", "pattern"]
     rest = [c for c in pages.columns if c not in made]
-    counts = token_counts(pages, url, sorted({t for r in rules for t in r.tokens}))
+    counts = token_counts(pages, url, sorted({t for r in rules for reading in r.tokens for t in reading}))
     filed, always = defaultdict(list), []
     for at, r in enumerate(rules):
         row = (at, r.name, r.verdict, r.pattern, r.weight, r.on_host)
-        (filed[min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t))] if r.tokens else always).append(row)
+        if all(r.tokens):
+            for rarest in {min(reading, key=lambda t: (counts.get(t, 0), -len(t), t)) for reading in r.tokens}:
+                filed[rarest].append(row)
+        else:
+            always.append(row)
     held = pages.sparkSession.sparkContext.broadcast((dict(filed), always))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*rest).schema), *(f"{c} string" for c in made)])
 

@@ -355,6 +355,28 @@ def test_urls(spark):
 LANGS = {"aa": "kata mero lino supa", "bb": "schtröm grüff knorz pfahl", "cc": "вода небо земля"}
 
 
+def test_a_long_rule_list_runs_few_rules(spark, monkeypatch):
+    """20,000 rules against running all of them; every rule is filed, and a URL tries a handful."""
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    hosts = [f"{name()}.{rnd.choice(['com', 'org', 'net'])}" for _ in range(20_000)]
+    rules = [urls.host_rule(rnd.choice(["allow", "block"]), h, rnd.choice(["/", "/a/", "/b"])) for h in hosts] + [r for r in urls.default_rules() if not r.on_host]
+    assert all(all(r.tokens) for r in rules)
+    pages = [(i, f"http://{rnd.choice(['', 'www.', 'x.y.'])}{rnd.choice(hosts)}{rnd.choice(['', '/', '/a/1', '/b?q', '/c'])}") for i in range(120)]
+    pages += [(200, "http://my-adult.site/"), (201, "http://q.de/?jsessionid=1"), (202, "http://xxx.de"), (203, "http://x.de/" + "long/" * 50_000), (204, None), (204, "")]
+    tried = []
+    found = {(r["page_id"], r["url"]): (r["rule"], r["verdict"], r["pattern"]) for r in urls.judge(spark.createDataFrame(pages, "page_id int, url string"), rules).collect()}
+    for page, url in pages:
+        host, path = urls.parts(url)
+        fits = [(r.weight, -k, r) for k, r in enumerate(rules) if r.on_host and re.compile(r.pattern, re.DOTALL).match(host + path)] if url and page < 200 and page % 6 == 0 else None
+        if fits is not None:
+            best = max(fits, key=lambda x: x[:2])[2] if fits else None
+            assert found[page, url][0] == (best and best.name)
+            tried.append(bool(best))
+    assert any(tried) and found[200, pages[120][1]][1:] == ("block", "adult") and found[201, pages[121][1]][2] == "session-trap" and found[202, pages[122][1]][1] == "block"
+    assert found[204, None] == (None, "allow", None)
+
+
 def test_language(spark, empty):
     rnd = random.Random(8)
     say = lambda k, n: " ".join(rnd.choice(LANGS[k].split()) + rnd.choice(["", ",", "."]) for _ in range(n))
