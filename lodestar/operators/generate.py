@@ -43,11 +43,12 @@ def single_hop(samples: DataFrame) -> DataFrame:
 
 
 def multi_hop(chains: DataFrame, n_docs: int) -> DataFrame:
-    """``doc_ids, bridges, question, answer`` for chains: the last bridge answers."""
+    """``doc_ids, bridges, question, answer`` for chains: the answer names all bridges and where they lead, which no document does."""
     docs = F.array(*(f"doc_{k}" for k in range(1, n_docs + 1)))
     bridges = F.array(*(f"bridge_{k}" for k in range(1, n_docs)))
-    question = F.concat(F.lit("Which name leads from document "), F.col("doc_1").cast("string"), F.lit(" to document "), F.col(f"doc_{n_docs}").cast("string"), F.lit("?"))
-    return chains.select(docs.alias("doc_ids"), bridges.alias("bridges"), question.alias("question"), F.col(f"bridge_{n_docs - 1}").alias("answer"))
+    question = F.concat(F.lit("Which names lead from document "), F.col("doc_1").cast("string"), F.lit(" to document "), F.col(f"doc_{n_docs}").cast("string"), F.lit("?"))
+    answer = F.concat(F.array_join(bridges, " and "), F.lit(" lead through documents "), F.array_join(docs, ", "))
+    return chains.select(docs.alias("doc_ids"), bridges.alias("bridges"), question.alias("question"), answer.alias("answer"))
 
 
 def summary(clusters: DataFrame, texts: DataFrame) -> DataFrame:

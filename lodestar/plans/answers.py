@@ -15,12 +15,10 @@ from ..providers import RULES
 from ..storage import cut, table
 from . import query
 from .graphs import pagerank_steps
-from .texts import CHUNKS
+from .texts import CHUNKS, SENT, TOK
 
 #: A question is a user's turn, its expected answer the next turn; the turn's number is in the id.
 PAIRS = """pairs AS (SELECT u.conv_id * 1000 + u.turn AS qid, u.text AS question, a.text AS reference, u.conv_id FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user' AND u.text <> '')"""
-SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
-TOK = r"list_filter(string_split_regex(trim(lower({0})), '\s+'), lambda x: x <> '')"
 REFUSAL = DEFAULT.refusal
 #: The stand-in prediction: every third question is refused, the others get the reference's first sentence and the question's last.
 PREDICTED = f"""{PAIRS}, sent AS (SELECT *, {SENT.format('question')} AS qs, {SENT.format('reference')} AS rs FROM pairs),
@@ -305,6 +303,28 @@ def answer_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.where(F.col("answer") != REFUSAL).select("qid", "method", F.md5("answer").alias("answer_md5"), "rounds")
 
 
+@query(f"WITH {CHUNKS}, named AS (SELECT regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS n FROM chunks), ent AS (SELECT DISTINCT unnest(n) AS entity FROM named WHERE len(n) > 1), key1 AS (SELECT entity AS key, {TRIGRAMS.format('entity')} AS text FROM ent), {_vectors('v', 'key1')} SELECT key AS entity, bucket, round(value, 6) AS value FROM v")
+def entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of all entities' names, as the values that are not zero."""
+    world = _world(_chunks(spark, sf_dir))
+    rows = world.vectors.join(world.names.withColumnRenamed("entity_id", "item_id"), "item_id").select("entity", F.posexplode("embedding").alias("bucket", "value"))
+    return rows.where("value <> 0").withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH {PAIRS}, given AS (SELECT qid, question, reference, CASE WHEN qid % 3 = 0 THEN NULL ELSE reference END AS answer FROM pairs),
+rows AS (SELECT qid, question, reference || chr(10) || chr(10) || question AS context FROM given WHERE answer IS NULL AND qid % 2 = 0), {_best_sentence('rows')},
+again AS (SELECT qid, answer FROM best WHERE answer <> '' AND NOT contains(lower(answer), 'cannot answer'))
+SELECT g.qid, md5(coalesce(g.answer, a.answer)) AS answer_md5 FROM given g LEFT JOIN again a ON a.qid = g.qid"""
+)
+def retried_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third answer is missing and is made again where there are stored passages, which even ids have."""
+    rows = cut(pairs(spark, sf_dir))
+    held = rows.select("qid", F.when(F.col("qid") % 3 != 0, F.col("reference")).alias("answer"))
+    kept = rows.where("qid % 2 = 0").select("qid", F.array("reference", "question").alias("retrieved"))
+    return strategies.retried(rows.select("qid", "question"), held, kept).select("qid", F.md5("answer").alias("answer_md5"))
+
+
 #: Two ranked lists of a conversation's turns: by number, and by length; the second has no id for every third.
 LISTS = """lists AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p1, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) - 1 AS p2 FROM conversations),
 rows AS (SELECT conv_id AS qid, 2 * p1 AS pos, turn AS doc_id, 0 AS chunk_idx, text FROM lists

@@ -244,3 +244,21 @@ def subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "node")).cast("long")
     top = seeds.select("qid", "node", F.col("weight").alias("similarity"), rank.alias("rank"), F.lit(True).alias("is_seed"))
     return top.unionByName(near.select("qid", "node", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("rank"), F.lit(False).alias("is_seed")))
+
+
+@query(
+    f"""WITH RECURSIVE {SMALL_EDGES}, {BOTH}, reach(node, root) AS (SELECT src, src FROM sym WHERE src LIKE 'r%' UNION SELECT dst, root FROM reach JOIN sym ON src = node),
+v AS (SELECT src AS node FROM sym UNION SELECT dst FROM sym), d AS (SELECT src, count(*) AS k FROM sym GROUP BY src), sizes AS (SELECT root, count(*) AS n FROM reach GROUP BY root)
+SELECT 'success' AS status, (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM sizes) AS n_components, (SELECT max(n) FROM sizes) AS largest,
+  (SELECT max(k) FROM d) AS max_degree, (SELECT round(sum(k)::DOUBLE / (SELECT count(*) FROM v), 6) FROM d) AS mean_degree, (SELECT arg_max(relation, n) FROM (SELECT relation, count(*) AS n FROM edges GROUP BY relation)) AS top_relation"""
+)
+def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a graph, where suppliers and customers are, parts of it as columns."""
+    from ..operators import evaluate
+
+    edges = cut(_edges(small_triplets(spark, sf_dir)))
+    made = evaluate.structure_report(_vertices(edges), edges)
+    return made.select(
+        "status", "basic_stats.n_nodes", "basic_stats.n_edges", "connectivity.n_components", "connectivity.largest", "centrality.max_degree",
+        F.col("centrality.avg_degree").alias("mean_degree"), F.col("relation_metrics.top")[0]["relation"].alias("top_relation"),
+    )

@@ -9,7 +9,7 @@ from ..functions.text import chunks
 from ..operators import generate, graph, index
 from ..storage import cut, table
 from . import query
-from .texts import CHUNKS
+from .texts import CHUNKS, SENT, TOK
 
 #: Triplets by rule from the documents' chunks, and the index over them.
 INDEX = f"""{CHUNKS}, names AS (SELECT doc_id, chunk_idx, regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS n FROM chunks),
@@ -116,15 +116,64 @@ def generated_single_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {STEP_2}, k AS (SELECT *, row_number() OVER (PARTITION BY least(doc_1, doc_2), greatest(doc_1, doc_2) ORDER BY doc_1, bridge_1, doc_2) AS r FROM two)
-SELECT doc_1, doc_2, 'Which name leads from document ' || doc_1 || ' to document ' || doc_2 || '?' AS question, bridge_1 AS answer FROM k WHERE r = 1"""
+SELECT doc_1, doc_2, 'Which names lead from document ' || doc_1 || ' to document ' || doc_2 || '?' AS question, bridge_1 || ' lead through documents ' || doc_1 || ', ' || doc_2 AS answer FROM k WHERE r = 1"""
 )
 def generated_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = generate.multi_hop(index.chains(_index(spark, sf_dir), 2), 2)
     return made.select(F.col("doc_ids")[0].alias("doc_1"), F.col("doc_ids")[1].alias("doc_2"), "question", "answer")
 
 
-@query(f"WITH {INDEX}, {SINGLE} SELECT 'single_hop_' || lpad((row_number() OVER (ORDER BY draw))::VARCHAR, 4, '0') AS id, 'single_hop' AS type, true AS shortcut, NOT contains(lower(question), lower(trim(answer))) AS leak FROM single")
+#: The best sentence of each sample's text for its question; it answers if it holds the expected one.
+ANSWERED = f"""said AS (SELECT draw, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos, question FROM (SELECT single.draw, single.question, named.s FROM single JOIN named USING (draw))),
+scored AS (SELECT draw, sentence, pos, len(list_intersect(list_distinct({TOK.format('sentence')}), list_distinct({TOK.format('question')}))) AS n FROM said),
+best AS (SELECT draw, arg_max(sentence, (n, -pos)) AS got FROM scored GROUP BY draw),
+verdicts AS (SELECT draw, NOT contains(lower(got), 'cannot answer') AND NOT contains(lower(got), 'i don''t know') AND contains(lower(got), lower(trim(answer))) AS answerable, NOT contains(lower(question), lower(trim(answer))) AS leak FROM single JOIN best USING (draw))"""
+
+
+@query(f"WITH {INDEX}, {SINGLE}, {ANSWERED} SELECT 'single_hop_' || lpad((row_number() OVER (ORDER BY draw))::VARCHAR, 4, '0') AS id, 'single_hop' AS type, answerable, true AS shortcut, leak, answerable AND leak AS overall FROM verdicts")
 def validated_single_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The checks of the generated questions that need no answer from a context."""
-    made = _single(spark, sf_dir).withColumn("facts", F.array("text"))
-    return generate.checked(made).select("id", "type", "shortcut", "leak")
+    """All checks of the generated questions."""
+    return generate.checked(_single(spark, sf_dir).withColumn("facts", F.array("text")))
+
+
+@query(
+    f"""WITH {INDEX}, top AS (SELECT entity, count(DISTINCT doc_id) AS n_docs FROM idx WHERE length(entity) >= 3 GROUP BY entity HAVING count(DISTINCT doc_id) >= 2 ORDER BY n_docs DESC, entity LIMIT 20),
+one AS (SELECT entity, doc_id, min(chunk_idx) AS chunk_idx FROM idx JOIN top USING (entity) GROUP BY ALL),
+placed AS (SELECT entity, doc_id, chunk_idx, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS place FROM one QUALIFY place <= 5),
+said AS (SELECT entity, doc_id, place, list_filter({SENT.format('text')}, lambda x: contains(x, entity))[1] AS said FROM placed JOIN chunks USING (doc_id, chunk_idx)),
+made AS (SELECT entity, string_agg(doc_id::VARCHAR, ',' ORDER BY place) AS doc_ids, string_agg(said, ' ' ORDER BY place) AS answer, count(said) AS n FROM said GROUP BY entity)
+SELECT entity, doc_ids, 'What do the documents say about ' || entity || '?' AS question, md5(answer) AS answer_md5 FROM made WHERE n > 1"""
+)
+def generated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_chunks(spark, sf_dir))
+    held = cut(index.entity_chunks(graph.valid(graph.extract(rows))))
+    made = generate.summary(index.summary_clusters(held, 20), rows)
+    return made.select("entity", F.array_join("doc_ids", ",").alias("doc_ids"), "question", F.md5("answer").alias("answer_md5"))
+
+
+@query(
+    f"""WITH {STEP_2}, k AS (SELECT *, row_number() OVER (PARTITION BY least(doc_1, doc_2), greatest(doc_1, doc_2) ORDER BY doc_1, bridge_1, doc_2) AS r FROM two),
+pool AS (SELECT doc_1, doc_2, bridge_1 || ' lead through documents ' || doc_1 || ', ' || doc_2 AS answer, md5(doc_1 || '|' || doc_2) AS draw FROM k WHERE r = 1),
+clean AS (SELECT * FROM pool p WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id IN (p.doc_1, p.doc_2) AND contains(lower(d.text), lower(p.answer))) AND doc_1 % 3 <> 0)
+SELECT 'multi_hop_2_' || lpad((row_number() OVER (ORDER BY draw) - 1)::VARCHAR, 4, '0') AS id, doc_1, doc_2, answer FROM clean ORDER BY draw LIMIT 25"""
+)
+def validated_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains in the order of their draw until 25 questions pass; those that start at every third document count as failed."""
+    pool = generate.multi_hop(index.chains(_index(spark, sf_dir), 2), 2).withColumn("draw", F.md5(F.array_join("doc_ids", "|")))
+    facts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = generate.until(pool, 25, lambda tried: generate.without_shortcut(tried, facts).where(F.col("doc_ids")[0] % 3 != 0), ["draw"], batch=30)
+    return generate.numbered(made, "multi_hop_2", ["draw"], 0).select("id", F.col("doc_ids")[0].alias("doc_1"), F.col("doc_ids")[1].alias("doc_2"), "answer")
+
+
+@query(
+    f"""WITH {CHUNKS}, names AS (SELECT doc_id, chunk_idx, regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS n FROM chunks),
+trip AS (SELECT DISTINCT doc_id, chunk_idx, n[i] AS subject, n[i + 1] AS object FROM (SELECT *, unnest(range(1, len(n))) AS i FROM names WHERE len(n) > 1))
+SELECT doc_id, count(*) AS n_triplets, md5(string_agg(chunk_idx || ' ' || subject || ' next_to ' || object, ';' ORDER BY chunk_idx, subject, object)) AS triplets_md5 FROM trip GROUP BY doc_id"""
+)
+def triplets_regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document states, gathered again from the statements."""
+    from ..sources.readers import regrouped
+
+    line = lambda x: F.concat_ws(" ", x["chunk_idx"].cast("string"), x["subject"], x["relation"], x["object"])
+    made = regrouped(_triplets(spark, sf_dir))
+    return made.select("doc_id", F.size("triplets").cast("long").alias("n_triplets"), F.md5(F.array_join(F.transform("triplets", line), ";")).alias("triplets_md5"))

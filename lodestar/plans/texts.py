@@ -14,6 +14,8 @@ from . import query
 CHUNKS = r"""tok AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS t FROM documents),
 starts AS (SELECT doc_id, t, unnest(range(0, len(t), 412)) AS s FROM tok WHERE len(t) > 0),
 chunks AS (SELECT doc_id, (s // 412)::INTEGER AS chunk_idx, array_to_string(t[s + 1 : s + 512], ' ') AS text FROM starts)"""
+SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+TOK = r"list_filter(string_split_regex(trim(lower({0})), '\s+'), lambda x: x <> '')"
 #: Documents of one language are one question's passages, in order of their ids.
 BUDGET = """ranked AS (SELECT lang, doc_id, text, sum(length(text) // 4) OVER (PARTITION BY lang ORDER BY doc_id) AS running_tokens FROM documents),
 kept AS (SELECT * FROM ranked WHERE running_tokens <= 8000)"""
@@ -90,6 +92,33 @@ def prompt_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(made[1]["content"]).alias("user_md5"))
 
 
+@query(
+    f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), made AS (
+SELECT conv_id, turn, 'entities' AS builder, 'Extract.' || chr(10) || 'Question: ' || text AS p FROM u
+UNION ALL SELECT conv_id, turn, 'triplets', 'Extract the facts.' || chr(10) || 'Text: ' || text FROM u
+UNION ALL SELECT conv_id, turn, 'direct', 'Answer.' || chr(10) || 'Question: ' || text FROM u
+UNION ALL SELECT conv_id, turn, 'sufficient', 'Judge.' || chr(10) || 'Question: ' || text || chr(10) || 'Answer: ' || role || chr(10) || 'Context: ' || substr(repeat(text || '|', 40), 1, 2000) FROM (SELECT u.*, c.role FROM u JOIN conversations c USING (conv_id, turn))
+UNION ALL SELECT conv_id, turn, 'label', 'Compare.' || chr(10) || 'Question: ' || text || chr(10) || 'Expected: ' || substr(text, 1, 9) || chr(10) || 'Answer: ' || substr(text, 3, 9) FROM u
+UNION ALL SELECT conv_id, turn, 'single_hop', 'Write.' || chr(10) || 'Document: ' || text FROM u
+UNION ALL SELECT conv_id, turn, 'summary', 'Write.' || chr(10) || 'Entity: ' || substr(text, 1, 5) || chr(10) || 'Documents: [1] ' || substr(text, 1, 800) || chr(10) || '[2] ' || substr(repeat(text, 9), 1, 800) FROM u
+UNION ALL SELECT conv_id, turn, 'multi_hop', 'Write.' || chr(10) || 'Hops: 2' || chr(10) || 'Bridges: x, y' || chr(10) || 'Documents: [1] ' || substr(text, 1, 500) || chr(10) || '[2] ' || substr(repeat(text, 9), 1, 500) || chr(10) || '[3] z' FROM u
+UNION ALL SELECT conv_id, turn, 'two_hop', 'Write.' || chr(10) || 'Hops: 1' || chr(10) || 'Bridges: x' || chr(10) || 'Documents: [1] ' || substr(text, 1, 500) || chr(10) || '[2] z' FROM u)
+SELECT conv_id, turn, builder, md5(p) AS user_md5 FROM made"""
+)
+def prompt_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every builder of messages but the one above hands to a model, from each turn."""
+    t = F.col("text")
+    long = lambda n, sep="": F.repeat(F.concat(t, F.lit(sep)), n)
+    made = {
+        "entities": prompts.entities(t), "triplets": prompts.triplets(t), "direct": prompts.direct(t), "sufficient": prompts.sufficient(t, F.col("role"), long(40, "|")),
+        "label": prompts.label(t, F.substring(t, 1, 9), F.substring(t, 3, 9)), "single_hop": prompts.single_hop(t), "summary": prompts.summary(F.substring(t, 1, 5), F.array(t, long(9))),
+        "multi_hop": prompts.multi_hop(F.array(t, long(9), F.lit("z")), F.array(F.lit("x"), F.lit("y"))), "two_hop": prompts.two_hop(t, F.lit("z"), F.lit("x")),
+    }
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("builder"), F.md5(m[1]["content"]).alias("user_md5")) for k, m in made.items())))
+    return rows.select("conv_id", "turn", each.alias("x")).select("conv_id", "turn", "x.*")
+
+
 #: A model's output made from an event: a list of lists, fenced for every third, broken for every seventh.
 REPLY = """'[["' || event_type || '", "by", "u' || user_id || '"], ["' || event_type || '", "at"], ["", "by", "x"]' || CASE WHEN event_id % 7 = 0 THEN '' ELSE ']' END"""
 

@@ -116,3 +116,18 @@ SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)
 )
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text").withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""{OCCURRENCES}, m AS (SELECT avg(occurrence) AS mu, stddev_pop(occurrence) AS sd FROM occ),
+hub AS (SELECT round(CASE WHEN any_value(sd) = 0 THEN 0 ELSE avg(power((occurrence - mu) / sd, 3)) END, 6) AS hubness_score, max(occurrence) AS max_occurrence FROM occ, m),
+d2 AS (SELECT qid, sqrt(greatest(0, 2 - 2 * similarity)) AS d FROM ranked WHERE rank <= 2), r2 AS (SELECT qid, min(d) AS a, max(d) AS b FROM d2 GROUP BY qid HAVING count(*) = 2 AND min(d) > 1e-7),
+nn AS (SELECT CASE WHEN count(*) >= 2 AND avg(ln(b / a)) > 0 THEN round(1 / avg(ln(b / a)), 4) END AS intrinsic_dimension FROM r2),
+tops AS (SELECT string_agg(item_id::VARCHAR, ',' ORDER BY occurrence DESC, item_id DESC) AS top_hubs FROM (SELECT * FROM occ ORDER BY occurrence DESC, item_id DESC LIMIT 5))
+SELECT 'success' AS status, (SELECT count(*) FROM embeddings) AS total_embeddings, (SELECT max(len(embedding))::INTEGER FROM embeddings) AS embedding_dimension, intrinsic_dimension, hubness_score, max_occurrence, top_hubs FROM hub, nn, tops"""
+)
+def semantic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an embedding space, its parts as columns."""
+    made = evaluate.semantic_report(_items(spark, sf_dir).select("item_id", "embedding"))
+    top = F.array_join(F.transform("semantic_interference.top_hubs", lambda x: x["chunk_index"].cast("string")), ",")
+    return made.select("status", "total_embeddings", "embedding_dimension", "semantic_complexity.intrinsic_dimension", "semantic_interference.hubness_score", F.col("debug_max_occurrence").alias("max_occurrence"), top.alias("top_hubs"))
