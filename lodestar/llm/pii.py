@@ -128,7 +128,11 @@ def find(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the number of spans of each base kind, the base spans' SHA-256, and all spans as text."""
+    """``doc_id``, the number of spans of each base kind, the base spans' SHA-256, and all spans as text.
+
+    Null and empty texts have no span; a text of any length is searched whole; every one of
+    several equal rows is given; an empty table gives no rows, and other columns are not read.
+    """
     found = find(docs.select("doc_id", "text"))
     base = F.filter("pii", lambda x: x["rank"] < len(KINDS))
     return found.select(

@@ -142,7 +142,10 @@ def _long(rule: str, rules: dict[str, tuple[str, int, int]], x: Column) -> Colum
 
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; ``n_chars``, if there, is counted anew."""
+    """``docs`` with every secret in ``text`` replaced by ``mark``; ``n_chars``, if there, is counted anew.
+
+    Rows without a secret stay as they are, null and empty texts too; an empty table stays empty.
+    """
     free = unused(docs, "found")
     made = find(docs, free)
     made = made.withColumn("text", S.redacted(F.col("text"), F.col(free), mark))
@@ -152,7 +155,11 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the number of spans of each base kind, the base spans' SHA-256, and all spans as text."""
+    """``doc_id``, the number of spans of each base kind, the base spans' SHA-256, and all spans as text.
+
+    Null and empty texts have no span; a text of any length is searched whole; every one of
+    several equal rows is given; an empty table gives no rows, and other columns are not read.
+    """
     found = find(docs.select("doc_id", "text"))
     base = F.filter("secrets", lambda x: x["rank"] < len(BASE))
     return found.select(

@@ -396,6 +396,49 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in language.label(spark.createDataFrame(rows, "doc_id long, text string"), none).collect()} == {"und"}
 
 
+def test_word_scores_are_sums_over_ngrams():
+    """Against n-grams taken one by one, with scripts that some languages do not write."""
+    rnd = np.random.RandomState(3)
+    n_scripts = len(language.NAMES)
+    written = np.ones((n_scripts, 3), bool)
+    written[language.NAMES.index("Greek")] = [False, True, False]
+    written[language.NAMES.index("Han")] = False
+    model = language.Model(["a", "b", "c"], rnd.normal(-5, 1, (1 << language.BITS, 3)).astype(np.float32), written)
+    tried = ["a", "über", "λόγος", "漢字", "word" * 30, "ß"]
+    got = model.scores(tried)
+    for w, row in zip(tried, got, strict=True):
+        padded, total = f" {w} ", np.zeros(3)
+        for n in language.ORDERS:
+            for i in range(len(padded) - n + 1):
+                gram = padded[i : i + n]
+                if gram[0] == gram[-1] == " ":  # a whole word between its spaces is no n-gram
+                    continue
+                h = 0
+                for c in gram:
+                    h = (h * 0x100000001B3 + ord(c)) & (1 << 64) - 1
+                total += model.log_p[((h ^ n) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - language.BITS)]
+        may = written[language.scripts([w])[0]]
+        total = np.where(may, total, -np.inf) if may.any() else np.zeros(3)
+        assert row == pytest.approx(np.maximum(total - total.max(), -language.MOST), abs=1e-3)
+
+
+def test_languages_tie_and_columns_clash(spark):
+    train = spark.createDataFrame([(i, "same words here", k) for i, k in enumerate("ba" * 10)], "doc_id long, text string, lang string")
+    model = language.fit(train)
+    docs = spark.createDataFrame([(1, "same words here", "x", 1.0, None, "w"), (1, "same words here", "x", 1.0, None, "w")], "doc_id long, text string, lang_pred string, score double, spans string, word string")
+    got = language.label(docs, model).collect()
+    assert [(r["doc_id"], r["lang_pred"], r["score"]) for r in got] == [(1, "a", 1.0)] * 2 and got[0].__fields__ == ["doc_id", "lang_pred", "score", "spans"]
+
+
+def test_held_out_languages(spark):
+    from lodestar.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    found = QUERIES["op3_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = [r["lang"] == r["lang_pred"] for r in found.where("held_out and lang is not null and lang_pred <> 'und'").collect()]
+    assert len(held) > 100 and sum(held) / len(held) > 0.98
+
+
 def test_viterbi_is_the_best_path():
     rnd = np.random.RandomState(2)
     sizes = np.array([5, 0, 3, 1, 6])
@@ -423,6 +466,49 @@ def test_toxicity(spark, empty):
     assert {r["toxicity"] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_scores_are_sums_of_weights(spark):
+    """Against counts and sums in plain Python; a very long text, equal texts and clashing columns."""
+    rnd = random.Random(6)
+    rows = [(i, words(rnd, 15) + (" badword" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
+    long = words(rnd, 40_000) + " badword badword"
+    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t, _ in rows] + [(100, long, 0.5, "x"), (101, rows[0][1], 0.5, "x"), (102, rows[0][1], 0.5, "x")], "doc_id long, text string, toxicity double, bucket string")
+    model = toxicity.fit(docs.limit(80), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"), features=300)
+    held = [{*toxicity.buckets(t).tolist()} for _, t, _ in rows]
+    n = [sum(y == k for *_, y in rows) for k in (0, 1)]
+    support = {}
+    for b in set().union(*held):
+        seen = [sum(b in h and y == k for h, (*_, y) in zip(held, rows, strict=True)) for k in (0, 1)]
+        ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+        support[b] = abs(ratio) / np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1))
+    kept = {b for b in range(1 << toxicity.BITS) if model.slot[b] < 300}
+    assert len(kept) == 300 and kept <= set(support) and min(support[b] for b in kept) >= max(support[b] for b in set(support) - kept) - 1e-9
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for i, text in [(r[0], r[1]) for r in rows[:10]] + [(100, long)]:
+        total = model.intercept + sum(model.weights[model.slot[b]] for b in {*toxicity.buckets(text).tolist()} & kept)
+        assert got[i]["toxicity"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    assert got[0]["toxicity"] == got[101]["toxicity"] == got[102]["toxicity"] and got[0]["bucket"] == "x" and len(got) == 83
+
+
+def test_held_out_toxicity(spark):
+    from lodestar.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    found = QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    held = found.where("held_out").collect()
+    right, toxic = [r["predicted"] == r["toxic"] for r in held], [r["predicted"] == 1 for r in held if r["toxic"] == 1]
+    assert len(held) > 500 and sum(right) / len(right) > 0.95 and sum(toxic) / len(toxic) > 0.65
+
+
+def test_media_odd_pictures(spark):
+    """A large picture beside its crop, a one-pixel picture, and an empty article."""
+    rnd = np.random.RandomState(1)
+    large = rnd.randint(0, 256, (250, 250)).repeat(4, 0).repeat(4, 1).astype(np.uint8)
+    images = [large, np.ascontiguousarray(large[300:700, 200:]), np.zeros((1, 1), np.uint8), np.zeros((40, 40), np.uint8)]
+    frame = spark.createDataFrame([(i, im.shape[1], bytearray(im.tobytes()), "k", 1) for i, im in enumerate(images)], "id long, width int, pixels binary, key string, row int")
+    assert {r["id"]: r["class_id"] for r in media.copies(frame).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert media.picture({"article": None, "number": None}).size == media.picture({"article": "", "number": 3}).size == media.picture({"article": "", "number": 1}).size
+
+
 def test_media(spark):
     rnd = np.random.RandomState(4)
     blocks = lambda: rnd.randint(0, 256, (40, 40)).repeat(4, 0).repeat(4, 1)

@@ -52,6 +52,25 @@ def test_stages_do_not_hang_on_how_scans_are_split(spark, tmp_path, monkeypatch,
     assert want < docs.count() and kept == want
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, stage):
+    """No rows; then nulls in all columns, a very long text, repeated rows, and columns with names that stages use."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    rnd = random.Random(3)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60_000))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, toxicity double, found string, same string"
+    rows = [(None,) * 9, (None,) * 9, (1, "", "en", "s", 0, 5, 0.1, "f", "s"), (2, long, "en", "s", len(long), 5, 0.9, "f", "s"), (3, "one two three", "en", "s", 13, 5, None, "f", "s"), (3, "one two three", "en", "s", 13, 5, None, "f", "s")]
+    assert run(spark, spark.createDataFrame([], schema), SF).count() == 0
+    docs = spark.createDataFrame(rows, schema)
+    made = run(spark, docs, SF)
+    got = made.collect()
+    if stage == "packing":
+        assert sum(r["length"] for r in got if r["doc_id"] == 2) > 60_000 and sum(r["doc_id"] is None for r in got) == 2
+        return
+    assert made.columns == docs.columns and set(map(tuple, got)) <= set(rows)
+    assert len(got) == (3 if stage == "near_duplicates" else 6)
+
+
 def test_registry():
     names = list(__spark_entry__.queries())
     assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
