@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 MANY = 1_000_000
 BROADCAST_ROWS = 200_000  # of a few short columns: some MB
+WRITTEN: list[str] = []  # paths of stored tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new path in the checkpoint folder and read it again."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this program, once no result that rests on them is needed; how many."""
+    n = 0
+    while WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
+
+
 def together(first: DataFrame, second: DataFrame) -> DataFrame:
     """All rows of both, by column name, without a claim on how they are dealt.
 

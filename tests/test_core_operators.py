@@ -380,3 +380,15 @@ def test_winners(spark):
     rows = [(1, "x", "correct"), (1, "y", "incomplete"), (2, "x", "incorrect"), (2, "y", "incomplete"), (3, "x", "correct"), (3, "y", "correct"), (4, "x", "correct")]
     got = {r["qid"]: r["winner"] for r in evaluate.compared(spark.createDataFrame(rows, "qid int, method string, llm_label string"), "x", "y").collect()}
     assert got == {1: "x", 2: "y", 3: None}
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from lodestar import storage
+
+    storage.clear(spark)
+    kept = storage.stored(spark.range(5), "t")
+    path = storage.WRITTEN[-1].removeprefix("file:")
+    assert kept.count() == 5 and os.path.exists(path)
+    assert storage.clear(spark) == 1 and not os.path.exists(path) and storage.clear(spark) == 0
