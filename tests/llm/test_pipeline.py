@@ -113,8 +113,8 @@ def test_near_duplicates_from_0_8_on(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     want = _greedy(sets)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == want
-    for long, block, common in ((256, 8, 2), (2, 512, 10**9)):  # all in pairs of blocks; rounds and then pairs
-        monkeypatch.setattr(resemblance, "LONG", long)
+    for rounds, block, common in ((0, 8, 2), (9, 512, 10**9)):  # all in pairs of blocks; rounds and then pairs
+        monkeypatch.setattr(resemblance, "ROUNDS", rounds)
         monkeypatch.setattr(resemblance, "BLOCK", block)
         monkeypatch.setattr(resemblance, "COMMON", common)
         gone = {r["doc_id"] for r in resemblance.later_copies(docs).collect()}
