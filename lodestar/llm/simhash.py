@@ -118,6 +118,12 @@ def pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, at_once: int
     """
     bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     sizes = np.diff(bounds)
+    if (sizes == 1).any():  # a fingerprint alone would take up a block of lanes
+        several = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+        if not len(several):
+            return several, several
+        a, b = pairs(fps[several], group[several], radius, at_once)
+        return several[a], several[b]
     n_blocks = (sizes + 63) // 64
     first_block = np.r_[0, np.cumsum(n_blocks)]
     which = np.repeat(np.arange(len(sizes)), sizes)
