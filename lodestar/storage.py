@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 MANY = 1_000_000
 BROADCAST_ROWS = 200_000  # of a few short columns: some MB
+ROW_GROUP = 16 << 20  # bytes: what each task holds back in memory while it writes
 WRITTEN: list[str] = []  # paths of stored tables
 
 
@@ -46,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new path in the checkpoint folder and read it again."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
