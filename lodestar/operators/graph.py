@@ -248,7 +248,7 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     closed = wedges.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
     corners = closed.select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
     local = degree.join(corners, "node", "left").select(F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(F.lit(0.0)).alias("c"))
-    return local.agg(F.sum("c").alias("c")).crossJoin(vertices.agg(F.count("*").alias("n"))).select(F.round(F.coalesce("c", F.lit(0.0)) / F.col("n"), 6).alias("avg_clustering"), F.col("n").alias("n_nodes"))
+    return local.agg(F.sum("c").alias("c")).crossJoin(vertices.agg(F.count("*").alias("n"))).select(F.round(F.try_divide(F.coalesce("c", F.lit(0.0)), F.col("n")), 6).alias("avg_clustering"), F.col("n").alias("n_nodes"))
 
 
 def path_metrics(edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
