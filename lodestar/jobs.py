@@ -98,7 +98,7 @@ def retrieve(spark: SparkSession, method: str, out: str, questions: str, resume:
     """Answers of a method, and what it retrieved, for the questions that have none yet."""
     asked, path = readers.read_questions(spark, questions).select("qid", "question"), f"{out}/answers/{method}"
     if resume and readers.exists(spark, path):
-        asked = merge.unanswered(asked, spark.read.schema(schemas.ANSWERS).json(path).select(F.col("id").alias("qid"), F.coalesce("rag_answer", "llm_answer").alias("answer")))
+        asked = merge.unanswered(asked, readers.held_answers(spark, path).select(F.col("id").alias("qid"), F.coalesce("rag_answer", "llm_answer").alias("answer")))
     asked = cut(asked)
     if asked.isEmpty():
         return
@@ -131,12 +131,14 @@ def retrieve(spark: SparkSession, method: str, out: str, questions: str, resume:
 
 
 def retry(spark: SparkSession, method: str, out: str, questions: str) -> None:
-    """Null answers again, from the stored passages; the answers are written anew."""
+    """Null answers again, from the stored passages; the answers are rewritten at once, with all their fields."""
     asked, path = readers.read_questions(spark, questions).select("qid", "question"), f"{out}/answers/{method}"
-    held = spark.read.schema(schemas.ANSWERS).json(path).withColumn("pos", F.monotonically_increasing_id())
-    held = held.groupBy(F.col("id").alias("qid")).agg(F.max_by("rag_answer", "pos").alias("answer"))
-    again = cut(strategies.retried(asked, held, readers.read_retrievals(spark, f"{out}/retrievals/{method}")))
-    writers.replace_rows(again.select(F.col("qid").alias("id"), F.col("answer").alias("rag_answer")), path)
+    held = cut(readers.held_answers(spark, path))
+    given = held.select(F.col("id").alias("qid"), F.coalesce("rag_answer", "llm_answer").alias("answer"))
+    again = strategies.retried(asked, given, readers.read_retrievals(spark, f"{out}/retrievals/{method}"))
+    new = again.where("answer is not null").select(F.col("qid").alias("id"), F.col("answer").alias("new"))
+    rows = held.join(new, "id", "left").withColumn("rag_answer", F.coalesce("rag_answer", "llm_answer", "new")).drop("new")
+    writers.replace_rows(rows.withColumn("rag_answer", F.when(F.col("llm_answer").isNull(), F.col("rag_answer"))), path)
 
 
 def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, labels_only: bool = False) -> None:
@@ -149,7 +151,7 @@ def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str,
     pairs = cut(evaluate.to_evaluate(asked, given, retrieved, done))
     made = evaluate.judged(pairs) if labels_only else evaluate.all_metrics(pairs)
     made = made.withColumnRenamed("qid", "id").withColumn("llm_reason", F.lit(""))
-    made.write.mode("append" if resume else "overwrite").json(path)
+    writers.put_rows(made, path, "append" if resume else "overwrite")
 
 
 def compare(spark: SparkSession, a: str, b: str, out: str) -> None:

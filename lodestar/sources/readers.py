@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import corpus
+from . import log
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -16,9 +17,16 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", whole).option("mode", "FAILFAST").json(path)
 
 
+def placed_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a log, a file or a folder, with ``pos``: a later one was written later."""
+    if log.files(spark, path) != [path]:
+        return log.read(spark, path, schema).withColumnRenamed(log.AT, "pos")
+    return json_rows(spark, path, schema).withColumn("pos", log.position())
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, text``; later records of an id replace earlier ones."""
-    return corpus(json_rows(spark, path, schemas.CORPUS).withColumn("pos", F.monotonically_increasing_id()))
+    return corpus(placed_rows(spark, path, schemas.CORPUS))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +82,7 @@ def first_answer(*columns: str) -> Column:
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """``qid, answer, rounds``; the last row of an id holds; a missing answer is ''."""
-    rows = json_rows(spark, path, schemas.ANSWERS).withColumn("pos", F.monotonically_increasing_id())
+    rows = placed_rows(spark, path, schemas.ANSWERS)
     rows = rows.select(F.col("id").alias("qid"), first_answer("rag_answer", "answer", "final_answer", "llm_answer").alias("answer"), "rounds", "pos")
     return rows.groupBy("qid").agg(F.max_by(F.struct("answer", "rounds"), "pos").alias("a")).select("qid", "a.*")
 
@@ -102,14 +110,14 @@ def _last(rows: DataFrame, *columns: str) -> DataFrame:
 
 def read_retrievals(spark: SparkSession, path: str) -> DataFrame:
     """``qid, retrieved``: the texts of whichever shape a row has; the last row of an id holds."""
-    rows = json_rows(spark, path, schemas.RETRIEVALS).withColumn("pos", F.monotonically_increasing_id())
+    rows = placed_rows(spark, path, schemas.RETRIEVALS)
     return _last(rows.select(F.col("id").alias("qid"), retrieved_texts().alias("retrieved"), "pos"), "retrieved")
 
 
 def read_passages(spark: SparkSession, path: str, column: str) -> DataFrame:
     """``qid, pos, doc_id, chunk_idx, text`` of the list ``column`` of each question; the last row of an id holds."""
-    rows = json_rows(spark, path, schemas.RETRIEVALS).withColumn("row", F.monotonically_increasing_id())
-    kept = rows.select(F.col("id").alias("qid"), passages(F.col(column)).alias("found"), F.col("row").alias("pos"))
+    rows = placed_rows(spark, path, schemas.RETRIEVALS)
+    kept = rows.select(F.col("id").alias("qid"), passages(F.col(column)).alias("found"), "pos")
     return _last(kept, "found").select("qid", F.posexplode("found").alias("pos", "p")).select("qid", "pos", "p.*")
 
 
@@ -122,7 +130,7 @@ def read_validations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    return json_rows(spark, path, schemas.EVALUATIONS)
+    return placed_rows(spark, path, schemas.EVALUATIONS).drop("pos")
 
 
 def read_failed(spark: SparkSession, path: str) -> DataFrame:
@@ -160,6 +168,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.INDEX).parquet(path)
 
 
+def held_answers(spark: SparkSession, path: str) -> DataFrame:
+    """``id`` and all fields of the last record of each id, as they are stored: failed answers are null."""
+    return log.last(placed_rows(spark, path, schemas.ANSWERS).withColumnRenamed("pos", log.AT), "id")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

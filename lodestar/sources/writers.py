@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import log
 from .readers import exists
 
 
@@ -14,11 +15,17 @@ def place(root: str, stage: str, method: str = "", model: str = "", dataset: str
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Records behind those there; the log numbers the batch."""
+    log.append(rows, path)
 
 
 def replace_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """Records in place of those there, which hold until all new ones are written."""
+    log.rewrite(rows, path)
+
+
+def put_rows(rows: DataFrame, path: str, mode: str) -> None:
+    (append_rows if mode == "append" else replace_rows)(rows, path)
 
 
 def append_embeddings(rows: DataFrame, path: str) -> None:
@@ -59,14 +66,15 @@ def write_subgraphs(nodes: DataFrame, triplets: DataFrame, sources: DataFrame, p
     rows = of_nodes.join(of_triplets, "qid", "left").join(sources, "qid", "left")
     shown = F.transform("n", lambda x: F.struct(x["rank"].alias("rank"), x["entity"].alias("entity"), x["similarity"].alias("similarity"), x["is_seed"].alias("is_seed")))
     none = F.array().cast("array<array<string>>")
-    rows.select(F.col("qid").cast("string").alias("id"), shown.alias("nodes"), F.coalesce("triplets", none).alias("triplets"), F.col("chunks").alias("source_sentences")).write.mode(mode).json(path)
+    made = rows.select(F.col("qid").cast("string").alias("id"), shown.alias("nodes"), F.coalesce("triplets", none).alias("triplets"), F.col("chunks").alias("source_sentences"))
+    put_rows(made, path, mode)
 
 
-def write_history(log: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_history(history: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``id, history`` of iterative answering, rounds in order."""
     verdict = F.struct("sufficient", F.lit("").alias("reason"), "sub_question").alias("evaluation")
     item = F.struct("round", "query", "answer", "context", verdict, "new_chunks_count")
-    log.groupBy(F.col("qid").cast("string").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("history")).write.mode(mode).json(path)
+    put_rows(history.groupBy(F.col("qid").cast("string").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("history")), path, mode)
 
 
 def write_comparison(labels: DataFrame, compared: DataFrame, a: str, b: str, path: str) -> None:
