@@ -20,6 +20,7 @@ class Config:
     ppr_alpha: float = 0.85
     ppr_min_score: float = 1e-5
     ppr_rounds: int = 100
+    ppr_epsilon: float = 1e-6
     iterative_rounds: int = 3
     faithful_similarity: float = 0.7
     hub_neighbours: int = 10

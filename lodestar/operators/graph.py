@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import capitalised, valid_name
-from ..storage import cut, together
+from ..storage import BROADCAST_ROWS, cut, in_turn, looked_up, mapped, small, stored, together
+
+
+PIECE = 4096  # edges of a node that go to one task
 
 
 def extract(chunks: DataFrame) -> DataFrame:
@@ -84,36 +87,96 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value.cast("double"), digits)
 
 
+def adjacency(edges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``src, piece, dst, degree, dst_degree, dst_pieces``: edges in both directions, loops once.
+
+    A node's edges are dealt into pieces of about ``piece``, so what meets a hub is joined
+    piece by piece, in many tasks.
+    """
+    both = cut(both_ways(edges, loops=True).where("src is not null and dst is not null"))
+    degree = both.groupBy("src").agg(F.count("*").alias("degree")).select(F.col("src").alias("node"), "degree", F.ceil(F.col("degree") / piece).cast("int").alias("pieces"))
+    degree = cut(degree)
+    rows = looked_up(both, "src", degree.withColumnRenamed("pieces", "own"))
+    rows = looked_up(rows, "dst", degree.select("node", F.col("degree").alias("dst_degree"), F.col("pieces").alias("dst_pieces")))
+    return cut(rows.withColumn("piece", F.pmod(F.xxhash64("dst"), F.col("own")).cast("int")).drop("own"))
+
+
+def _shares(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``qid, node, share, degree, pieces`` of the seeds that are in the graph; shares of a question add up to 1."""
+    total = seeds.groupBy("qid").agg(F.sum("weight").alias("total"))
+    ends = links.select(F.col("dst").alias("node"), F.col("dst_degree").alias("degree"), F.col("dst_pieces").alias("pieces"))
+    there = ends.join(small(cut(seeds.select("node").distinct())), "node", "left_semi").distinct()
+    start = cut(seeds.join(there, "node").join(total, "qid").select("qid", "node", (F.col("weight") / F.col("total")).alias("share"), "degree", "pieces"))
+    known = start.groupBy("qid").agg(F.sum("share").alias("known"))
+    return cut(start.join(known, "qid").select("qid", "node", (F.col("share") / F.col("known")).alias("share"), "degree", "pieces"))
+
+
+def _flow(state: DataFrame, links: DataFrame, amount: Column, sent_out: bool = False) -> DataFrame:
+    """What each row of ``state`` (``qid, node, pieces``) sends along its edges: ``qid, node, degree, pieces, part``."""
+    sent = state.select("qid", F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), amount.alias("part"))
+    met = links.join(F.broadcast(sent) if sent_out else sent, ["src", "piece"])
+    return met.select("qid", F.col("dst").alias("node"), F.col("dst_degree").alias("degree"), F.col("dst_pieces").alias("pieces"), "part")
+
+
+def _sent(front: DataFrame) -> int:
+    """How many rows ``front`` is when it meets the pieces."""
+    return front.agg(F.sum("pieces").alias("n")).first()["n"] or 0
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float = DEFAULT.ppr_alpha, tolerance: float | None = None, every: int = 5) -> DataFrame:
-    """Personalised PageRank over an undirected graph: ``qid, node, score``.
+    """Personalised PageRank over an undirected graph, round by round: ``qid, node, score``.
 
     ``edges`` has ``src, dst`` (both directions are made), ``seeds`` ``qid, node, weight``.
-    Every round joins the scores with the edges and adds them up by node; scores start at the
-    seeds' shares.  The plan is cut every few rounds; with a ``tolerance`` it is seen then
-    whether the last round's change, summed over nodes, is below it times the number of
-    nodes for every question, which ends the work.  Seeds that are not in the graph are left out; without any a question has no row.
+    Every round joins the scores with the pieces of the edges and adds them up by node, first
+    in each task; scores start at the seeds' shares.  With a ``tolerance`` it is seen every
+    few rounds whether the last round's change, summed over nodes, is below it times the
+    number of nodes for every question, which ends the work.  Seeds that are not in the graph
+    are left out; without any a question has no row.
     """
-    both = cut(both_ways(edges, loops=True))
-    links = cut(both.join(both.groupBy("src").agg(F.count("*").alias("degree")), "src"))
+    links = adjacency(edges)
     enough = None if tolerance is None else tolerance * links.select("src").distinct().count()
-    total = seeds.groupBy("qid").agg(F.sum("weight").alias("total"))
-    start = cut(seeds.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(total, "qid").select("qid", "node", (F.col("weight") / F.col("total")).alias("share")))
-    known = start.groupBy("qid").agg(F.sum("share").alias("known"))
-    start = cut(start.join(known, "qid").select("qid", "node", (F.col("share") / F.col("known")).alias("share")))
-    scores = start.select("qid", "node", F.col("share").alias("score"))
+    start = _shares(links, seeds)
+    scores = start.withColumnRenamed("share", "score")
     for n in range(1, rounds + 1):
-        flow = scores.join(links.withColumnRenamed("src", "node"), "node").select("qid", F.col("dst").alias("node"), (alpha * F.col("score") / F.col("degree")).alias("part"))
-        back = start.select("qid", "node", ((1 - alpha) * F.col("share")).alias("part"))
-        new = together(flow, back).groupBy("qid", "node").agg(F.sum("part").alias("score"))
-        if n % every == every - 1 or n % every == 0:
-            new = cut(new)
+        flow = _flow(scores, links, alpha * F.col("score") / F.col("degree"))
+        back = start.select("qid", "node", "degree", "pieces", ((1 - alpha) * F.col("share")).alias("part"))
+        added = together(flow, back).groupBy("qid", "node", "degree", "pieces").agg(F.sum("part").alias("score"))
+        new = stored(added, "scores") if n % every == every - 1 or n % every == 0 else added
         if tolerance is not None and n % every == 0:
             pair = new.alias("n").join(scores.alias("o"), ["qid", "node"], "full")
             change = pair.groupBy("qid").agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
             if (change or 0.0) < enough:
-                return new
+                return new.select("qid", "node", "score")
         scores = new
-    return scores
+    return scores.select("qid", "node", "score")
+
+
+def push_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = DEFAULT.ppr_alpha, epsilon: float = DEFAULT.ppr_epsilon, piece: int = PIECE) -> DataFrame:
+    """Personalised PageRank by forward push: ``qid, node, score, bound``.
+
+    Each question holds what its nodes have kept and a residual that is still to be sent.
+    Nodes whose residual is over ``epsilon`` times their degree keep the share 1 - ``alpha``
+    of it and send the rest along their edges, until no question has such a node.  So work
+    stays around a question's seeds, whatever the size of the graph; a hub's edges are sent
+    along in pieces, and residuals are added up in each task before they are shuffled.
+
+    The exact score lies between ``score`` and ``score + bound``: each node's residual is at
+    most ``epsilon`` times its degree, and ``bound`` is that limit.  Seeds that are not in the
+    graph are left out; without any a question has no row.
+    """
+    links = adjacency(edges, piece)
+    zero, keep = F.lit(0.0), in_turn("residuals")
+    state = keep(_shares(links, seeds).select("qid", "node", "degree", "pieces", zero.alias("kept"), F.col("share").alias("open")))
+    over = F.col("open") > epsilon * F.col("degree")
+    while True:
+        front = state.where(over)
+        rows = _sent(front)
+        if not rows:
+            break
+        sent = _flow(front, links, alpha * F.col("open") / F.col("degree"), rows <= BROADCAST_ROWS).select("qid", "node", "degree", "pieces", zero.alias("kept"), F.col("part").alias("open"))
+        stay = state.select("qid", "node", "degree", "pieces", (F.col("kept") + F.when(over, (1 - alpha) * F.col("open")).otherwise(zero)).alias("kept"), F.when(over, zero).otherwise(F.col("open")).alias("open"))
+        state = keep(together(stay, sent).groupBy("qid", "node", "degree", "pieces").agg(F.sum("kept").alias("kept"), F.sum("open").alias("open")))
+    return state.select("qid", "node", (F.col("kept") + (1 - alpha) * F.col("open")).alias("score"), (epsilon * F.col("degree")).alias("bound"))
 
 
 def ppr_subgraph(scores: DataFrame, seeds: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -132,7 +195,7 @@ def ppr_filtered(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, config: C
     own = lambda c: F.struct("qid", F.col(c).alias("node"))
     inside = cut(induced(both_ways(edges), nodes).select("qid", own("src").alias("src"), own("dst").alias("dst")))
     weights = seeds.select("qid", own("node").alias("node"), "weight")
-    scores = pagerank(inside, weights, config.ppr_rounds, config.ppr_alpha, 1e-6).select("qid", F.col("node.node").alias("node"), "score")
+    scores = push_pagerank(inside, weights, config.ppr_alpha, config.ppr_epsilon).select("qid", F.col("node.node").alias("node"), "score")
     first = F.when(F.col("seed"), 0).otherwise(1)
     order = Window.partitionBy("qid").orderBy(first, F.desc(F.round(F.coalesce("score", F.lit(0.0)), 12)), "node")
     rows = nodes.join(scores, ["qid", "node"], "left").join(seeds.select("qid", "node", F.lit(True).alias("seed")), ["qid", "node"], "left")
@@ -142,13 +205,15 @@ def ppr_filtered(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, config: C
 
 def within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """``qid, node, hops``: everything within ``depth`` edges of a question's start nodes."""
-    both = both_ways(edges)
-    seen = starts.select("qid", "node", F.lit(0).alias("hops"))
+    links = adjacency(edges)
+    there = links.select(F.col("dst").alias("node"), F.col("dst_pieces").alias("pieces"))
+    first = there.join(small(cut(starts.select("node").distinct())), "node", "left_semi").distinct()
+    seen = cut(starts.select("qid", "node").join(first, "node", "left").select("qid", "node", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.lit(0).alias("hops")))
     for d in range(1, depth + 1):
-        edge = seen.where(F.col("hops") == d - 1).join(both.withColumnRenamed("src", "node"), "node")
-        new = edge.select("qid", F.col("dst").alias("node"), F.lit(d).alias("hops")).distinct()
-        seen = together(seen, new).groupBy("qid", "node").agg(F.min("hops").alias("hops"))
-    return seen
+        front = seen.where((F.col("hops") == d - 1) & (F.col("pieces") > 0)).withColumn("degree", F.lit(0))
+        new = _flow(front, links, F.lit(d), _sent(front) <= BROADCAST_ROWS).select("qid", "node", "pieces", F.col("part").alias("hops"))
+        seen = cut(together(seen, new).groupBy("qid", "node").agg(F.max("pieces").alias("pieces"), F.min("hops").alias("hops")))
+    return seen.select("qid", "node", "hops")
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,19 +265,41 @@ def sources(stated: DataFrame, triplets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that each node of the edges can reach.
 
-    A node's label becomes the least around it, then its label's label; paths shrink at
-    least by half a round.  Labels are cut each round.
+    Each round contracts the graph: a node goes over to that node, up to two edges away, whose
+    hash, drawn anew each round, is smallest.  In expectation at most two thirds of the nodes
+    that still have edges are left, whatever they are called and in whatever order, and a star
+    is one node at once; so rounds grow with the logarithm of the graph.  Minima are taken in
+    each task before they are shuffled, and maps go back to the edges by ``mapped``, so hubs
+    gather nowhere.
     """
-    both = cut(both_ways(edges, loops=True))
-    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("low"))
-        moved = cut(labels.join(around, "node").select("node", F.least("component", "low").alias("to")))
-        jump = moved.select(F.col("node").alias("to"), F.col("to").alias("component"))
-        new = cut(moved.join(jump, "to").select("node", "component"))
-        if new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        labels = new
+    pairs = edges.select("src", "dst").where("src is not null and dst is not null")
+    keep = in_turn("edges")
+    rest = keep(pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    steps: list[DataFrame] = []
+    while not rest.isEmpty():
+        drawn = lambda c, n=len(steps): F.struct(F.xxhash64(c, F.lit(n)).alias("drawn"), F.col(c).alias("to"))
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("near"))
+        near = stored(least.select("node", F.least("near", drawn("node"))["to"].alias("to")), "near")
+        seen = looked_up(rest, "a", near.withColumnRenamed("to", "of_a"))
+        seen = seen if near.count() <= BROADCAST_ROWS else stored(seen, "near")
+        seen = looked_up(seen, "b", near.withColumnRenamed("to", "of_b"))
+        found = near.union(seen.select("a", "of_b")).union(seen.select("b", "of_a")).groupBy("node").agg(F.min(drawn("to")).alias("near"))
+        step = stored(found.select("node", F.col("near.to").alias("to")), "step")
+        half = mapped(rest, "a", step)
+        half = half if step.count() <= BROADCAST_ROWS else stored(half, "edges")
+        moved = mapped(half, "b", step).where("a <> b")
+        rest = keep(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        steps.append(step)
+    alone = pairs.where("src = dst").select(F.col("src").alias("node")).distinct()
+    if not steps:
+        return alone.select("node", F.col("node").alias("component"))
+    labels = steps.pop()
+    for step in reversed(steps):
+        labels = stored(mapped(step, "to", labels), "labels")
+    least = stored(together(labels, labels.select(F.col("to").alias("node"), "to")).groupBy(F.col("to").alias("node")).agg(F.min("node").alias("to")), "least")
+    named = stored(mapped(labels, "to", least).withColumnRenamed("to", "component"), "components")
+    return together(named, alone.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def basic_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -199,8 +199,8 @@ def ppr_topn_with_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same seeds, until the scores hardly change any more."""
-    return graph.pagerank(_edges(triplets(spark, sf_dir)), _seeds(spark, sf_dir), DEFAULT.ppr_rounds, DEFAULT.ppr_alpha, 1e-6)
+    """The same seeds, pushed until no node's residual is over a millionth of its degree."""
+    return graph.push_pagerank(_edges(triplets(spark, sf_dir)), _seeds(spark, sf_dir))
 
 
 BFS = f"""{EDGES}, {BOTH}, {SEEDS}, h1 AS (SELECT DISTINCT qid, dst AS node FROM seeds JOIN sym ON src = node), h2 AS (SELECT DISTINCT qid, dst AS node FROM h1 JOIN sym ON src = node),

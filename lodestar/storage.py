@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANY = 1_000_000
 BROADCAST_ROWS = 200_000  # of a few short columns: some MB
+HOT = 10_000  # a key with over one in so many rows is hot, so there are fewer than so many hot keys
 ROW_GROUP = 16 << 20  # bytes: what each task holds back in memory while it writes
 WRITTEN: list[str] = []  # paths of stored tables
 
@@ -52,15 +54,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables that ``stored`` has written in this program, once no result that rests on them is needed; how many."""
     n = 0
     while WRITTEN:
-        where = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        n += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        n += _delete(spark, WRITTEN.pop())
     return n
 
 
+def in_turn(name: str) -> Callable[[DataFrame], DataFrame]:
+    """A function for loops: it stores a table and deletes the one that it stored the time before.
+
+    A checkpoint goes on estimating its size by the plan that made it, and estimates of joins
+    multiply: after some dozen rounds planning takes longer than the work.  A stored table has
+    the size of its files.
+    """
+    before: list[str] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        made = stored(df, name)
+        path = WRITTEN[-1]
+        for old in before:
+            _delete(df.sparkSession, old)
+            WRITTEN.remove(old)
+        before[:] = [path]
+        return made
+
+    return put
+
+
 def together(first: DataFrame, second: DataFrame) -> DataFrame:
     """All rows of both, by column name, without a claim on how they are dealt.
 
@@ -73,3 +100,24 @@ def together(first: DataFrame, second: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows; ``df`` should be cut or stored."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def looked_up(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``rows`` with what ``known`` says of ``column``: its columns beside the key ``node``, which is distinct; null where it says nothing.
+
+    A small table is sent out.  Of a large one the hot keys' part is, and the rest is joined by
+    shuffle, so no key brings more than one in ``HOT`` rows into a task.  Both are cut.
+    """
+    theirs = known.withColumnRenamed("node", column)
+    if known.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(theirs), column, "left")
+    counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(cut(counts.where(F.col("_n") > max(rows.count() / HOT, 1000)).select(column)))
+    often = rows.join(hot, column, "left_semi").join(F.broadcast(theirs.join(hot, column, "left_semi")), column, "left")
+    return together(often, rows.join(hot, column, "left_anti").join(theirs, column, "left"))
+
+
+def mapped(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by ``to`` where ``to`` (``node, to``) has it; see ``looked_up``."""
+    found = looked_up(rows, column, to.select("node", F.col("to").alias("_to")))
+    return found.withColumn(column, F.coalesce("_to", column)).select(*rows.columns)
