@@ -45,13 +45,16 @@ def faithfulness(pairs: DataFrame, config: Config = DEFAULT, split: bool = False
 
     Hard is the share of sentences whose best similarity reaches the threshold, soft the mean
     of the best ones.  Both are null for refusals and without retrieved texts.  ``split``
-    compares with the sentences of the texts instead of the texts.
+    compares with the sentences of the texts instead of the texts, and gives 0 without any.
     """
     texts = F.flatten(F.transform("retrieved", lambda x: sentences(x))) if split else F.col("retrieved")
     usable = pairs.where(~is_refusal(F.col("prediction")) & (F.size(F.coalesce("retrieved", F.array().cast("array<string>"))) > 0)).withColumn("texts", texts)
     best = _by_sentence(usable, "prediction", "texts")
     scores = best.groupBy("qid").agg(F.avg((F.round("similarity", 9) >= config.faithful_similarity).cast("double")).alias("faithfulness_hard"), F.avg("similarity").alias("faithfulness_soft"))
-    return pairs.select("qid").join(scores, "qid", "left")
+    if not split:
+        return pairs.select("qid").join(scores, "qid", "left")
+    given = pairs.select("qid", is_refusal(F.col("prediction")).alias("refused")).join(scores, "qid", "left")
+    return given.select("qid", *(F.when(~F.col("refused"), F.coalesce(c, F.lit(0.0))).alias(c) for c in ("faithfulness_hard", "faithfulness_soft")))
 
 
 def judged(pairs: DataFrame) -> DataFrame:
@@ -114,8 +117,9 @@ def compared(labels: DataFrame, a: str, b: str) -> DataFrame:
 def semantic_report(vectors: DataFrame, k: int = DEFAULT.hub_neighbours) -> DataFrame:
     """One row with every metric of ``item_id, embedding``; an empty table has the status ``failed`` and no metrics."""
     size = vectors.agg(F.count("*").alias("total_embeddings"), F.max(F.size("embedding")).alias("embedding_dimension"))
-    seen = hubs(vectors, k)
-    spread = seen.agg(F.round(F.coalesce(F.nanvl(F.skewness("occurrence"), F.lit(0.0)), F.lit(0.0)), 6).alias("hubness_score"), F.max("occurrence").alias("debug_max_occurrence"), F.round(F.avg("occurrence"), 6).alias("debug_mean_occurrence"))
+    enough = vectors.count() > k
+    seen = hubs(vectors, k) if enough else vectors.select("item_id", F.lit(0).cast("long").alias("occurrence"))
+    spread = _spread(seen, enough).toDF("hubness_score", "debug_max_occurrence", "debug_mean_occurrence")
     top = rank_hubs(seen).agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "occurrence"))).alias("t"))
     top = top.select(F.transform("t", lambda x: F.struct(x["item_id"].alias("chunk_index"), x["occurrence"].alias("occurrence"))).alias("top_hubs"))
     rows = size.crossJoin(two_nn(vectors)).crossJoin(centroid_distances(vectors)).crossJoin(spread).crossJoin(top)  # one row each
@@ -172,12 +176,13 @@ def two_nn(vectors: DataFrame) -> DataFrame:
 def centroid_distances(vectors: DataFrame) -> DataFrame:
     """Cosine distance of the vectors to their mean: mean, population deviation, least and most.
 
-    The mean has one row for each dimension; only that is sent out.
+    The mean has one row for each dimension; only that is sent out.  A zero vector counts in
+    the mean, but has no distance to it.
     """
     mean = vectors.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
     length = lambda v: F.sqrt(dot(v, v))
-    far = vectors.crossJoin(F.broadcast(centre)).select((1 - dot(F.col("embedding"), F.col("centre")) / (length(F.col("embedding")) * length(F.col("centre")))).alias("d"))
+    far = vectors.crossJoin(F.broadcast(centre)).select((1 - F.try_divide(dot(F.col("embedding"), F.col("centre")), length(F.col("embedding")) * length(F.col("centre")))).alias("d"))
     return far.agg(*(F.round(f("d"), 6).alias(f"{k}_centroid_distance") for k, f in (("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))))
 
 
@@ -188,13 +193,25 @@ def hubs(vectors: DataFrame, k: int = DEFAULT.hub_neighbours) -> DataFrame:
     return vectors.select("item_id").join(seen, "item_id", "left").select("item_id", F.coalesce("occurrence", F.lit(0)).alias("occurrence"))
 
 
-def hubness(vectors: DataFrame, k: int = DEFAULT.hub_neighbours) -> DataFrame:
-    """One row: population skewness of the occurrences (0 if they are equal), largest and mean."""
+def _spread(occurrences: DataFrame, enough: bool) -> DataFrame:
+    """One row of ``occurrence``: ``hubness, max_occurrence, mean_occurrence``; null, 0 and 0 of too few vectors."""
+    if not enough:
+        return occurrences.sparkSession.range(1).select(F.lit(None).cast("double").alias("hubness"), F.lit(0).cast("long").alias("max_occurrence"), F.lit(0.0).alias("mean_occurrence"))
     skew = F.coalesce(F.nanvl(F.skewness("occurrence"), F.lit(0.0)), F.lit(0.0))
-    return hubs(vectors, k).agg(F.round(skew, 6).alias("hubness"), F.max("occurrence").alias("max_occurrence"), F.round(F.avg("occurrence"), 6).alias("mean_occurrence"))
+    return occurrences.agg(F.round(skew, 6).alias("hubness"), F.max("occurrence").alias("max_occurrence"), F.round(F.avg("occurrence"), 6).alias("mean_occurrence"))
+
+
+def hubness(vectors: DataFrame, k: int = DEFAULT.hub_neighbours) -> DataFrame:
+    """One row: population skewness of the occurrences (0 if they are equal), largest and mean.
+
+    Of fewer than ``k + 1`` vectors the skewness is null, the others 0.
+    """
+    enough = vectors.count() > k
+    return _spread(hubs(vectors, k) if enough else vectors, enough)
 
 
 def rank_hubs(occurrences: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` vectors that are near to most others; one that is near to none is no hub."""
     order = Window.orderBy(F.desc("occurrence"), F.desc("item_id"))
-    top = occurrences.orderBy(F.desc("occurrence"), F.desc("item_id")).limit(n)
+    top = occurrences.where("occurrence > 0").orderBy(F.desc("occurrence"), F.desc("item_id")).limit(n)
     return top.withColumn("place", F.row_number().over(order))

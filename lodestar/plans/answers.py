@@ -104,7 +104,11 @@ best2 AS (SELECT qid, key, max(sim) AS sim FROM cross_sim GROUP BY ALL),
 faith AS (SELECT qid, avg((round(sim, 9) >= 0.7)::INTEGER) AS faithfulness_hard, avg(sim) AS faithfulness_soft FROM best2 GROUP BY qid)"""
 
 
-@query(f"WITH {SPLIT} SELECT p.qid, round(faithfulness_hard, 6) AS faithfulness_hard, round(faithfulness_soft, 6) AS faithfulness_soft FROM predicted p LEFT JOIN faith USING (qid)")
+#: Refusals have no score; without retrieval (every fifth id) it is 0.
+HELD = "CASE WHEN lower(prediction) LIKE '%cannot answer%' THEN NULL WHEN p.qid % 5 = 0 THEN 0.0 ELSE round({0}, 6) END AS {0}"
+
+
+@query(f"WITH {SPLIT} SELECT p.qid, {HELD.format('faithfulness_hard')}, {HELD.format('faithfulness_soft')} FROM predicted p LEFT JOIN faith USING (qid)")
 def faithfulness_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the sentences of what was retrieved."""
     return _round(evaluate.faithfulness(predicted(spark, sf_dir), split=True), "faithfulness_hard", "faithfulness_soft")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import QUESTION_TYPES
 from ..operators import merge, validate
-from ..storage import table
+from ..sources import log, readers, writers
+from ..storage import folder, table
 from . import query
 
 
@@ -104,6 +107,36 @@ def update_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.update_answers(rows.select(F.col("o_orderkey").alias("qid"), F.col("o_orderpriority").alias("answer")), new)
 
 
+#: Answers of all orders, then of every third without one, then of every fifth: the last written holds.
+WRITTEN = """SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 5 = 0 THEN 'third ' || o_orderpriority WHEN o_orderkey % 3 = 0 THEN '' ELSE 'first ' || o_orderstatus END AS answer,
+  CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::INTEGER AS rounds FROM orders"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> str:
+    rows = table(spark, sf_dir, "orders")
+    path = f"{folder(spark)}/log-{uuid.uuid4().hex}"
+    made = ((rows, F.concat(F.lit("first "), "o_orderstatus")), (rows.where("o_orderkey % 3 = 0"), F.lit(None).cast("string")), (rows.where("o_orderkey % 5 = 0"), F.concat(F.lit("third "), "o_orderpriority")))
+    for n, (batch, answer) in enumerate(made):
+        writers.append_rows(batch.select(F.col("o_orderkey").cast("string").alias("id"), answer.alias("rag_answer"), F.lit(n + 1).alias("rounds")), path)
+    return path
+
+
+@query(WRITTEN)
+def record_log_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends of different sizes to a log; a missing answer is read as ''."""
+    return readers.read_answers(spark, _log(spark, sf_dir)).withColumn("qid", F.col("qid").cast("long"))
+
+
+@query(f"SELECT qid, CASE WHEN answer = '' THEN 'again' ELSE answer END AS answer, rounds FROM ({WRITTEN})")
+def record_log_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed answers are tried again, and the log is rewritten from itself in one version."""
+    path = _log(spark, sf_dir)
+    held = readers.held_answers(spark, path)
+    writers.replace_rows(held.withColumn("rag_answer", F.coalesce("rag_answer", F.lit("again"))), path)
+    log.vacuum(spark, path, 1)
+    return readers.read_answers(spark, path).withColumn("qid", F.col("qid").cast("long"))
+
+
 @query("SELECT user_id AS qid, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS scheme, arg_max(event_type, event_id) AS type FROM events GROUP BY ALL")
 def question_type_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of a user and scheme is the new type, the first the old one."""

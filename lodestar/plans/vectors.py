@@ -90,6 +90,25 @@ def centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.centroid_distances(table(spark, sf_dir, "embeddings"))
 
 
+@query(
+    """WITH long AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE unnest(embedding)::DOUBLE END AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+centre AS (SELECT i, avg(x) AS m FROM long GROUP BY i),
+d AS (SELECT vec_id, 1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS d FROM long JOIN centre USING (i) GROUP BY vec_id HAVING sum(x * x) > 0)
+SELECT round(avg(d), 6) AS avg_centroid_distance, round(stddev_pop(d), 6) AS std_centroid_distance,
+  round(min(d), 6) AS min_centroid_distance, round(max(d), 6) AS max_centroid_distance FROM d"""
+)
+def centroid_distance_of_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector is zero: it counts in the mean and has no distance."""
+    zeroed = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 7 == 0, F.lit(0.0).cast("float")).otherwise(x))
+    return evaluate.centroid_distances(table(spark, sf_dir, "embeddings").withColumn("embedding", zeroed))
+
+
+@query("SELECT CASE WHEN count(*) > 100000000 THEN 1.0 END AS hubness, 0::BIGINT AS max_occurrence, 0.0::DOUBLE AS mean_occurrence FROM embeddings")
+def hubness_of_too_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With more neighbours asked for than there are vectors, hubness is null."""
+    return evaluate.hubness(_items(spark, sf_dir).select("item_id", "embedding"), 100_000_000)
+
+
 OCCURRENCES = f"""WITH {NEIGHBOURS}, seen AS (SELECT item_id, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY item_id),
 occ AS (SELECT vec_id AS item_id, coalesce(n, 0) AS occurrence FROM embeddings LEFT JOIN seen ON item_id = vec_id)"""
 
@@ -103,7 +122,7 @@ def hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.hubness(_items(spark, sf_dir).select("item_id", "embedding"))
 
 
-@query(f"""{OCCURRENCES} SELECT item_id, occurrence, row_number() OVER (ORDER BY occurrence DESC, item_id DESC) AS place FROM occ QUALIFY place <= 5""")
+@query(f"""{OCCURRENCES} SELECT item_id, occurrence, row_number() OVER (ORDER BY occurrence DESC, item_id DESC) AS place FROM occ WHERE occurrence > 0 QUALIFY place <= 5""")
 def top_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluate.rank_hubs(evaluate.hubs(_items(spark, sf_dir).select("item_id", "embedding")))
     return found.withColumn("place", F.col("place").cast("long"))
@@ -123,7 +142,7 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 hub AS (SELECT round(CASE WHEN any_value(sd) = 0 THEN 0 ELSE avg(power((occurrence - mu) / sd, 3)) END, 6) AS hubness_score, max(occurrence) AS max_occurrence FROM occ, m),
 d2 AS (SELECT qid, sqrt(greatest(0, 2 - 2 * similarity)) AS d FROM ranked WHERE rank <= 2), r2 AS (SELECT qid, min(d) AS a, max(d) AS b FROM d2 GROUP BY qid HAVING count(*) = 2 AND min(d) > 1e-7),
 nn AS (SELECT CASE WHEN count(*) >= 2 AND avg(ln(b / a)) > 0 THEN round(1 / avg(ln(b / a)), 4) END AS intrinsic_dimension FROM r2),
-tops AS (SELECT string_agg(item_id::VARCHAR, ',' ORDER BY occurrence DESC, item_id DESC) AS top_hubs FROM (SELECT * FROM occ ORDER BY occurrence DESC, item_id DESC LIMIT 5))
+tops AS (SELECT string_agg(item_id::VARCHAR, ',' ORDER BY occurrence DESC, item_id DESC) AS top_hubs FROM (SELECT * FROM occ WHERE occurrence > 0 ORDER BY occurrence DESC, item_id DESC LIMIT 5))
 SELECT 'success' AS status, (SELECT count(*) FROM embeddings) AS total_embeddings, (SELECT max(len(embedding))::INTEGER FROM embeddings) AS embedding_dimension, intrinsic_dimension, hubness_score, max_occurrence, top_hubs FROM hub, nn, tops"""
 )
 def semantic_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,20 @@ def test_scores(spark):
     assert evaluate.summary(evaluate.all_metrics(pairs)).first()["n"] == 3
 
 
+def test_scores_without_retrieval_and_spaces_with_zeros_or_few(spark):
+    rows = [("1", "a", "a b.", []), ("2", "a", "a b.", None), ("3", "a", "I cannot answer", []), ("4", "a", "a b.", ["a b."])]
+    pairs = spark.createDataFrame(rows, "qid string, reference string, prediction string, retrieved array<string>")
+    got = {r["qid"]: (r["faithfulness_hard"], r["faithfulness_soft"]) for r in evaluate.faithfulness(pairs, split=True).collect()}
+    assert got["1"] == got["2"] == (0.0, 0.0) and got["3"] == (None, None) and got["4"][0] == 1.0
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "item_id long, embedding array<double>")
+    assert evaluate.centroid_distances(some).first()["avg_centroid_distance"] == pytest.approx(1 - 0.5**0.5, abs=1e-6)
+    assert tuple(evaluate.hubness(some, 3).first()) == (None, 0, 0.0)
+    assert tuple(evaluate.hubness(some, 2).first())[1:] == (2, 2.0)
+    report = evaluate.semantic_report(some).first()
+    assert report["semantic_interference"]["hubness_score"] is None and report["semantic_interference"]["top_hubs"] == []
+    assert evaluate.rank_hubs(spark.createDataFrame([(1, 0), (2, 3)], "item_id long, occurrence long")).count() == 1
+
+
 def test_equal_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(12)], "item_id long, embedding array<double>")
     assert evaluate.two_nn(same).first()["intrinsic_dimension"] is None
