@@ -9,7 +9,7 @@ from ..config import DEFAULT, Config
 from ..functions.text import is_refusal, sentences, tokens
 from ..functions.vectors import dot, hashed
 from ..storage import cut
-from .search import block_top_k
+from .search import nearest
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def two_nn(vectors: DataFrame) -> DataFrame:
 
     Null if fewer than three vectors, or two that can be used.
     """
-    near = block_top_k(vectors.select(F.col("item_id").alias("qid"), "embedding"), vectors, 2, skip_self=True)
+    near = nearest(vectors.select(F.col("item_id").alias("qid"), "embedding"), vectors, 2, skip_self=True)
     far = near.withColumn("d", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))))
     both = far.groupBy("qid").agg(F.min("d").alias("r1"), F.max("d").alias("r2"), F.count("*").alias("n")).where((F.col("n") == 2) & (F.col("r1") > 1e-7))
     mean, n = F.avg(F.ln(F.col("r2") / F.col("r1"))), F.count("*")
@@ -188,7 +188,7 @@ def centroid_distances(vectors: DataFrame) -> DataFrame:
 
 def hubs(vectors: DataFrame, k: int = DEFAULT.hub_neighbours) -> DataFrame:
     """``item_id, occurrence``: in how many others' k nearest a vector is."""
-    near = block_top_k(vectors.select(F.col("item_id").alias("qid"), "embedding"), vectors, k, skip_self=True)
+    near = nearest(vectors.select(F.col("item_id").alias("qid"), "embedding"), vectors, k, skip_self=True)
     seen = near.groupBy("item_id").agg(F.count("*").alias("occurrence"))
     return vectors.select("item_id").join(seen, "item_id", "left").select("item_id", F.coalesce("occurrence", F.lit(0)).alias("occurrence"))
 

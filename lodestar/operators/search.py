@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..storage import cut, together
+from ..storage import cut, stored, together
 
 BLOCK = 16_384  # vectors on each side of a block, at most
 LEAST = 1024
@@ -82,6 +86,170 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, block: int | None
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+PIVOTS = 1024  # at most
+CELL = 4096  # items of a cell, and queries that meet it in one task
+RINGS = 64  # bins of a distance of 1
+_EDGE = 1e-6  # for rounding of distances
+
+
+@dataclass(frozen=True)
+class Rings:
+    """What is known of each cell: a ring around a pivot."""
+
+    pivots: np.ndarray
+    pivot: np.ndarray  # of each cell; -1: the zero vectors
+    least: np.ndarray  # distance of an item to the pivot
+    most: np.ndarray
+    size: np.ndarray
+
+    def reach(self, vectors: np.ndarray) -> np.ndarray:
+        """The highest similarity that each vector can have to an item of each cell, by the triangle inequality."""
+        far = np.sqrt(np.maximum(0, 2 - 2 * (vectors @ self.pivots.T))) if len(self.pivots) else np.zeros((len(vectors), 1))
+        d = far[:, np.maximum(self.pivot, 0)]
+        gap = np.maximum(0, np.maximum(d - self.most, self.least - d) - _EDGE)
+        best = np.where(self.pivot < 0, 0.0, 1 - gap * gap / 2)
+        return np.where((vectors * vectors).sum(1)[:, None] > 0.5, best, 1.0)  # a zero vector is equally near to all
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Items by cell: ``id, vector`` (of length one), ``cell``."""
+
+    items: DataFrame
+    rings: Rings
+
+
+def _vectors(part: pa.RecordBatch, column: str) -> np.ndarray:
+    return _unit(np.array(part.column(column).to_pylist(), np.float64).reshape(part.num_rows, -1))
+
+
+def cells(items: DataFrame, cell: int = CELL, most: int = PIVOTS) -> Cells:
+    """Deal ``item_id, embedding`` into cells: each item goes to its nearest pivot, and there to a ring of like distance.
+
+    Pivots are items drawn by hash, up to ``most``.  Rings are merged from bins of distance up
+    to ``cell`` items; a bin with more is dealt by hash.  What the driver sees are the pivots
+    and the counts of the bins, whose number is bounded.
+    """
+    items = items.select(F.col("item_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    n = items.count()
+    drawn = items.where(F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(min(most, int(np.ceil(2 * n**0.5)))).collect()
+    pivots = _unit(np.array([r["vector"] for r in drawn], np.float64)) if drawn else np.zeros((0, 1))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _vectors(batch, "vector")
+            zero = (unit * unit).sum(1) < 0.5
+            far = np.sqrt(np.maximum(0, 2 - 2 * (unit @ pivots.T))) if len(pivots) else np.zeros((len(unit), 1))
+            near = far.argmin(1)
+            d = far[np.arange(len(unit)), near]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), flat, pa.array(np.where(zero, -1, near)), pa.array(np.where(zero, 0.0, d)), pa.array(np.where(zero, 0, (d * RINGS).astype(np.int64)))], ["id", "vector", "pivot", "far", "bin"])
+
+    placed = stored(items.mapInArrow(locate, "id long, vector array<double>, pivot long, far double, bin long"), "located")
+    bins = placed.groupBy("pivot", "bin").agg(F.count("*").alias("n"), F.min("far").alias("least"), F.max("far").alias("most")).orderBy("pivot", "bin").collect()
+    made: list[list] = []  # pivot, least, most, n
+    to: list[tuple[int, int, int, int]] = []  # pivot, bin, first cell, cells
+    for b in bins:
+        parts = -(-b["n"] // cell)
+        if made and parts == 1 and made[-1][0] == b["pivot"] and made[-1][3] + b["n"] <= cell:
+            made[-1][2:] = [b["most"], made[-1][3] + b["n"]]
+            to.append((b["pivot"], b["bin"], len(made) - 1, 1))
+        else:
+            to.append((b["pivot"], b["bin"], len(made), parts))
+            made += [[b["pivot"], b["least"], b["most"], b["n"] // parts] for _ in range(parts)]
+    where = items.sparkSession.createDataFrame(to, "pivot long, bin long, first long, parts long")
+    inside = placed.join(F.broadcast(where), ["pivot", "bin"]).select("id", "vector", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("cell"))
+    columns = np.array(made, np.float64).reshape(len(made), 4)
+    return Cells(inside, Rings(pivots, columns[:, 0].astype(np.int64), columns[:, 1], columns[:, 2], columns[:, 3].astype(np.int64)))
+
+
+def _met(asked: DataFrame, inside: Cells, k: int, skip_self: bool, cell: int) -> DataFrame:
+    """The best ``k`` of each query in each cell it is to meet: ``qid, item_id, similarity`` of ``qid, vector, cell``.
+
+    Many queries of one cell are dealt over several tasks, each of which has the cell.
+    """
+    counts = cut(asked.groupBy("cell").agg(F.ceil(F.count("*") / cell).cast("long").alias("parts")))
+    asks = asked.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
+    held = inside.items.join(F.broadcast(counts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": [], "item_id": [], "similarity": []}).astype({"qid": "int64", "item_id": "int64", "similarity": "float64"})]
+        if len(left) and len(right):
+            right = right.sort_values("id", ignore_index=True)
+            ids, matrix = right["id"].to_numpy(), np.stack(right["vector"].to_numpy())
+            for begin in range(0, len(left), 512):
+                piece = left.iloc[begin : begin + 512]
+                scores = _scores(np.stack(piece["vector"].to_numpy()), matrix, "cosine")
+                if skip_self:
+                    scores[piece["qid"].to_numpy()[:, None] == ids[None]] = -np.inf
+                r, c = _best(scores, k)
+                found = pd.DataFrame({"qid": piece["qid"].to_numpy()[r], "item_id": ids[c], "similarity": scores[r, c]})
+                out.append(found[found["similarity"] > -np.inf])
+        return pd.concat(out, ignore_index=True)
+
+    keys = ["cell", "part"]
+    return asks.select("qid", "vector", *keys).groupBy(*keys).cogroup(held.select("id", "vector", *keys).groupBy(*keys)).applyInPandas(best, "qid long, item_id long, similarity double")
+
+
+@dataclass(frozen=True)
+class Pruned:
+    found: DataFrame  # qid, item_id, similarity, rank
+    pairs: int  # of queries and cells
+    compared: int
+
+
+def pruned_top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = False, cell: int = CELL, inside: Cells | None = None) -> Pruned:
+    """The rows of ``block_top_k`` by cosine, without comparing a query with cells that can't matter.
+
+    Each query first meets the cell that promises most and holds over ``k`` items; its k-th
+    similarity there is a lower bound.  After that it meets only cells to whose items it can
+    be as similar as that, by the distances to the pivots; the bound is safe, so no row is
+    lost.  ``inside`` are the items' ``cells`` if they were made before.
+    """
+    inside = inside or cells(items, cell)
+    rings, sizes = inside.rings, inside.rings.size
+    asked = queries.select("qid", F.col("embedding").cast("array<double>").alias("vector"))
+
+    def promised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                unit = _vectors(batch, "vector")
+                best = np.where(sizes > k, rings.reach(unit), -1.0)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), flat, pa.array(best.argmax(1))], ["qid", "vector", "cell"])
+
+    schema = "qid long, vector array<double>, cell long"
+    first = stored(asked.mapInArrow(promised, schema) if len(sizes) else asked.select("qid", "vector", F.lit(0).cast("long").alias("cell")).where("false"), "asked")
+    near = stored(_met(first, inside, k, skip_self, cell), "near")
+    bound = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("bound"))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                unit = _vectors(batch, "vector")
+                least = np.array([-2.0 if b is None else b for b in batch.column("bound").to_pylist()])
+                open_ = rings.reach(unit) >= least[:, None] - 1e-9
+                open_[np.arange(len(unit)), batch.column("cell").to_numpy()] = False
+                q, c = np.nonzero(open_)
+                yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(q)), batch.column("vector").take(pa.array(q)), pa.array(c)], ["qid", "vector", "cell"])
+
+    rest = stored(first.join(bound, "qid", "left").mapInArrow(left, schema), "asked")
+    both = together(near, _met(rest, inside, k, skip_self, cell))
+    order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
+    found = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    n = first.count()
+    return Pruned(found, n * len(sizes), n + rest.count())
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """The ``k`` best items of every query by cosine: in blocks while one block holds the items, else by cells; the same rows."""
+    if items.count() <= BLOCK:
+        return block_top_k(queries, items, k, skip_self=skip_self)
+    return pruned_top_k(queries, items, k, skip_self=skip_self).found
+
+
 def thresholded(found: DataFrame, mode: str = "intent", least: float = DEFAULT.min_similarity) -> DataFrame:
     """Drop weak hits; ranks stay as they were.
 

@@ -45,6 +45,21 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_top(spark, sf_dir, 10))
 
 
+@query(f"WITH {PAIRS} SELECT qid, item_id, rank, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 10")
+def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by cells around pivots, where most cells need not be compared."""
+    items = _items(spark, sf_dir).select("item_id", "embedding")
+    asked = items.where(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("qid"), "embedding")
+    return _shown(search.pruned_top_k(asked, items, 10).found)
+
+
+@query(f"WITH {NEIGHBOURS} SELECT qid, item_id, rank, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 10")
+def neighbours_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every vector."""
+    items = _items(spark, sf_dir).select("item_id", "embedding")
+    return _shown(search.pruned_top_k(items.withColumnRenamed("item_id", "qid"), items, 10, skip_self=True, cell=256).found)
+
+
 @query(f"WITH {PAIRS} SELECT qid, item_id, rank, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 100 AND similarity >= 0.4")
 def vector_topk_threshold_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.thresholded(_top(spark, sf_dir, DEFAULT.top_k), "intent"))
