@@ -9,6 +9,7 @@ labels are the spans, and the language of a text is the one with most labelled l
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +27,8 @@ ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
 MOST = 8.0  # a word counts for no more than this, in nats, against a language
 KEPT = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())  # such as ½ and Ⅻ: word characters, but no letters
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 # First code point of each script block, and the script's name.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -158,10 +160,12 @@ class Labeller:
         cuts = np.flatnonzero(np.diff(own)) + 1
         if not len(cuts):
             first = WORD.search(text)
-            return [(first.start(), len(text) - len(re.match(r"[\W\d_]*", text[::-1]).group()), self.model.langs[own[0]])] if first else []
-        at = [m.span() for m in WORD.finditer(text if len(text) == len(low) else low)]
-        if len(at) != len(own):  # lower-casing changed the words
-            at = [m.span() for m in WORD.finditer(low)]
+            return [(first.start(), len(text) - WORD.search(text[::-1]).start(), self.model.langs[own[0]])] if first else []
+        at = [m.span() for m in WORD.finditer(low)]
+        if len(text) != len(low):  # a letter may be lowered to several code points
+            ends = np.cumsum([len(c.lower()) for c in text])
+            place = lambda i: int(np.searchsorted(ends, i, "right"))
+            at = [(place(i), place(j - 1) + 1) for i, j in at]
         starts = [0, *cuts.tolist()]
         return [(at[i][0], at[j - 1][1], self.model.langs[own[i]]) for i, j in zip(starts, [*starts[1:], len(own)], strict=True)]
 

@@ -49,7 +49,7 @@ CONTEXT = {
     "ip": (0.6, 0.3, r"\bip\b|address|server|host|client|adresse", "version|release|section"),
     "card": (0.7, 0.3, "card|visa|credit|payment|karte|carte|tarjeta", "isbn|order|invoice|tracking"),
     "phone": (0.6, 0.3, "phone|tel|call|mobile|fax|telefon", "isbn|order|invoice"),
-    "iban": (0.8, 0.2, "iban|account|bank|konto|compte|cuenta", "serial|order"),
+    "iban": (0.6, 0.3, "iban|account|bank|konto|compte|cuenta", "serial|order"),
 }
 NEAR = 40
 LEAST = 0.5  # an added span needs this score
