@@ -122,7 +122,8 @@ def pack(cut_docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame
     """Add ``sequence_id, offset, sequence_tokens, padded_tokens`` to rows with ``doc_id, start, length``.
 
     ``group`` is the mean number of pieces in a group.  A sequence is padded to ``size``
-    unless its tokens are a power of two.
+    unless its tokens are a power of two.  The rows must be cut or stored: their places there
+    take part in the draw.
     """
     groups = max(1, -(-cut_docs.count() // group))
     fields = [f.name for f in cut_docs.schema]
@@ -135,7 +136,8 @@ def pack(cut_docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame
         padded = np.where(total & (total - 1) == 0, total, size)
         return part[fields].assign(sequence_id=(part["_group"].to_numpy(np.int64) << 32) + bins, offset=offsets, sequence_tokens=total, padded_tokens=padded)
 
-    drawn = F.xxhash64("doc_id", F.floor(F.col("start") / (size * 1024)))  # a huge document is dealt over many groups
+    # A huge document is dealt over many groups, and so are the pieces of many documents with one id or none.
+    drawn = F.xxhash64("doc_id", F.floor(F.col("start") / (size * 1024)), F.floor(F.monotonically_increasing_id() / 1024))
     dealt = cut_docs.withColumn("_group", F.pmod(drawn, F.lit(groups))).withColumn("_order", F.xxhash64("doc_id", "start"))
     return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long, sequence_tokens long, padded_tokens long")
 
