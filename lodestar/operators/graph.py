@@ -11,6 +11,7 @@ from ..storage import BROADCAST_ROWS, cut, in_turn, looked_up, mapped, small, st
 
 
 PIECE = 4096  # edges of a node that go to one task
+WORD = 64  # sources whose searches share a number
 
 
 def extract(chunks: DataFrame) -> DataFrame:
@@ -341,7 +342,11 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def path_metrics(edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row for the largest component: mean shortest path and diameter, -1 above the node limit.
 
-    The limit is the metric's own rule; distances grow by one edge a round from all nodes.
+    The limit is the metric's own rule.  All nodes search at once, ``WORD`` of them in the bits
+    of one number: a row says which sources of a word have reached a node, the numbers of its
+    neighbours are joined by OR, and what is new is counted.  So a round has a row for each
+    node and word, and only the counts of pairs by distance are kept, not the pairs.  A single
+    node has paths of 0; a graph without edges has -1.
     """
     labels = cut(components(edges))
     sizes = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
@@ -350,17 +355,33 @@ def path_metrics(edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
     if top is None or top["n"] > config.path_nodes or top["n"] == 1:
         value = 0.0 if top is not None and top["n"] == 1 else -1.0
         return spark.range(1).select(F.lit(value).alias("avg_path"), F.lit(int(value)).cast("long").alias("diameter"), F.lit(top["n"] if top else 0).cast("long").alias("n_nodes"))
-    inside = labels.where(F.col("component") == top["component"]).select(F.col("node").alias("src"))
-    both = cut(both_ways(edges).join(inside, "src", "left_semi"))
-    seen, front, d = cut(inside.select("src", F.col("src").alias("node"), F.lit(0).alias("d"))), inside.select("src", F.col("src").alias("node")), 0
+    inside = labels.where(F.col("component") == top["component"]).select(F.col("node").alias("entity"))
+    numbers = cut(numbered(inside).select(F.col("entity_id").cast("int").alias("to"), F.col("entity").alias("node")))
+    both = both_ways(edges).where("src <> dst").join(inside.withColumnRenamed("entity", "src"), "src", "left_semi")
+    near = stored(mapped_ends(both, numbers), "near")
+    keep = in_turn("paths")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("to") % WORD).cast("int"))
+    state = keep(numbers.select(F.col("to").alias("node"), F.floor(F.col("to") / WORD).cast("int").alias("word"), bit.alias("seen"), bit.alias("new")))
+    pairs, steps, d = 0, 0, 0
     while True:
-        d += 1
-        step = front.join(both.withColumnRenamed("src", "node"), "node").select("src", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["src", "node"], "left_anti"))
-        if front.isEmpty():
+        front = state.where("new <> 0").select(F.col("node").alias("a"), "word", "new")
+        step = front.join(near, "a").groupBy(F.col("b").alias("node"), "word").agg(F.bit_or("new").alias("bits"))
+        met = step.join(state.select("node", "word", "seen"), ["node", "word"], "full")
+        seen, bits = F.coalesce("seen", F.lit(0).cast("long")), F.coalesce("bits", F.lit(0).cast("long"))
+        state = keep(met.select("node", "word", seen.bitwiseOR(bits).alias("seen"), bits.bitwiseAND(F.bitwise_not(seen)).alias("new")))
+        n = state.agg(F.sum(F.bit_count("new"))).first()[0]
+        if not n:
             break
-        seen = cut(together(seen, front.withColumn("d", F.lit(d))))
-    return seen.where("d > 0").agg(F.round(F.avg("d"), 4).alias("avg_path"), F.max("d").cast("long").alias("diameter"), F.lit(top["n"]).cast("long").alias("n_nodes"))
+        d += 1
+        pairs, steps = pairs + n, steps + d * n
+    mean = F.round(F.lit(float(steps)) / F.lit(float(pairs)), 4)
+    return spark.range(1).select(mean.alias("avg_path"), F.lit(d).cast("long").alias("diameter"), F.lit(top["n"]).cast("long").alias("n_nodes"))
+
+
+def mapped_ends(both: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``a, b``: the numbers of ``src`` and ``dst``, by ``numbers`` (``node, to``), each pair once."""
+    ends = looked_up(cut(both.select("src", "dst").distinct()), "src", numbers).withColumnRenamed("to", "a")
+    return looked_up(cut(ends), "dst", numbers).select("a", F.col("to").alias("b"))
 
 
 def top_relations(triplets: DataFrame, n: int = 5) -> DataFrame:

@@ -153,6 +153,27 @@ def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.path_metrics(cut(_edges(small_triplets(spark, sf_dir))))
 
 
+def _levels(most: int) -> str:
+    """CTEs ``f0`` to ``f{most}``: the pairs (word of 60 sources, node) that are met at each distance, as bits."""
+    steps = ["f0 AS MATERIALIZED (SELECT id AS node, id // 60 AS word, 1::BIGINT << (id % 60)::INTEGER AS bits FROM numbers)", "s0 AS (SELECT * FROM f0)"]
+    for n in range(1, most + 1):
+        steps.append(f"""f{n} AS MATERIALIZED (SELECT x.node, x.word, x.bits & ~coalesce(s.bits, 0) AS bits FROM (SELECT near.b AS node, word, bit_or(bits) AS bits FROM f{n - 1} JOIN near ON near.a = node GROUP BY ALL) x LEFT JOIN s{n - 1} s USING (node, word)),
+s{n} AS MATERIALIZED (SELECT node, word, bit_or(bits) AS bits FROM (SELECT * FROM s{n - 1} UNION ALL SELECT * FROM f{n}) GROUP BY ALL)""")
+    return ", ".join(steps)
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES}, {BOTH}, reach(node) AS (SELECT 'n1' UNION SELECT dst FROM reach JOIN sym ON src = node),
+size AS (SELECT count(*) AS n FROM reach), numbers AS MATERIALIZED (SELECT node AS name, row_number() OVER (ORDER BY node) - 1 AS id FROM reach WHERE (SELECT n FROM size) <= 5000),
+near AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM sym JOIN numbers x ON x.name = src JOIN numbers y ON y.name = dst), {_levels(12)},
+met AS ({" UNION ALL ".join(f"SELECT {n} AS d, sum(bit_count(bits)) AS n FROM f{n}" for n in range(1, 13))})
+SELECT coalesce(round(sum(d * n)::DOUBLE / sum(n), 4), -1) AS avg_path, coalesce(max(d) FILTER (n > 0), -1)::BIGINT AS diameter, (SELECT n FROM size) AS n_nodes FROM met"""
+)
+def graph_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in the whole graph, which shared parts connect; -1 once it has over 5000 nodes."""
+    return graph.path_metrics(cut(_edges(triplets(spark, sf_dir))))
+
+
 @query(f"WITH {TRIPLETS} SELECT relation, count(*) AS n FROM triplets GROUP BY relation ORDER BY n DESC, relation LIMIT 5")
 def relation_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_relations(triplets(spark, sf_dir))
