@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,11 @@ from ..config import DEFAULT
 from .text import tokens
 
 
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+#: Takes a batch of texts and gives, for each, an array with a row for each of its tokens.
+TokenEmbedder = Callable[[list[str]], list[np.ndarray]]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -73,3 +82,23 @@ def trigrams(name: Column) -> Column:
 def embedded_names(df: DataFrame, key: str, name: str, size: int = DEFAULT.embedding_size) -> DataFrame:
     """``key, embedding`` for names: hashed trigrams, so that names spelt alike are near each other."""
     return embedded(df.select(key, trigrams(F.col(name)).alias("_name")), key, "_name", size)
+
+
+def letters(texts: list[str]) -> list[np.ndarray]:
+    """A stand-in for a token embedder: how often each of the letters a to z is in a token."""
+    out = []
+    for text in texts:
+        words = WORD.findall(text.lower())
+        rows = np.zeros((len(words), 26))
+        for row, word in zip(rows, words, strict=True):
+            at = np.frombuffer(word.encode("ascii", "replace"), np.uint8).astype(np.int64) - ord("a")
+            np.add.at(row, at[(at >= 0) & (at < 26)], 1.0)
+        out.append(rows)
+    return out
+
+
+def one_hot(texts: list[str]) -> list[np.ndarray]:
+    """Equal tokens have similarity 1, others 0."""
+    words = [WORD.findall(text.lower()) for text in texts]
+    number = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+    return [np.eye(len(number))[[number[w] for w in ws]].reshape(len(ws), len(number)) for ws in words]

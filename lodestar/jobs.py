@@ -47,10 +47,10 @@ def build_index(spark: SparkSession, out: str) -> None:
     writers.write_index(spark.read.parquet(f"{out}/embeddings"), f"{out}/index")
 
 
-def extract(spark: SparkSession, out: str, resume: bool = True, extractor=graph.extract) -> None:  # noqa: ANN001
+def extract(spark: SparkSession, out: str, resume: bool = True, providers: Providers = RULES) -> None:
     """Statements of the chunks whose document has none yet, appended; chunks that failed are tried again.
 
-    ``extractor`` takes chunks and gives statements; if it adds a ``status``, the rows that
+    The extractor takes chunks and gives statements; if it adds a ``status``, the rows that
     failed go to ``out/failed`` and are taken up by the next run.
     """
     rows, path, failed = spark.read.parquet(f"{out}/chunks"), f"{out}/statements", f"{out}/failed"
@@ -61,11 +61,11 @@ def extract(spark: SparkSession, out: str, resume: bool = True, extractor=graph.
             again = rows.join(readers.read_failed(spark, failed).select("doc_id", "chunk_idx"), ["doc_id", "chunk_idx"], "left_semi")
             todo = todo.unionByName(again).distinct()
     todo = cut(todo)
-    made = cut(extractor(todo))
+    made = cut(providers.extract_triplets(todo))
     if "status" in made.columns:
-        bad = made.where("status = 'failed'").select("doc_id", "chunk_idx", F.col("source_text").alias("chunk_text"), F.lit("unparsed").alias("error"), "status")
+        bad = made.where("status = 'failed'").select("doc_id", "chunk_idx", F.col("source_text").alias("chunk_text"), (F.col("error") if "error" in made.columns else F.lit("unparsed")).alias("error"), "status")
         writers.write_failed(bad, failed)
-        made = made.where("status <> 'failed'").drop("status")
+        made = made.where("status <> 'failed'").drop("status", "error")
     writers.write_triplets(graph.valid(made), path, "append" if resume else "overwrite")
     todo.select("doc_id").distinct().write.mode("append" if resume else "overwrite").parquet(f"{out}/extracted")
 
@@ -75,12 +75,12 @@ def build_graph(spark: SparkSession, out: str, providers: Providers = RULES) ->
     writers.write_graph(world.names, world.edges, world.triplets, world.vectors, f"{out}/graph")
 
 
-def process(spark: SparkSession, corpus: str, out: str, resume: bool = True) -> None:
+def process(spark: SparkSession, corpus: str, out: str, resume: bool = True, providers: Providers = RULES) -> None:
     chunk(spark, corpus, out)
-    embed(spark, out, resume)
+    embed(spark, out, resume, providers)
     build_index(spark, out)
-    extract(spark, out, resume)
-    build_graph(spark, out)
+    extract(spark, out, resume, providers)
+    build_graph(spark, out, providers)
 
 
 def world_of(spark: SparkSession, out: str) -> strategies.Graph:
@@ -141,7 +141,7 @@ def retry(spark: SparkSession, method: str, out: str, questions: str) -> None:
     writers.replace_rows(rows.withColumn("rag_answer", F.when(F.col("llm_answer").isNull(), F.col("rag_answer"))), path)
 
 
-def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, labels_only: bool = False) -> None:
+def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, labels_only: bool = False, providers: Providers | None = None) -> None:
     """Scores of a method's answers against what it retrieved, for those without scores; appended."""
     asked = readers.read_questions(spark, questions).select("qid", F.col("answer").alias("reference"))
     given = readers.read_answers(spark, f"{out}/answers/{method}").select("qid", F.col("answer").alias("prediction"))
@@ -149,7 +149,7 @@ def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str,
     retrieved = readers.read_retrievals(spark, kept) if method != "llm_direct" and readers.exists(spark, kept) else None
     done = readers.read_evaluations(spark, path).select(F.col("id").alias("qid")) if resume and readers.exists(spark, path) else None
     pairs = cut(evaluate.to_evaluate(asked, given, retrieved, done))
-    made = evaluate.judged(pairs) if labels_only else evaluate.all_metrics(pairs)
+    made = evaluate.judged(pairs) if labels_only else evaluate.all_metrics(pairs, providers=providers)
     made = made.withColumnRenamed("qid", "id").withColumn("llm_reason", F.lit(""))
     writers.put_rows(made, path, "append" if resume else "overwrite")
 
@@ -172,12 +172,12 @@ def evaluate_structure(spark: SparkSession, out: str) -> None:
     writers.write_metrics(evaluate.structure_report(parts["vertices"].select(F.col("entity_id").alias("node")), parts["edges"]), f"{out}/structure")
 
 
-def generate_questions(spark: SparkSession, out: str, n_single: int, n_multi: int, n_summary: int, append: bool = False) -> None:
+def generate_questions(spark: SparkSession, out: str, n_single: int, n_multi: int, n_summary: int, append: bool = False, providers: Providers = RULES) -> None:
     """Step 1: raw questions; appended ones go on in the numbers of those there."""
     rows, path = spark.read.parquet(f"{out}/chunks"), f"{out}/questions"
     held = cut(index.entity_chunks(spark.read.schema(schemas.TRIPLETS).parquet(f"{out}/statements")))
     first = {r["type"]: r["next"] for r in merge.next_number(spark.read.parquet(path)).collect()} if append and readers.exists(spark, path) else {}  # a row a type
-    made = generate.generated(generate.samples(held, rows, n_single, n_summary), rows, n_single, n_multi, n_summary, first)
+    made = generate.generated(generate.samples(held, rows, n_single, n_summary), rows, n_single, n_multi, n_summary, first, providers=providers)
     made.write.mode("append" if append else "overwrite").parquet(path)
 
 

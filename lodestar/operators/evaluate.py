@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import parsing, prompts
+from ..functions.calls import Limits, Model, called, is_object
 from ..functions.text import is_refusal, sentences, tokens
 from ..functions.vectors import dot, hashed
+from ..providers import RULES, Providers
 from ..storage import cut
 from .search import nearest
 
@@ -26,6 +33,73 @@ def token_f1(pairs: DataFrame) -> DataFrame:
     return made.select("qid", "precision", "recall", f1.alias("semantic_f1"))
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1.0)
+
+
+def greedy_match(made: np.ndarray, given: np.ndarray, block: int = 1024) -> tuple[float, float]:
+    """Precision and recall of token vectors: the mean of each one's best cosine on the other side.
+
+    ``block`` rows are compared at a time, so memory grows with the texts' length and not with
+    the product of two.  A zero vector has cosine 0 with all; a side without tokens gives 0 and 0.
+    """
+    if not len(made) or not len(given):
+        return 0.0, 0.0
+    made, given = _unit(made), _unit(given)
+    rows, columns = np.empty(len(made)), np.full(len(given), -np.inf)
+    for at in range(0, len(made), block):
+        best = np.full(min(block, len(made) - at), -np.inf)
+        for to in range(0, len(given), block):
+            cosine = made[at : at + block] @ given[to : to + block].T
+            best = np.maximum(best, cosine.max(axis=1))
+            columns[to : to + block] = np.maximum(columns[to : to + block], cosine.max(axis=0))
+        rows[at : at + block] = best
+    return float(rows.mean()), float(columns.mean())
+
+
+def semantic_f1(pairs: DataFrame, providers: Providers = RULES, batch: int = 32) -> DataFrame:
+    """``qid, precision, recall, semantic_f1``: tokens of ``prediction`` and ``reference`` matched by their vectors.
+
+    Each token meets the one of the other text whose vector has the largest cosine; precision
+    is the mean over the prediction, recall over the reference.  The provider's token embedder
+    gets ``batch`` pairs of texts at a time.  A refusal, a text without tokens and a sum that
+    is not positive score 0.  With vectors that are one for equal tokens and orthogonal for
+    others this is ``token_f1``.
+    """
+    embed = providers.embed_tokens
+    refused = is_refusal(F.col("prediction"))
+    rows = pairs.select("qid", F.coalesce("prediction", F.lit("")).alias("prediction"), F.coalesce("reference", F.lit("")).alias("reference"), refused.alias("refused"))
+    kind = rows.schema["qid"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            scores = []
+            for at in range(0, len(part), batch):
+                few = part.iloc[at : at + batch]
+                vectors = embed([*few["prediction"], *few["reference"]])
+                scores += [greedy_match(vectors[i], vectors[len(few) + i]) for i in range(len(few))]
+            p, r = (np.array([s[i] for s in scores], float) for i in (0, 1))
+            total = p + r
+            f1 = np.where(part["refused"].to_numpy(bool) | (total <= 0), 0.0, 2 * p * r / np.where(total > 0, total, 1.0))
+            yield pd.DataFrame({"qid": part["qid"], "precision": p, "recall": r, "semantic_f1": f1})
+
+    return rows.mapInPandas(run, f"qid {kind}, precision double, recall double, semantic_f1 double")
+
+
+def model_judged(pairs: DataFrame, model: Model, limits: Limits = Limits()) -> DataFrame:
+    """``qid, llm_label, status, attempts`` by a model that is asked for each pair with its ``question``.
+
+    A refusal or blank prediction is incomplete without a call.  A reply that is no JSON
+    object is tried again; after the last attempt the label is incomplete and the status failed.
+    """
+    answered = ~is_refusal(F.col("prediction")) & (F.trim("prediction") != "")
+    asked = pairs.where(answered).select("qid", F.to_json(prompts.label(F.col("question"), F.col("reference"), F.col("prediction"))).alias("prompt"))
+    made = called(asked, "prompt", model, limits, is_object).select("qid", parsing.judge_label(F.col("reply")).alias("llm_label"), "status", "attempts")
+    rest = pairs.where(~F.coalesce(answered, F.lit(False))).select("qid", F.lit("incomplete").alias("llm_label"), F.lit("done").alias("status"), F.lit(0).alias("attempts"))
+    return made.unionByName(rest)
+
+
 def _by_sentence(pairs: DataFrame, answer: str, against: str) -> DataFrame:
     """Each sentence of the answer with its best similarity to the texts it is held against."""
     rows = pairs.select("qid", F.transform(F.col(against), lambda x: hashed(x)).alias("against"), F.posexplode(sentences(F.col(answer))).alias("pos", "sentence"))
@@ -64,9 +138,12 @@ def judged(pairs: DataFrame) -> DataFrame:
     return pairs.select("qid", label.alias("llm_label"))
 
 
-def all_metrics(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """One row for each question with every score; ``pairs`` has ``qid, reference, prediction, retrieved``."""
-    out = token_f1(pairs).select("qid", "semantic_f1")
+def all_metrics(pairs: DataFrame, config: Config = DEFAULT, providers: Providers | None = None) -> DataFrame:
+    """One row for each question with every score; ``pairs`` has ``qid, reference, prediction, retrieved``.
+
+    With providers tokens are matched by their vectors, else equal ones match.
+    """
+    out = (semantic_f1(pairs, providers) if providers else token_f1(pairs)).select("qid", "semantic_f1")
     for part in (coverage(pairs), faithfulness(pairs, config), judged(pairs)):
         out = out.join(part, "qid")
     return out

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import prompts
+from ..functions.calls import Limits, Model, called, is_object
 from ..functions.parsing import json_of
-from ..functions.text import capitalised, is_validator_refusal, join_texts, query_id, sentences
+from ..functions.text import is_validator_refusal, join_texts, query_id, sentences
 from ..providers import RULES, Providers
 from ..storage import cut, together
 from . import index, validate
@@ -34,12 +36,23 @@ def numbered(rows: DataFrame, kind: str, order: list[str], first: int = 1) -> Da
     return rows.withColumn("id", query_id(F.lit(kind), number)).withColumn("type", F.lit(kind))
 
 
-def single_hop(samples: DataFrame) -> DataFrame:
-    """``doc_id, chunk_idx, question, answer, text``: about the first name of a chunk; the first sentence with it answers."""
-    name = F.get(capitalised(F.col("text")), F.lit(0))
-    rows = samples.withColumn("name", name).where("name is not null")
-    found = F.get(F.filter(sentences(F.col("text")), lambda s: F.contains(s, F.col("name"))), F.lit(0))
-    return rows.select("doc_id", "chunk_idx", F.concat(F.lit("What is said about "), "name", F.lit("?")).alias("question"), found.alias("answer"), "text")
+def single_hop(samples: DataFrame, providers: Providers = RULES) -> DataFrame:
+    """``doc_id, chunk_idx, question, answer, text`` of what the provider asks about chunks."""
+    return providers.ask(samples)
+
+
+def asker(model: Model, limits: Limits = Limits()) -> Callable[[DataFrame], DataFrame]:
+    """The provider ``ask`` by a model: a question for each chunk; failed, discarded and blank ones are dropped.
+
+    A reply that is no JSON object is tried again.
+    """
+
+    def run(samples: DataFrame) -> DataFrame:
+        rows = samples.select("doc_id", "chunk_idx", "text", F.to_json(prompts.single_hop(F.col("text"))).alias("prompt"))
+        replies = cut(called(rows, "prompt", model, limits, is_object).where("status = 'done'"))
+        return parsed(replies.select("doc_id", "chunk_idx", "text", "reply"), "reply").select("doc_id", "chunk_idx", "question", "answer", "text")
+
+    return run
 
 
 def multi_hop(chains: DataFrame, n_docs: int) -> DataFrame:
@@ -106,7 +119,7 @@ def samples(held: DataFrame, chunks: DataFrame, n_single: int, n_summary: int, c
 QUERY = ["id", "type", "question", "answer", "doc_ids", "facts", "bridges", "entity", "num_hops"]
 
 
-def generated(drawn: Samples, chunks: DataFrame, n_single: int, n_multi: int, n_summary: int, first: dict[str, int] | None = None, multiplier: int = 5) -> DataFrame:
+def generated(drawn: Samples, chunks: DataFrame, n_single: int, n_multi: int, n_summary: int, first: dict[str, int] | None = None, multiplier: int = 5, providers: Providers = RULES) -> DataFrame:
     """Questions of all types with ids that go on from ``first``: ``QUERY`` columns.
 
     Half of the multi-hop questions have two documents, the rest three; each kind tries up to
@@ -117,7 +130,7 @@ def generated(drawn: Samples, chunks: DataFrame, n_single: int, n_multi: int, n_
     whole = texts.groupBy("doc_id").agg(F.max_by("text", -F.col("chunk_idx")).alias("text"))
     none = F.lit(None)
     fill = lambda rows: rows.select("id", "type", "question", "answer", *(c if c in rows.columns else none.cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("facts", "array<string>"), ("bridges", "array<string>"), ("entity", "string"), ("num_hops", "int"))))
-    single = single_hop(drawn.single_hop.select("doc_id", "chunk_idx").join(texts, ["doc_id", "chunk_idx"])).limit(n_single)
+    single = single_hop(drawn.single_hop.select("doc_id", "chunk_idx").join(texts, ["doc_id", "chunk_idx"]), providers).limit(n_single)
     single = single.withColumns({"doc_ids": F.array("doc_id"), "facts": F.array("text")})
     out = fill(numbered(single, "single_hop", ["doc_id", "chunk_idx"], first.get("single_hop", 0)))
     for n_docs, n in zip((2, 3), split(n_multi), strict=True):

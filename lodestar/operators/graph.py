@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import parsing, prompts
+from ..functions.calls import Limits, Model, called, is_list_of_lists
 from ..functions.text import capitalised, valid_name
 from ..storage import BROADCAST_ROWS, cut, in_turn, looked_up, mapped, small, stored, together
 
@@ -34,6 +38,24 @@ def attempted(replies: DataFrame) -> DataFrame:
     return replies.withColumn("triplets", parsed(F.col("content"))).withColumn("status", F.when(good, F.lit("done")).otherwise(F.lit("failed")))
 
 
+def extractor(model: Model, limits: Limits = Limits()) -> Callable[[DataFrame], DataFrame]:
+    """A function from chunks to triplets, as ``extract`` is one, that asks ``model`` for each chunk.
+
+    A reply that is no JSON list of lists is tried again.  A chunk whose last attempt failed
+    gives one row with the status ``failed``, its error and no names; one without a triplet
+    gives none.
+    """
+
+    def run(chunks: DataFrame) -> DataFrame:
+        asked = chunks.select("doc_id", "chunk_idx", F.col("text").alias("source_text"), F.to_json(prompts.triplets(F.col("text"))).alias("prompt"))
+        replies = cut(called(asked, "prompt", model, limits, is_list_of_lists))
+        made = replies.select("doc_id", "chunk_idx", "source_text", "status", "error", F.posexplode_outer(parsing.triplets(F.col("reply"))).alias("pos", "t"))
+        name = lambda i, c: F.get("t", F.lit(i)).alias(c)
+        return made.where("t is not null or status = 'failed'").select(name(0, "subject"), name(1, "relation"), name(2, "object"), "doc_id", "chunk_idx", "source_text", "pos", "status", "error")
+
+    return run
+
+
 def retried(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The first attempt's rows, those that failed replaced by the second attempt's."""
     again = second.join(first.where("status = 'failed'").select(key), key, "left_semi")

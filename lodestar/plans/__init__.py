@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import answers, checks, graphs, samples, texts, vectors  # noqa: F401  they register themselves
+    from . import answers, checks, graphs, models, samples, texts, vectors  # noqa: F401  they register themselves
 
     return QUERIES, SQL

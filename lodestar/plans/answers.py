@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import chunks as chunked
+from ..functions.vectors import one_hot
 from ..operators import evaluate, merge, strategies
 from ..operators.graph import extract
 from ..providers import RULES
@@ -64,6 +67,26 @@ def semantic_f1_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate.token_f1(predicted(spark, sf_dir)), "precision", "recall", "semantic_f1")
 
 
+@query(f"WITH {F1} SELECT qid, round(precision, 6) AS precision, round(recall, 6) AS recall, round(semantic_f1, 6) AS semantic_f1 FROM f1")
+def semantic_f1_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens matched by vectors that are equal for equal tokens and orthogonal for others."""
+    return _round(evaluate.semantic_f1(predicted(spark, sf_dir), replace(RULES, embed_tokens=one_hot)), "precision", "recall", "semantic_f1")
+
+
+@query(
+    f"""WITH {PREDICTED}, t AS (SELECT qid, prediction, {TOK.format('prediction')} AS p, {TOK.format('reference')} AS r FROM predicted),
+pt AS (SELECT qid, w, count(*) AS n FROM (SELECT qid, unnest(p) AS w FROM t) GROUP BY ALL), rt AS (SELECT qid, w, count(*) AS n FROM (SELECT qid, unnest(r) AS w FROM t) GROUP BY ALL),
+v AS MATERIALIZED (SELECT w, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(w) - length(replace(w, c, '')))::DOUBLE) AS v FROM (SELECT w FROM pt UNION SELECT w FROM rt)),
+near AS MATERIALIZED (SELECT pt.qid, pt.w AS pw, pt.n AS pn, rt.w AS rw, rt.n AS rn, CASE WHEN list_sum(a.v) > 0 AND list_sum(b.v) > 0 THEN list_cosine_similarity(a.v, b.v) ELSE 0 END AS c FROM pt JOIN rt USING (qid) JOIN v a ON a.w = pt.w JOIN v b ON b.w = rt.w),
+precise AS (SELECT qid, sum(pn * c) / sum(pn) AS precision FROM (SELECT qid, pw, pn, max(c) AS c FROM near GROUP BY ALL) GROUP BY qid), recalled AS (SELECT qid, sum(rn * c) / sum(rn) AS recall FROM (SELECT qid, rw, rn, max(c) AS c FROM near GROUP BY ALL) GROUP BY qid),
+s AS (SELECT qid, prediction, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall FROM t LEFT JOIN precise USING (qid) LEFT JOIN recalled USING (qid))
+SELECT qid, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN lower(prediction) LIKE '%cannot answer%' OR precision + recall <= 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS semantic_f1 FROM s"""
+)
+def semantic_f1_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens matched by the letters that they are made of."""
+    return _round(evaluate.semantic_f1(predicted(spark, sf_dir)), "precision", "recall", "semantic_f1")
+
+
 SENTENCES = f"""answered AS (SELECT * FROM predicted WHERE lower(prediction) NOT LIKE '%cannot answer%'),
 asent AS (SELECT qid, unnest(s) AS text, generate_subscripts(s, 1) AS pos FROM (SELECT qid, {SENT.format('prediction')} AS s FROM answered)),
 akey AS (SELECT qid || ':' || pos AS key, qid, pos, text FROM asent), {_vectors('av', 'akey')}"""

@@ -1,7 +1,10 @@
-"""Stand-ins for language models: deterministic rules as Column functions.
+"""Stand-ins for language models: deterministic rules.
 
-All but the embedder take and give columns, so a real model can take the place of one as a
-pandas UDF of the same shape; the embedder takes a table, a key and a text column.  Scores made with the stand-ins can't be compared with those of real models.
+Most take and give columns, so a real model can take the place of one as a pandas UDF of the
+same shape.  The embedders take a table, a key and a text column; the extractor takes chunks
+and gives triplets, and the one who asks takes chunks and gives questions: models that are
+called with bounds and retries take their places by ``graph.extractor`` and
+``generate.asker``.  Scores made with the stand-ins can't be compared with those of real models.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT
 from .functions.text import capitalised, is_refusal, sentences, tokens
-from .functions.vectors import embedded, embedded_names
+from .functions.vectors import TokenEmbedder, embedded, embedded_names, letters
+from .operators.graph import extract
 
 
 def overlap(sentence: Column, question: Column) -> Column:
@@ -44,6 +48,14 @@ def rule_type(question: Column) -> Column:
     return F.when(n < 12, F.lit("distributed")).when(n < 30, F.lit("full_context")).otherwise(F.lit("query_focused"))
 
 
+def about_names(samples: DataFrame) -> DataFrame:
+    """``doc_id, chunk_idx, question, answer, text``: about the first name of a chunk; the first sentence with it answers."""
+    name = F.get(capitalised(F.col("text")), F.lit(0))
+    rows = samples.withColumn("name", name).where("name is not null")
+    found = F.get(F.filter(sentences(F.col("text")), lambda s: F.contains(s, F.col("name"))), F.lit(0))
+    return rows.select("doc_id", "chunk_idx", F.concat(F.lit("What is said about "), "name", F.lit("?")).alias("question"), found.alias("answer"), "text")
+
+
 @dataclass(frozen=True)
 class Providers:
     embed: Callable[[DataFrame, str, str], DataFrame] = embedded
@@ -53,6 +65,9 @@ class Providers:
     answer_directly: Callable[[Column], Column] = from_memory
     judge: Callable[[Column, Column], Column] = rule_judge
     classify: Callable[[Column], Column] = rule_type
+    extract_triplets: Callable[[DataFrame], DataFrame] = extract
+    ask: Callable[[DataFrame], DataFrame] = about_names
+    embed_tokens: TokenEmbedder = letters
 
 
 RULES = Providers()
