@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, prompts
 from ..functions import text as T
-from ..operators import search
+from ..operators import ends, search
 from ..storage import table
 from . import query
 
@@ -219,3 +219,37 @@ def extraction_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     mended = F.when(F.col("event_id") % 2 == 1, F.concat(F.regexp_replace("content", "```(json)?", ""), F.lit("]"))).otherwise(F.col("content"))
     made = graph.retried(graph.attempted(replies), graph.attempted(replies.withColumn("content", mended)), "event_id")
     return made.select("event_id", "status", F.size("triplets").alias("n_triplets"))
+
+
+#: The words of all documents, and what the corpus tells of them.
+LEARNED = r"""tok AS (SELECT doc_id, t, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS t FROM documents)),
+core AS (SELECT CASE WHEN length(w) <= 64 THEN regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}.]+$', '') END AS core, i > 1 AND right(t[i - 1], 1) NOT IN ('.', '!', '?', ':') AS inside FROM tok),
+counts AS (SELECT lower(rtrim(core, '.')) AS word, count(*) FILTER (core LIKE '%.') AS n_ended, count(*) FILTER (core NOT LIKE '%.') AS n_open,
+count(*) FILTER (regexp_matches(core, '^\p{Ll}')) AS n_small, count(*) FILTER (inside AND regexp_matches(core, '^\p{Lu}')) AS n_large FROM core WHERE regexp_matches(core, '\p{L}') GROUP BY 1),
+p AS (SELECT sum(n_ended)::DOUBLE / sum(n_ended + n_open) AS p FROM counts),
+parts AS (SELECT *, length(replace(word, '.', ''))::DOUBLE AS size, -2 * (n_ended * ln(p) + n_open * ln(1 - p) - n_ended * ln(0.99) - n_open * ln(0.01)) AS ratio FROM counts, p),
+short AS (SELECT word, n_ended, n_open, ratio * exp(-size) * (length(word) - size + 1) * pow(size, -n_open::DOUBLE) AS score FROM parts)"""
+
+
+@query(f"WITH {LEARNED} SELECT word, n_ended, n_open, score FROM short WHERE score >= 0.3")
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that come with a full stop much more often than chance tells."""
+    return ends.learn(_docs(spark, sf_dir)).abbreviations
+
+
+@query(
+    rf"""WITH {LEARNED},
+pieces AS (SELECT doc_id, p, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL)),
+words AS (SELECT doc_id, i, piece, list_filter(string_split_regex(trim(piece), '\s+'), lambda x: x <> '')[-1] AS a, list_filter(string_split_regex(trim(p[i + 1]), '\s+'), lambda x: x <> '')[1] AS b FROM pieces),
+bare AS (SELECT doc_id, i, piece, a, CASE WHEN length(a) <= 64 THEN regexp_replace(regexp_replace(a, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '') END AS ca, CASE WHEN length(b) <= 64 THEN regexp_replace(regexp_replace(b, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '') END AS cb FROM words),
+marked AS (SELECT doc_id, i, piece, a LIKE '%.' AND coalesce(lower(rtrim(ca, '.')) IN (SELECT word FROM short WHERE score >= 0.3), false)
+AND NOT (coalesce(regexp_matches(cb, '^\p{{Lu}}'), false) AND coalesce(lower(rtrim(cb, '.')) IN (SELECT word FROM counts WHERE n_small > n_large), false)) AS goes_on FROM bare),
+placed AS (SELECT doc_id, i, piece, coalesce(sum((NOT coalesce(goes_on, false))::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM marked),
+joined AS (SELECT doc_id, s, trim(string_agg(piece, '' ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM placed GROUP BY doc_id, s)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS pos, md5(sentence) AS sentence_md5 FROM joined WHERE sentence <> ''"""
+)
+def sentence_split_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents, not ended by the full stops of abbreviations that they teach."""
+    docs = _docs(spark, sf_dir)
+    rows = ends.with_sentences(docs, ends.learn(docs)).select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+    return rows.select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"))
