@@ -18,7 +18,7 @@ from .config import DEFAULT, Config
 from .functions.text import chunks as chunked
 from .operators import evaluate, generate, graph, index, merge, strategies, validate
 from .providers import RULES, Providers
-from .sources import readers, writers
+from .sources import readers, store, writers
 from .storage import cut, together
 
 METHODS = ["llm_direct", "naive", "graph", "hybrid", "iterative"]
@@ -29,7 +29,7 @@ def chunk(spark: SparkSession, corpus: str, out: str, config: Config = DEFAULT)
     rows.write.mode("overwrite").parquet(f"{out}/chunks")
 
 
-def _without(rows: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def _without(rows: DataFrame, path: str, key: str) -> DataFrame:
     """``rows`` whose key ``path`` does not hold yet."""
     spark = rows.sparkSession
     return rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if readers.exists(spark, path) else rows
@@ -38,13 +38,13 @@ def _without(rows: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 def embed(spark: SparkSession, out: str, resume: bool = True, providers: Providers = RULES) -> None:
     """Vectors of the chunks whose document has none yet, appended."""
     rows, path = spark.read.parquet(f"{out}/chunks"), f"{out}/embeddings"
-    todo = cut(_without(rows, path) if resume else rows)
+    todo = cut(store.without(rows, path) if resume else rows)
     made = providers.embed(todo, "row_id", "text")
-    todo.join(made, "row_id").select("row_id", "doc_id", "chunk_idx", "text", "embedding").write.mode("append" if resume else "overwrite").parquet(path)
+    writers.write_embeddings(todo.join(made, "row_id").select("row_id", "doc_id", "chunk_idx", "text", "embedding"), path, "append" if resume else "overwrite")
 
 
 def build_index(spark: SparkSession, out: str) -> None:
-    writers.write_index(spark.read.parquet(f"{out}/embeddings"), f"{out}/index")
+    writers.write_index(readers.read_stored(spark, f"{out}/embeddings"), f"{out}/index")
 
 
 def extract(spark: SparkSession, out: str, resume: bool = True, providers: Providers = RULES) -> None:
@@ -56,7 +56,7 @@ def extract(spark: SparkSession, out: str, resume: bool = True, providers: Provi
     rows, path, failed = spark.read.parquet(f"{out}/chunks"), f"{out}/statements", f"{out}/failed"
     todo = rows
     if resume and readers.exists(spark, f"{out}/extracted"):
-        todo = _without(rows, f"{out}/extracted")
+        todo = store.without(rows, f"{out}/extracted")
         if readers.exists(spark, failed):
             again = rows.join(readers.read_failed(spark, failed).select("doc_id", "chunk_idx"), ["doc_id", "chunk_idx"], "left_semi")
             todo = todo.unionByName(again).distinct()
@@ -67,11 +67,11 @@ def extract(spark: SparkSession, out: str, resume: bool = True, providers: Provi
         writers.write_failed(bad, failed)
         made = made.where("status <> 'failed'").drop("status", "error")
     writers.write_triplets(graph.valid(made), path, "append" if resume else "overwrite")
-    todo.select("doc_id").distinct().write.mode("append" if resume else "overwrite").parquet(f"{out}/extracted")
+    writers.write_done(todo, f"{out}/extracted", "append" if resume else "overwrite")
 
 
 def build_graph(spark: SparkSession, out: str, providers: Providers = RULES) -> None:
-    world = strategies.graph_of(spark.read.schema(schemas.TRIPLETS).parquet(f"{out}/statements"), providers)
+    world = strategies.graph_of(readers.read_statements(spark, f"{out}/statements"), providers)
     writers.write_graph(world.names, world.edges, world.triplets, world.vectors, f"{out}/graph")
 
 
@@ -175,7 +175,7 @@ def evaluate_structure(spark: SparkSession, out: str) -> None:
 def generate_questions(spark: SparkSession, out: str, n_single: int, n_multi: int, n_summary: int, append: bool = False, providers: Providers = RULES) -> None:
     """Step 1: raw questions; appended ones go on in the numbers of those there."""
     rows, path = spark.read.parquet(f"{out}/chunks"), f"{out}/questions"
-    held = cut(index.entity_chunks(spark.read.schema(schemas.TRIPLETS).parquet(f"{out}/statements")))
+    held = cut(index.entity_chunks(readers.read_statements(spark, f"{out}/statements")))
     first = {r["type"]: r["next"] for r in merge.next_number(spark.read.parquet(path)).collect()} if append and readers.exists(spark, path) else {}  # a row a type
     made = generate.generated(generate.samples(held, rows, n_single, n_summary), rows, n_single, n_multi, n_summary, first, providers=providers)
     made.write.mode("append" if append else "overwrite").parquet(path)

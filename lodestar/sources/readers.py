@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.text import corpus
-from . import log
+from . import log, store
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -165,7 +166,17 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``row_id, doc_id, chunk_idx, text, embedding``: vectors with what they stand for."""
-    return spark.read.schema(schemas.INDEX).parquet(path)
+    return store.rows(spark, path)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors of chunks as they are kept: of each chunk the last ones."""
+    return store.last(spark, path, "chunk_idx")
+
+
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """Statements as they are kept, each once."""
+    return store.last(spark, path, "subject", "relation", "object", "chunk_idx").select(*(f.name for f in StructType.fromDDL(schemas.TRIPLETS)))
 
 
 def held_answers(spark: SparkSession, path: str) -> DataFrame:

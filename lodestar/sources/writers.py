@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from . import log
-from .readers import exists
+from .. import schemas
+from . import log, store
 
 
 def place(root: str, stage: str, method: str = "", model: str = "", dataset: str = "") -> str:
@@ -28,20 +29,16 @@ def put_rows(rows: DataFrame, path: str, mode: str) -> None:
     (append_rows if mode == "append" else replace_rows)(rows, path)
 
 
-def append_embeddings(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
-def compact(rows: DataFrame, path: str) -> None:
-    """Rewrite appended rows to a new path: of each document and chunk, the row with the greatest ``batch``."""
-    rest = [c for c in rows.columns if c not in ("doc_id", "chunk_idx", "batch")]
-    latest = rows.groupBy("doc_id", "chunk_idx").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("doc_id", "chunk_idx", "r.*")
-    latest.write.mode("overwrite").parquet(path)
+def write_embeddings(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Vectors of chunks in buckets of documents, behind those there or in their place; many batches are made one."""
+    (store.append if mode == "append" else store.rewrite)(rows, path, "doc_id")
+    store.compact_when_many(rows.sparkSession, path, "chunk_idx")
 
 
 def write_index(rows: DataFrame, path: str) -> None:
-    """Vectors with their metadata, by row id, so that a search reads back what it needs."""
-    rows.select("row_id", "doc_id", "chunk_idx", "text", "embedding").repartitionByRange("row_id").write.mode("overwrite").parquet(path)
+    """Vectors with their metadata, in buckets of row ids, published at once; a search reads back what it needs."""
+    store.rewrite(rows.select("row_id", "doc_id", "chunk_idx", "text", "embedding"), path, "row_id")
+    log.vacuum(rows.sparkSession, path)
 
 
 def write_graph(vertices: DataFrame, edges: DataFrame, triplets: DataFrame, vectors: DataFrame, path: str) -> None:
@@ -49,13 +46,24 @@ def write_graph(vertices: DataFrame, edges: DataFrame, triplets: DataFrame, vect
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+STATEMENT = ("subject", "relation", "object", "chunk_idx")  # with its document
+
+
 def write_triplets(triplets: DataFrame, path: str, mode: str = "append") -> None:
-    """Statements, each once: what ``path`` holds already is not written again."""
-    spark, keys = triplets.sparkSession, ["subject", "relation", "object", "doc_id", "chunk_idx"]
-    rows = triplets.dropDuplicates(keys)
-    if mode == "append" and exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    rows.write.mode(mode).parquet(path)
+    """Statements in buckets of documents.
+
+    Nothing of what is stored is read: a statement that is written again is found as one when
+    it is read, where it lies, and goes with the next compaction.
+    """
+    fields = StructType.fromDDL(schemas.TRIPLETS).fields
+    rows = triplets.select(*((F.col(f.name) if f.name in triplets.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    (store.append if mode == "append" else store.rewrite)(rows, path, "doc_id")
+    store.compact_when_many(triplets.sparkSession, path, *STATEMENT)
+
+
+def write_done(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Ids of documents that are done, in buckets."""
+    (store.append if mode == "append" else store.rewrite)(rows.select("doc_id").distinct(), path, "doc_id")
 
 
 def write_subgraphs(nodes: DataFrame, triplets: DataFrame, sources: DataFrame, path: str, mode: str = "overwrite") -> None:

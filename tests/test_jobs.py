@@ -6,7 +6,7 @@ import pytest
 
 from lodestar import __main__ as commands
 from lodestar import jobs, schemas
-from lodestar.sources import readers
+from lodestar.sources import readers, store
 
 
 @pytest.fixture(scope="module")
@@ -35,12 +35,12 @@ def test_from_corpus_to_scores(spark, files):
         if method not in ("llm_direct",):
             assert any("lives near" in a for a in answers.values()), method
             assert any(r["faithfulness_soft"] is not None for r in scores), method
-    before = spark.read.parquet(f"{out}/embeddings").count()
+    before = store.rows(spark, f"{out}/embeddings").count()
     with (files / "corpus.json").open("a") as more:
         more.write("\n" + json.dumps({"id": 50, "text": "Gustav lives near Anna."}))
     run(spark, "process", "all", files / "corpus.json", out)  # only the new document is embedded and extracted
-    assert spark.read.parquet(f"{out}/embeddings").count() == before + 1 == spark.read.parquet(f"{out}/index").count()
-    stated = spark.read.parquet(f"{out}/statements")
+    assert store.rows(spark, f"{out}/embeddings").count() == before + 1 == readers.read_index(spark, f"{out}/index").count()
+    stated = store.rows(spark, f"{out}/statements")
     assert stated.where("doc_id = 50").count() == 1 and stated.count() == stated.dropDuplicates(["subject", "relation", "object", "doc_id", "chunk_idx"]).count()
     run(spark, "retrieve", "naive", out, asks)
     assert spark.read.json(f"{out}/answers/naive").count() == 4

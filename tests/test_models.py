@@ -15,6 +15,7 @@ from lodestar.functions.calls import Limits, called
 from lodestar.functions.vectors import one_hot
 from lodestar.operators import evaluate, graph
 from lodestar.providers import RULES
+from lodestar.sources import readers
 from lodestar.storage import cut
 
 
@@ -96,7 +97,7 @@ def test_chunks_that_failed_are_extracted_by_the_next_run(spark, tmp_path):
 
     jobs.chunk(spark, str(corpus), out)
     jobs.extract(spark, out, providers=model(False))
-    ids = lambda: sorted(r["doc_id"] for r in spark.read.parquet(f"{out}/statements").collect())
+    ids = lambda: sorted(r["doc_id"] for r in readers.read_statements(spark, f"{out}/statements").collect())
     assert ids() == [0, 2, 4]
     assert {r["error"] for r in spark.read.json(f"{out}/failed").collect()} == {"bad reply"}
     jobs.extract(spark, out, providers=model(True))
