@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import QUESTION_TYPES
 from ..operators import merge, validate
-from ..sources import log, readers, writers
+from ..sources import log, readers, store, writers
 from ..storage import folder, table
 from . import query
 
@@ -137,6 +137,25 @@ def record_log_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_answers(spark, path).withColumn("qid", F.col("qid").cast("long"))
 
 
+@query(
+    """WITH two AS (SELECT l_orderkey, l_linenumber, 1 AS n, l_extendedprice AS price FROM lineitem WHERE l_returnflag = 'N'
+UNION ALL SELECT l_orderkey, l_linenumber, 2, l_discount FROM lineitem WHERE l_linestatus = 'O'),
+three AS (SELECT * FROM two UNION ALL SELECT l_orderkey, l_linenumber, 3, l_tax FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM two)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY n DESC, price DESC) AS place FROM three)
+SELECT l_orderkey, l_linenumber, n, price FROM ranked WHERE place = 1"""
+)
+def bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in buckets of orders: two batches, made one, then the lines of orders that have none."""
+    path = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "lineitem")
+    shown = lambda rows, n, price: rows.select("l_orderkey", "l_linenumber", F.lit(n).alias("n"), F.col(price).alias("price"))
+    store.append(shown(lines.where("l_returnflag = 'N'"), 1, "l_extendedprice"), path, "l_orderkey", 4)
+    store.append(shown(lines.where("l_linestatus = 'O'"), 2, "l_discount"), path, "l_orderkey")
+    store.compact_when_many(spark, path, "l_linenumber", after=1)
+    store.append(shown(store.without(lines, path), 3, "l_tax"), path, "l_orderkey")
+    return store.last(spark, path, "l_linenumber")
+
+
 @query("SELECT user_id AS qid, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS scheme, arg_max(event_type, event_id) AS type FROM events GROUP BY ALL")
 def question_type_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of a user and scheme is the new type, the first the old one."""

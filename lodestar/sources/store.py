@@ -37,7 +37,7 @@ def _bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> None:
     rows.sparkSession.sql(f"DROP TABLE {name}")
 
 
-def _put(rows: DataFrame, path: str, key: str, buckets: int | None, anew: bool) -> log.Version:
+def _put(rows: DataFrame, path: str, key: str, buckets: int | None, anew: bool, base: int | None = None) -> log.Version:
     buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = log.version(rows.sparkSession, path)
     if BATCH in rows.columns:
@@ -50,7 +50,7 @@ def _put(rows: DataFrame, path: str, key: str, buckets: int | None, anew: bool)
             layout = held.layout
     elif not anew and (held is not None or log.holds_files(rows.sparkSession, path)):
         raise ValueError(f"{path} holds files without buckets; rewrite them as a store")
-    return log.write(rows, path, anew, "parquet", save=lambda r, p: _bucketed(r, p, layout["key"], layout["buckets"]), layout=layout)
+    return log.write(rows, path, anew, "parquet", save=lambda r, p: _bucketed(r, p, layout["key"], layout["buckets"]), layout=layout, base=base)
 
 
 def append(rows: DataFrame, path: str, key: str, buckets: int | None = None) -> log.Version:
@@ -122,13 +122,14 @@ def _size(spark: SparkSession, path: str, held: log.Version) -> int:
 def compact(spark: SparkSession, path: str, *rest: str, order: Column | None = None, bucket_bytes: int = BUCKET_BYTES) -> log.Version:
     """Rewrite the store with the last row of each key; the old version holds until the new one is published.
 
-    Buckets are doubled until they hold at most ``bucket_bytes`` on average.
+    Buckets are doubled until they hold at most ``bucket_bytes`` on average.  ``log.Moved`` if a
+    batch came in between, which then is not lost.
     """
     held = log.version(spark, path)
     buckets, size = held.layout["buckets"], _size(spark, path, held)
     while size > bucket_bytes * buckets:
         buckets *= 2
-    return rewrite(last(spark, path, *rest, order=order), path, held.layout["key"], buckets)
+    return _put(last(spark, path, *rest, order=order), path, held.layout["key"], buckets, True, held.number)
 
 
 def compact_when_many(spark: SparkSession, path: str, *rest: str, after: int = COMPACT_AFTER, bucket_bytes: int = BUCKET_BYTES) -> bool:
@@ -136,6 +137,9 @@ def compact_when_many(spark: SparkSession, path: str, *rest: str, after: int = C
     held = log.version(spark, path)
     if len(held.batches) <= after and _size(spark, path, held) <= 2 * bucket_bytes * held.layout["buckets"]:
         return False
-    compact(spark, path, *rest, bucket_bytes=bucket_bytes)
+    try:
+        compact(spark, path, *rest, bucket_bytes=bucket_bytes)
+    except log.Moved:  # the next write will do it
+        return False
     log.vacuum(spark, path)
     return True

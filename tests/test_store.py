@@ -83,6 +83,15 @@ def test_compaction_when_there_are_many_batches(spark, path):
     assert of(store.rows(spark, path)) == before and of(store.last(spark, path, "chunk_idx")) == before
 
 
+def test_a_batch_that_comes_during_compaction(spark, path):
+    held, seen = log.version(spark, path), of(store.last(spark, path, "chunk_idx"))
+    slow = store.last(spark, path, "chunk_idx")
+    store.append(rows(spark, (5, 0, "meanwhile")), path, "doc_id")
+    with pytest.raises(log.Moved):
+        store._put(slow, path, "doc_id", 4, True, held.number)
+    assert (5, 0, "meanwhile") in of(store.last(spark, path, "chunk_idx")) and len(of(store.last(spark, path, "chunk_idx"))) == len(seen) + 1
+
+
 def test_other_columns_and_empty_stores(spark, path, tmp_path):
     with pytest.raises(ValueError, match="holds"):
         store.append(spark.createDataFrame([(1, 2)], "doc_id long, other int"), path, "doc_id")
