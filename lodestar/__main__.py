@@ -33,11 +33,14 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     add("process", "stage", "corpus", "out", stage=["embedding", "index", "graph", "all"])
-    add("retrieve", "method", "out", "questions", method=jobs.METHODS)
+    base = {"choices": jobs.BASES, "default": "graph", "help": "what iterative answering retrieves by"}
+    add("retrieve", "method", "out", "questions", method=jobs.METHODS).add_argument("--retriever-type", **base)
     add("retry", "method", "out", "questions", method=["naive", "graph"])
     judge = add("evaluate", "what", what=["result", "labels", "semantic", "structure"])
     judge.add_argument("rest", nargs="+", help="METHOD OUT QUESTIONS, or OUT")
     judge.add_argument("--hubness-k", type=int, default=10)
+    judge.add_argument("--skip-llm", action="store_true", help="leave out the labels")
+    judge.add_argument("--retriever-type", **base)
     add("compare", "first", "second", "out", first=jobs.METHODS, second=jobs.METHODS)
     asks = add("questions", "step", "out", step=["generate", "validate", "filter", "all"])
     for kind, n in (("single-hop", 50), ("multi-hop", 50), ("summary", 20)):
@@ -46,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     add("classify", "scheme", "out", "questions")
     whole = add("pipeline", "corpus", "questions", "out")
     whole.add_argument("--method", default="graph", choices=[*jobs.METHODS, "all"])
+    whole.add_argument("--retriever-type", **base)
+    whole.add_argument("--skip-llm", action="store_true")
     whole.add_argument("--skip-process", action="store_true")
     whole.add_argument("--skip-eval", action="store_true")
     add("query", "name", "tables", "out")
@@ -64,12 +69,12 @@ def run(spark: SparkSession, given: argparse.Namespace) -> None:
             jobs.extract(spark, given.out, resume)
             jobs.build_graph(spark, given.out)
     elif given.command == "retrieve":
-        jobs.retrieve(spark, given.method, given.out, given.questions, resume)
+        jobs.retrieve(spark, given.method, given.out, given.questions, resume, base=given.retriever_type)
     elif given.command == "retry":
         jobs.retry(spark, given.method, given.out, given.questions)
     elif given.command == "evaluate" and given.what in ("result", "labels"):
         method, out, questions = given.rest
-        jobs.evaluate_answers(spark, method, out, questions, resume, given.what == "labels")
+        jobs.evaluate_answers(spark, method, out, questions, resume, given.what == "labels", labels=not given.skip_llm, base=given.retriever_type)
     elif given.command == "evaluate":
         (out,) = given.rest
         jobs.evaluate_semantic(spark, out, given.hubness_k) if given.what == "semantic" else jobs.evaluate_structure(spark, out)
@@ -86,7 +91,7 @@ def run(spark: SparkSession, given: argparse.Namespace) -> None:
         jobs.classify(spark, given.out, given.questions, given.scheme)
     elif given.command == "pipeline":
         methods = jobs.METHODS if given.method == "all" else [given.method]
-        jobs.pipeline(spark, given.corpus, given.questions, given.out, methods, given.skip_process, given.skip_eval, resume)
+        jobs.pipeline(spark, given.corpus, given.questions, given.out, methods, given.skip_process, given.skip_eval, resume, not given.skip_llm, given.retriever_type)
     else:
         from . import plans
 

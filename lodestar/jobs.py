@@ -22,6 +22,12 @@ from .sources import readers, store, writers
 from .storage import cut, together
 
 METHODS = ["llm_direct", "naive", "graph", "hybrid", "iterative"]
+BASES = ["graph", "naive"]  # what iterative answering retrieves by
+
+
+def stored_as(method: str, base: str = "graph") -> str:
+    """The folder's name of a method: iterative answering over another base than the graph has its own."""
+    return f"{method}-{base}" if method == "iterative" and base != "graph" else method
 
 
 def chunk(spark: SparkSession, corpus: str, out: str, config: Config = DEFAULT) -> None:
@@ -94,9 +100,10 @@ def _append_answers(made: DataFrame, out: str, method: str) -> None:
     writers.append_rows(rows, f"{out}/answers/{method}")
 
 
-def retrieve(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, config: Config = DEFAULT, providers: Providers = RULES) -> None:
-    """Answers of a method, and what it retrieved, for the questions that have none yet."""
-    asked, path = readers.read_questions(spark, questions).select("qid", "question"), f"{out}/answers/{method}"
+def retrieve(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, config: Config = DEFAULT, providers: Providers = RULES, base: str = "graph") -> None:
+    """Answers of a method, and what it retrieved, for the questions that have none yet; ``base`` is what iterative answering retrieves by."""
+    name = stored_as(method, base)
+    asked, path = readers.read_questions(spark, questions).select("qid", "question"), f"{out}/answers/{name}"
     if resume and readers.exists(spark, path):
         asked = merge.unanswered(asked, readers.held_answers(spark, path).select(F.col("id").alias("qid"), F.coalesce("rag_answer", "llm_answer").alias("answer")))
     asked = cut(asked)
@@ -104,7 +111,7 @@ def retrieve(spark: SparkSession, method: str, out: str, questions: str, resume:
         return
     if method == "llm_direct":
         return _append_answers(strategies.direct(asked, providers), out, method)
-    rows, found = spark.read.parquet(f"{out}/chunks"), f"{out}/retrievals/{method}"
+    rows, found = spark.read.parquet(f"{out}/chunks"), f"{out}/retrievals/{name}"
     if method == "naive":
         vectors = readers.read_index(spark, f"{out}/index").select(F.col("row_id").alias("item_id"), "embedding")
         near = cut(strategies.naive_passages(asked, rows, config.top_k, config, providers, vectors))
@@ -124,10 +131,15 @@ def retrieve(spark: SparkSession, method: str, out: str, questions: str, resume:
         both = asked.join(merged.select("qid").distinct(), "qid")
         writers.append_rows(strategies.ranked(merged.withColumn("similarity", F.lit(None).cast("double"))).select(F.col("qid").alias("id"), F.col("chunks").alias("retrieved_chunks")), found)
         return _append_answers(strategies.answered(both, merged, method, config, providers), out, method)
-    world = world_of(spark, out)
-    made, log = strategies.iterative(asked, lambda q: strategies.graph_passages(q, world, rows, config, providers), config, providers)
-    writers.write_history(log, found, "append")
-    return _append_answers(made, out, method)
+    if base == "naive":
+        vectors = readers.read_index(spark, f"{out}/index").select(F.col("row_id").alias("item_id"), "embedding")
+        passages = lambda q: strategies.naive_passages(q, rows, config.top_k, config, providers, vectors)
+    else:
+        world = world_of(spark, out)
+        passages = lambda q: strategies.graph_passages(q, world, rows, config, providers)
+    made, history = strategies.iterative(asked, passages, config, providers)
+    writers.write_history(history, found, "append")
+    return _append_answers(made, out, name)
 
 
 def retry(spark: SparkSession, method: str, out: str, questions: str) -> None:
@@ -141,15 +153,16 @@ def retry(spark: SparkSession, method: str, out: str, questions: str) -> None:
     writers.replace_rows(rows.withColumn("rag_answer", F.when(F.col("llm_answer").isNull(), F.col("rag_answer"))), path)
 
 
-def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, labels_only: bool = False, providers: Providers | None = None) -> None:
-    """Scores of a method's answers against what it retrieved, for those without scores; appended."""
+def evaluate_answers(spark: SparkSession, method: str, out: str, questions: str, resume: bool = True, labels_only: bool = False, providers: Providers | None = None, labels: bool = True, base: str = "graph") -> None:
+    """Scores of a method's answers against what it retrieved, for those without scores; appended.  Without ``labels`` none are judged."""
+    method = stored_as(method, base)
     asked = readers.read_questions(spark, questions).select("qid", F.col("answer").alias("reference"))
     given = readers.read_answers(spark, f"{out}/answers/{method}").select("qid", F.col("answer").alias("prediction"))
     path, kept = f"{out}/scores/{method}", f"{out}/retrievals/{method}"
     retrieved = readers.read_retrievals(spark, kept) if method != "llm_direct" and readers.exists(spark, kept) else None
     done = readers.read_evaluations(spark, path).select(F.col("id").alias("qid")) if resume and readers.exists(spark, path) else None
     pairs = cut(evaluate.to_evaluate(asked, given, retrieved, done))
-    made = evaluate.judged(pairs) if labels_only else evaluate.all_metrics(pairs, providers=providers)
+    made = evaluate.judged(pairs) if labels_only else evaluate.all_metrics(pairs, providers=providers, labels=labels)
     made = made.withColumnRenamed("qid", "id").withColumn("llm_reason", F.lit(""))
     writers.put_rows(made, path, "append" if resume else "overwrite")
 
@@ -208,14 +221,14 @@ def classify(spark: SparkSession, out: str, questions: str, scheme: str, provide
     writers.write_types(cut(merge.latest_types(known, given)), path)
 
 
-def pipeline(spark: SparkSession, corpus: str, questions: str, out: str, methods: list[str], skip_process: bool = False, skip_eval: bool = False, resume: bool = True) -> None:
+def pipeline(spark: SparkSession, corpus: str, questions: str, out: str, methods: list[str], skip_process: bool = False, skip_eval: bool = False, resume: bool = True, labels: bool = True, base: str = "graph") -> None:
     """Processing, retrieval and evaluation one after another; hybrid needs naive and graph before."""
     if not skip_process:
         process(spark, corpus, out, resume)
     for method in (m for m in METHODS if m in methods):
-        retrieve(spark, method, out, questions, resume)
+        retrieve(spark, method, out, questions, resume, base=base)
         if not skip_eval:
-            evaluate_answers(spark, method, out, questions, resume)
+            evaluate_answers(spark, method, out, questions, resume, labels=labels, base=base)
     if not skip_eval:
         evaluate_semantic(spark, out)
         evaluate_structure(spark, out)

@@ -13,12 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_END, tokens
+from ..functions.text import SENTENCE_END, WHITE, tokens
 from ..storage import cut, looked_up
 
 THRESHOLD = 0.3
 ALMOST_SURE = 0.99
-WHITE = " \t\n\x0b\f\r"
 WORD_CHARS = 64  # a longer word's score is nothing: it falls by e with each character
 
 

@@ -138,15 +138,16 @@ def judged(pairs: DataFrame) -> DataFrame:
     return pairs.select("qid", label.alias("llm_label"))
 
 
-def all_metrics(pairs: DataFrame, config: Config = DEFAULT, providers: Providers | None = None) -> DataFrame:
+def all_metrics(pairs: DataFrame, config: Config = DEFAULT, providers: Providers | None = None, labels: bool = True) -> DataFrame:
     """One row for each question with every score; ``pairs`` has ``qid, reference, prediction, retrieved``.
 
-    With providers tokens are matched by their vectors, else equal ones match.
+    With providers tokens are matched by their vectors, else equal ones match.  Without
+    ``labels`` nothing is judged and labels are null.
     """
     out = (semantic_f1(pairs, providers) if providers else token_f1(pairs)).select("qid", "semantic_f1")
-    for part in (coverage(pairs), faithfulness(pairs, config), judged(pairs)):
+    for part in (coverage(pairs), faithfulness(pairs, config), *([judged(pairs)] if labels else [])):
         out = out.join(part, "qid")
-    return out
+    return out if labels else out.withColumn("llm_label", F.lit(None).cast("string"))
 
 
 def to_evaluate(questions: DataFrame, answers: DataFrame, retrieved: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:

@@ -1,11 +1,16 @@
 """The commands, from a corpus file to scores, run twice and resumed."""
 
 import json
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar import __main__ as commands
 from lodestar import jobs, schemas
+from lodestar.config import DEFAULT
+from lodestar.operators import strategies
+from lodestar.providers import RULES
 from lodestar.sources import readers, store
 
 
@@ -53,6 +58,23 @@ def test_from_corpus_to_scores(spark, files):
     assert spark.read.json(f"{out}/comparisons/naive-graph/comparison").count() == 4
 
 
+def test_iterative_over_chunks_without_labels(spark, files):
+    out, asks = files / "out", files / "questions.json"
+    run(spark, "retrieve", "iterative", out, asks, "--retriever-type", "naive")
+    assert readers.read_answers(spark, f"{out}/answers/iterative-naive").count() == 4
+    run(spark, "evaluate", "result", "iterative", out, asks, "--retriever-type", "naive", "--skip-llm")
+    scores = readers.read_evaluations(spark, f"{out}/scores/iterative-naive").collect()
+    assert len(scores) == 4 and all(r["llm_label"] is None and r["coverage"] is not None for r in scores)
+
+
+def test_hybrid_refuses_a_blank_context_itself(spark):
+    asked = spark.createDataFrame([("a", "q"), ("b", "q"), ("c", "q")], "qid string, question string")
+    passages = spark.createDataFrame([("a", 0, "a text"), ("b", 0, " \n ")], "qid string, pos int, text string")
+    model = replace(RULES, answer=lambda question, context: F.concat(F.lit("asked with "), context))
+    found = {r["qid"]: r["answer"] for r in strategies.answered(asked, passages, "hybrid", providers=model).collect()}
+    assert found == {"a": "asked with a text", "b": DEFAULT.refusal, "c": DEFAULT.refusal}
+
+
 def test_retry_of_null_answers(spark, files):
     out, asks = files / "out", files / "questions.json"
     path = f"{out}/answers/graph"
