@@ -45,3 +45,36 @@ def test_fewer_items_than_are_asked_for(spark):
     both(spark, np.zeros((5, 4)), 3, 2, False)
     items = table(spark, np.ones((3, 2)))
     assert search.pruned_top_k(items.withColumnRenamed("item_id", "qid"), items.limit(0), 2).found.count() == 0
+
+
+def test_where_nothing_can_be_left_out_a_query_goes_once_to_each_block(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(900, 32))  # all about equally far apart
+    written = []
+
+    def noted(df, name, put=search.stored):
+        made = put(df, name)
+        written.append((name, made.count()))
+        return made
+
+    put, search.stored = search.stored, noted
+    try:
+        items = table(spark, vectors)
+        asked = items.withColumnRenamed("item_id", "qid")
+        made = search.pruned_top_k(asked, items, 3, skip_self=True, cell=16, block=300)
+    finally:
+        search.stored = put
+    assert made.compared > 0.9 * made.pairs
+    blocks = -(-900 // 300)
+    assert [n for name, n in written if name == "asked"][1] <= 900 * (blocks + 1)  # not once for each cell
+    rows = lambda df: sorted((r["qid"], r["item_id"], round(r["similarity"], 9), r["rank"]) for r in df.collect())
+    assert rows(made.found) == rows(search.block_top_k(asked, items, 3, skip_self=True))
+
+
+def test_few_rows_meet_many_cells_at_once():
+    from lodestar.operators.search import AT_ONCE, _slices
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000))], ["qid"])
+    parts = list(_slices([batch], 4000))
+    assert max(p.num_rows for p in parts) * 4000 <= AT_ONCE and sum(p.num_rows for p in parts) == 10_000
