@@ -123,3 +123,23 @@ def test_one_hot_vectors_give_the_token_score(spark):
         got = {r["qid"]: tuple(r)[1:] for r in evaluate.semantic_f1(pairs, replace(RULES, embed_tokens=one_hot), batch).collect()}
         assert got.keys() == want.keys() and all(got[q] == pytest.approx(want[q]) for q in want)
     assert evaluate.semantic_f1(pairs.limit(0)).count() == 0
+
+
+def test_one_hot_vectors_are_made_without_a_square_of_the_vocabulary():
+    import tracemalloc
+
+    texts = [" ".join(f"w{100 * i + j}" for j in range(100)) for i in range(32)]  # 3,200 words: their square is 82 MB
+    tracemalloc.start()
+    made = one_hot([*texts, "w1 w1"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(x.nbytes for x in made)
+    assert peak < size + 8_000_000
+    assert made[0].shape == (100, 3200) and made[0].sum() == 100
+    assert (made[32][0] == made[32][1]).all() and (made[32][0] @ made[0].T).sum() == 1
+
+
+def test_dimensions_that_one_side_lacks_change_no_score():
+    a, b = np.eye(9)[[0, 1, 2, 5]], np.eye(9)[[1, 2, 7]]
+    assert evaluate.greedy_match(a, b) == pytest.approx((0.5, 2 / 3))
+    assert evaluate.greedy_match(a[:2], np.eye(9)[[7, 8]]) == (0.0, 0.0)
