@@ -29,6 +29,7 @@ MOST = 8.0  # a word counts for no more than this, in nats, against a language
 KEPT = 200_000
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())  # such as ½ and Ⅻ: word characters, but no letters
 WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # the same but for numerals, without a long list of characters to go through
 # First code point of each script block, and the script's name.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -46,6 +47,16 @@ CODES = np.array([NAMES.index(b) for _, b in SCRIPTS])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pattern(text: str) -> re.Pattern:
+    """``WORD``, or what finds the same words faster in a text without numerals."""
+    return LETTERS if "".join(LETTERS.findall(text)).isalpha() else WORD
+
+
+def words_of(text: str) -> list[str]:
+    found = LETTERS.findall(text)
+    return found if "".join(found).isalpha() else WORD.findall(text)
+
+
 def scripts(words: list[str]) -> np.ndarray:
     """The script code of each word's first letter."""
     return CODES[np.searchsorted(STARTS, np.fromiter((ord(w[0]) for w in words), np.int64, len(words)), "right") - 1]
@@ -139,7 +150,7 @@ class Labeller:
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
         lowered = [(x or "").lower() for x in texts]
-        words = [WORD.findall(x) for x in lowered]
+        words = [words_of(x) for x in lowered]
         self._add(set(chain.from_iterable(words)))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
@@ -159,9 +170,10 @@ class Labeller:
         """Runs of one label: start and end in code points of the text."""
         cuts = np.flatnonzero(np.diff(own)) + 1
         if not len(cuts):
-            first = WORD.search(text)
-            return [(first.start(), len(text) - WORD.search(text[::-1]).start(), self.model.langs[own[0]])] if first else []
-        at = [m.span() for m in WORD.finditer(low)]
+            word = pattern(text)
+            first = word.search(text)
+            return [(first.start(), len(text) - word.search(text[::-1]).start(), self.model.langs[own[0]])] if first else []
+        at = [m.span() for m in pattern(low).finditer(low)]
         if len(text) != len(low):  # a letter may be lowered to several code points
             ends = np.cumsum([len(c.lower()) for c in text])
             place = lambda i: int(np.searchsorted(ends, i, "right"))
@@ -185,7 +197,7 @@ def fit(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> Model:
         seen: dict[str, np.ndarray] = {}
         for batch in chain.from_iterable(slices(b, "text") for b in batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if words := WORD.findall(text.lower()):
+                if words := words_of(text.lower()):
                     own = seen.setdefault(lang, np.zeros((1 << BITS) + n_scripts, np.int64))
                     own[: 1 << BITS] += np.bincount(grams(words)[0], minlength=1 << BITS)
                     own[1 << BITS :] += np.bincount(scripts(words), minlength=n_scripts)

@@ -28,3 +28,13 @@ def test_language_of_numerals_and_spans(spark):
     spans = [tuple(s) for s in found[2]["spans"]]
     assert spans[0][0] == 0 and spans[-1][1] == len(mixed) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     assert any(s[2] == "en" and "house" in mixed[s[0] : s[1]] for s in spans) and any(s[2] == "de" and "schloß" in mixed[s[0] : s[1]] for s in spans)
+
+
+def test_fast_words_are_the_same_words():
+    for text in ("", "...", "Ab cd_e4f", "½ ² 12", "a½b Ⅻx 𝟛y", "été ünd 日本 x²ýz", "١٢ سلام", "𐄇abc"):
+        assert language.words_of(text) == language.WORD.findall(text)
+        assert [m.span() for m in language.pattern(text).finditer(text)] == [m.span() for m in language.WORD.finditer(text)]
+
+
+def test_texts_without_numerals_take_the_short_pattern():
+    assert language.pattern("Some words, été 12 日本") is language.LETTERS
