@@ -2,14 +2,17 @@
 
 Corners are found at several scales (small images are enlarged first); each gets an
 orientation from the centre of mass around it and 64 binary tests of blurred pixels, turned
-by that orientation.  Distinct descriptors are joined through Hamming tables: a descriptor's
-visual word is the smallest one within ``RADIUS`` bits of it.  (What descriptors reach over
-several such steps is no word: plain patches chain into one that says nothing.)
-
-Consensus is geometric: keypoints whose word no other image has are left out, every other
-one is put together with each of its nearest ones, and the pair's key holds both words, the step between their scales, and where the second
+by that orientation.  Distinct descriptors are joined through Hamming tables.  A descriptor's
+visual words are itself and each commoner one within ``RADIUS`` bits, so of two descriptors
+within the radius one is a word of the other.  Two that only have a third as a word in common
+are not taken as equal: a key tells whether a word is the descriptor itself.  (What descriptors
+reach over several such steps is no word: plain patches chain into one that says nothing.)
+
+Consensus is geometric: keypoints whose words no other image has are left out, every other
+one is put together with each of its nearest ones, and the pair's keys hold a word of each, the step between their scales, and where the second
 lies as seen from the first, turned and scaled by the first's own.  Two images with an equal
-key have two words that agree on one shift, scale and turn.  Equality carries over from image
+key, one of them with the word itself in each place, have two descriptors within the radius
+of the other's that agree on one shift, scale and turn.  Equality carries over from image
 to image, so all that have a key are linked to the first of them and no partner is left out;
 links grow with the keypoints, not with the square of a group of copies.
 
@@ -24,11 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, small, spread_join, stored
+from .common import cut, small, spread_join, stored, together
 from .components import components
 
 SCALES = 2
@@ -166,19 +170,39 @@ def _nearest(x: np.ndarray, y: np.ndarray, size: np.ndarray, tie: np.ndarray) ->
     return np.concatenate(one), np.concatenate(other)
 
 
-def pair_keys(x: np.ndarray, y: np.ndarray, scale: np.ndarray, turn: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of each keypoint of an image with its nearest ones; each key once."""
+def word_keys(x: np.ndarray, y: np.ndarray, scale: np.ndarray, turn: np.ndarray, least: np.ndarray, many: np.ndarray, words: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of each keypoint of an image with its nearest ones, and their kinds; each once.
+
+    A keypoint has ``many`` of the ``words``, which come one after another; ``other`` tells
+    words that are not the descriptor itself.  A kind is 2 if the first one's word is such,
+    plus 1 if the second one's is.  ``least`` decides which of equally near ones is taken.
+    """
     if len(x) < 2:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     size = 2.0**scale
-    p, q = _nearest(x, y, size, ((word.astype(np.uint64) * _K) >> np.uint64(54)).astype(np.float64) * 1e-6)
+    p, q = _nearest(x, y, size, ((least.astype(np.uint64) * _K) >> np.uint64(54)).astype(np.float64) * 1e-6)
     angle = 2 * np.pi * turn[p] / TURNS
     dx, dy, cos, sin = (x[q] - x[p]) / size[p], (y[q] - y[p]) / size[p], np.cos(angle), np.sin(angle)
-    key = word[p].astype(np.uint64) * _K + word[q].astype(np.uint64)
-    for part in (scale[q] - scale[p], np.rint((cos * dx + sin * dy) / STEP), np.rint((cos * dy - sin * dx) / STEP)):
-        key = (key ^ (key >> np.uint64(29))) * _K + part.astype(np.int64).astype(np.uint64)
+    place = (scale[q] - scale[p], np.rint((cos * dx + sin * dy) / STEP), np.rint((cos * dy - sin * dx) / STEP))
+    begin, made = np.cumsum(many) - many, many[p] * many[q]
+    at = np.repeat(np.arange(len(p)), made)  # every word of the one with every word of the other
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(made) - made, made)
+    one, two = begin[p[at]] + nth // many[q[at]], begin[q[at]] + nth % many[q[at]]
+    key = words[one].astype(np.uint64) * _K + words[two].astype(np.uint64)
+    for part in place:
+        key = (key ^ (key >> np.uint64(29))) * _K + part[at].astype(np.int64).astype(np.uint64)
     key = (key ^ (key >> np.uint64(32))) * _K
-    return np.unique(key ^ (key >> np.uint64(29)))
+    key ^= key >> np.uint64(29)
+    kind = (2 * other[one] + other[two]).astype(np.int32)
+    order = np.lexsort((kind, key))
+    key, kind = key[order], kind[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])] if len(key) else np.zeros(0, bool)
+    return key[new], kind[new]
+
+
+def pair_keys(x: np.ndarray, y: np.ndarray, scale: np.ndarray, turn: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The same hashes where each keypoint has one word."""
+    return word_keys(x, y, scale, turn, word, np.ones(len(x), np.int64), word, np.zeros(len(x), np.int32))[0]
 
 
 def grey(row: dict) -> np.ndarray | None:
@@ -214,17 +238,49 @@ def described(images: DataFrame, decode: Callable[[dict], np.ndarray | None] = g
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``row, points`` with words to ``row, key``."""
+    """``row, points`` with words to ``row, key, kind``."""
     for batch in batches:
-        rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        rows, keys, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for row, points in zip(batch.column("row").to_pylist(), batch.column("points"), strict=True):
-            part = points.values.flatten()  # by x, y, scale, turn, word: lists come in no order
-            x, y, scale, turn, word = (np.asarray(c) for c in part)
-            order = np.lexsort((word, scale, x, y))
-            made = pair_keys(*(c[order] for c in (x.astype(np.float64), y.astype(np.float64), scale, turn, word.astype(np.int64).view(np.uint64))))
-            rows.append(np.full(len(made), row))
-            keys.append(made)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(keys).view(np.int64))], ["row", "key"])
+            *place, descriptor, words = points.values.flatten()  # lists come in no order
+            x, y, scale, turn, least = (np.asarray(c) for c in place)
+            order = np.lexsort((least, scale, x, y))
+            words = words.take(pa.array(order))
+            many, words = (np.asarray(c, np.int64) for c in (pa.compute.list_value_length(words), words.flatten()))
+            other = (words != np.repeat(np.asarray(descriptor)[order], many)).astype(np.int32)
+            x, y, scale, turn, least = (c[order] for c in (x.astype(np.float64), y.astype(np.float64), scale, turn, least.astype(np.int64).view(np.uint64)))
+            key, kind = word_keys(x, y, scale, turn, least, many, words.view(np.uint64), other)
+            rows.append(np.full(len(key), row))
+            keys.append(key)
+            kinds.append(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds))], ["row", "key", "kind"])
+
+
+def _all_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every two fingerprints within ``radius`` in a group, the larger first."""
+    a, b = simhash.pairs(fps, group, radius)
+    return np.maximum(fps[a], fps[b]), np.minimum(fps[a], fps[b])
+
+
+def _words(seen: DataFrame, radius: int) -> DataFrame:
+    """``descriptor, least, words`` of the descriptors of ``seen`` that may be matched in another image.
+
+    ``seen`` has ``fp, n, low, high``: how often a descriptor is there, in which image first
+    and last.  Of two within ``radius`` in several images, the commoner one is a word of both;
+    ``least`` is the smallest one within reach.
+    """
+    near = cut(simhash.links(seen.select("fp"), radius, within=_all_pairs).select("a", "b").distinct())
+    ends = small(cut(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+    known = cut(seen.join(ends, "fp", "left_semi"))
+    of = lambda c: small(known).select(F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "low", "high")))
+    pairs = near.join(of("a"), "a").join(of("b"), "b")
+    word = F.when(F.col("n_a") > F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+    pairs = pairs.select("a", "b", F.when(F.least("low_a", "low_b") < F.greatest("high_a", "high_b"), word).alias("word"))
+    turned = F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("near")), F.struct(F.col("b").alias("fp"), F.col("a").alias("near")))
+    own = seen.where("low < high").select("fp", F.col("fp").alias("near"), F.col("fp").alias("word"))
+    least = F.least(simhash.unsigned("fp"), F.min(simhash.unsigned("near")))
+    found = together(own, pairs.select("word", F.explode(turned).alias("t")).select("t.*", "word")).groupBy("fp").agg(least.alias("least"), F.collect_set("word").alias("words"))
+    return found.where(F.size("words") > 0).select(F.col("fp").alias("descriptor"), simhash.unsigned("least").alias("least"), "words")
 
 
 def copies(images: DataFrame, decode: Callable[[dict], np.ndarray | None] = grey, columns: tuple[str, ...] = ("width", "pixels"), radius: int = RADIUS) -> DataFrame:
@@ -238,18 +294,14 @@ def copies(images: DataFrame, decode: Callable[[dict], np.ndarray | None] = grey
     rows = stored(described(images.select("id", *columns), decode).withColumn("row", F.monotonically_increasing_id()), "described")
     merged = cut(rows.groupBy("same").agg(F.min("row").alias("row"), F.min("id").alias("first_id"), F.count("*").alias("n")))
     points = rows.join(merged.select("row"), "row", "left_semi").select("row", F.explode("points").alias("p")).select("row", "p.*")
-    seen = stored(points.groupBy(F.col("descriptor").alias("fp")).agg(F.min("row").alias("low"), F.max("row").alias("high")), "seen")
-    near = simhash.links(seen.select("fp"), radius, within=simhash.stars).groupBy(F.col("a").alias("fp")).agg(F.min(simhash.unsigned("b")).alias("b"))
-    near = cut(near.select("fp", simhash.unsigned("b").alias("word")))
-    linked = small(cut(near.select(F.explode(F.array("fp", "word")).alias("fp")).distinct().withColumn("linked", F.lit(True))))
-    words = seen.join(linked, "fp", "left").where("low < high or linked")  # the rest is in one image alone
-    words = words.join(small(near), "fp", "left").withColumn("word", F.coalesce("word", "fp"))
-    several = words.groupBy("word").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("word")  # in several images
-    words = stored(words.select(F.col("fp").alias("descriptor"), "word").join(several, "word"), "words")
-    held = points.join(words, "descriptor").groupBy("row").agg(F.collect_list(F.struct("x", "y", "scale", "turn", "word")).alias("points"))  # as many as an image has
-    keys = stored(held.mapInArrow(_keys, "row long, key long"), "keys")
-    first = cut(keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    linked = spread_join(keys, first, ["key"]).where("row <> first").select("row", "first").distinct()
+    seen = stored(points.groupBy(F.col("descriptor").alias("fp")).agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high")), "seen")
+    words = stored(_words(seen, radius), "words")
+    held = points.join(words, "descriptor").groupBy("row").agg(F.collect_list(F.struct("x", "y", "scale", "turn", "least", "descriptor", "words")).alias("points"))  # as many as an image has
+    keys = stored(held.mapInArrow(_keys, "row long, key long, kind int"), "keys")
+    first = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("row")))
+    found = keys.groupBy("key").agg(first(0).alias("both"), first(1).alias("one"), first(2).alias("two"), F.count("*").alias("n")).where("n > 1 and (both is not null or one + two is not null)")
+    found = cut(found.select("key", F.coalesce("both", F.least("one", "two")).alias("first"), F.col("both").isNull().alias("across"), "n"))
+    linked = spread_join(keys, found, ["key"]).where("row <> first and (not across or kind in (1, 2))").select("row", "first").distinct()
     classes = components(linked, "row", "first")
     named = cut(merged.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row")))
     least = cut(named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))

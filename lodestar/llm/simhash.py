@@ -211,20 +211,36 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def _divided(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """``fp, mask, key`` to ``radius + 1`` rows each: bands of the bits outside ``mask`` join it and the key."""
+    """``fp, mask, path`` to ``radius + 1`` rows each: bands of the bits outside ``mask`` join it, and their number the path."""
     for batch in batches:
-        fp, mask, key = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "mask", "key"))
+        fp, mask, path = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "mask", "path"))
         out = []
         for m in np.unique(mask):
             rows = np.flatnonzero(mask == m)
             left = [b for b in range(64) if not int(m) >> b & 1]
-            for part in np.array_split(left, radius + 1):
+            for i, part in enumerate(np.array_split(left, radius + 1)):
                 band = np.uint64(sum(1 << int(b) for b in part))
-                h = key[rows] ^ ((fp[rows] & band) * GOLDEN + band)
-                h = (h ^ (h >> np.uint64(31))) * GOLDEN
-                out.append((fp[rows], np.full(len(rows), m | band), h ^ (h >> np.uint64(29))))
+                out.append((fp[rows], np.full(len(rows), m | band), path[rows] * np.uint64(radius + 1) + np.uint64(i)))
         columns = [np.concatenate(x).view(np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "mask", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "mask", "path"])
+
+
+def _crowded(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """``path, key`` of the buckets with over ``block`` of the ``n`` rows, marked for broadcast if they are few.
+
+    Nearly every bucket holds a row or two, so buckets are counted only where a cell, which
+    many of them share, holds so many rows.
+    """
+    rows = rows.select("path", _key().alias("key"))
+    cell = F.pmod(F.xxhash64("path", "key"), F.lit(max(1, 4 * n // block)))
+    full = small(cut(rows.groupBy(cell.alias("cell")).count().where(F.col("count") > block).select("cell")))
+    there = rows.withColumn("cell", cell).join(full, "cell", "left_semi")
+    return small(cut(there.groupBy("path", "key").count().where(F.col("count") > block).select("path", "key")))
+
+
+def _key() -> F.Column:
+    """What the members of a bucket agree in; it follows from the row, so it is not shuffled."""
+    return F.col("fp").bitwiseAND(F.col("mask"))
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, within: Callable = forest) -> DataFrame:
@@ -233,21 +249,31 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, within: Call
     They are what ``within`` gives for each bucket: a ``forest`` of all links, or ``stars``.
     """
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, mask = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "mask"))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("path"), pa.array(fp & mask)], ["fp", "path", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, group in grouped(batches, ["key", "mask"]):
+        for rows, group in grouped(keyed(batches), ["path", "key"]):
             a, b = within(rows["fp"].to_numpy().astype(np.int64).view(np.uint64), group, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    schema, keys = "fp long, mask long, key long", ["key", "mask"]
+    schema, keys = "fp long, mask long, path long", ["path", "key"]
     zero = F.lit(0).cast("long")
-    rows, found = fps.select("fp", zero.alias("mask"), zero.alias("key")), None
+    rows, found = fps.select("fp", zero.alias("mask"), zero.alias("path")), None
     while True:
+        n = rows.count() * (radius + 1)
         rows = rows.mapInArrow(lambda b: _divided(b, radius), schema)  # cheap, so made twice rather than written
-        hot = small(cut(rows.groupBy(*keys).count().where(F.col("count") > block).select(*keys)))
-        little = rows.join(hot, keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
+        hot = _crowded(rows, n, block)
+        some = not hot.isEmpty()
+        little = rows.withColumn("key", _key()).join(hot, keys, "left_anti").drop("key") if some else rows
+        little = little.repartition("path", _key()).sortWithinPartitions("path", _key())
         made = little.mapInArrow(run, "a long, b long")
         found = made if found is None else together(found, made)
-        large = rows.join(hot, keys, "left_semi")
+        if not some:
+            return found
+        large = rows.withColumn("key", _key()).join(hot, keys, "left_semi").drop("key")
         free = 64 - F.bit_count("mask")
         found = together(found, _all_linked(large.where(free <= radius)))
         rows = cut(large.where(free > radius))
