@@ -16,6 +16,8 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 SIZE = 1024
 END = 0
 GROUP = 8192
@@ -41,16 +46,23 @@ class Ids:
     """
 
     def __init__(self, file: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.model, self.fast = Tokenizer.from_file(file), None
-        self.model.encode_special_tokens = True
-        spec = json.loads(self.model.to_str())
-        if ranks := byte_ranks(spec):
+        self.file, self.fast = file, None
+        with open(file, encoding="utf-8") as spec:
+            ranks = byte_ranks(json.load(spec))
+        if ranks:
             import tiktoken
 
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def model(self) -> Tokenizer:
+        """Takes several times the memory of ``fast``, so it is only made for a text that needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.file)
+        made.encode_special_tokens = True
+        return made
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast:
             try:
@@ -61,6 +73,12 @@ class Ids:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+@lru_cache(maxsize=1)
+def ids_of(file: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(file)
+
+
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
     """Bytes to id for a byte-level BPE that tiktoken can run, else None."""
     model, split = spec["model"], spec["pre_tokenizer"] or {}
@@ -83,11 +101,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        ids_of = Ids(tokenizer)
+        ids_in = ids_of(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                doc_id, ids = doc_id.as_py(), np.append(ids_of(text.as_py() or ""), np.array([end], "<u4"))
+                doc_id, ids = doc_id.as_py(), np.append(ids_in(text.as_py() or ""), np.array([end], "<u4"))
                 out += ((doc_id, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size]), len(ids)) for at in range(0, len(ids), size))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

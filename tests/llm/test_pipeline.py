@@ -119,3 +119,25 @@ def test_near_duplicates_from_0_8_on(spark, monkeypatch):
         monkeypatch.setattr(resemblance, "COMMON", common)
         gone = {r["doc_id"] for r in resemblance.later_copies(docs).collect()}
         assert [i for i in range(len(texts)) if i not in gone] == want
+
+
+def test_fingerprints_alone_find_near_copies(spark):
+    """Without any shared shingle in the lists, groups of near fingerprints still bring near copies together."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(900)]
+    texts = [" ".join(words[:600]), " ".join(words[300:]), " ".join([*words[:598], "other", "end"]), " ".join(words[600:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").localCheckpoint()
+    made = resemblance._described(docs, resemblance._common(docs)).localCheckpoint()
+    groups = resemblance._near_fingerprints(made.select("doc_id", "n", "fp")).localCheckpoint()
+    assert sorted(r["doc_id"] for r in groups.collect()) == [0, 2]
+    gone = resemblance._later(docs, made, groups.limit(0).localCheckpoint(), groups)
+    assert {r["doc_id"] for g in gone for r in g.collect()} == {2}
+
+
+def test_tokenizer_model_is_made_only_where_needed():
+    from lodestar.llm import packing
+    from lodestar.llm.queries import tokenizer
+
+    ids = packing.ids_of(tokenizer())
+    assert ids is packing.ids_of(tokenizer()) and len(ids("some words")) and "model" not in vars(ids)
+    assert ids("some  words").tolist() == ids.model.encode("some  words", add_special_tokens=False).ids
