@@ -18,10 +18,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import WRITTEN, _delete, stored
 from . import log
 
 BATCH = "batch"
 BUCKET_BYTES = 256 << 20  # of a bucket; compaction deals larger ones into more
+BUCKET_ROWS = 1_000_000  # of a bucket: a task sorts and groups them, however few bytes they are
 COMPACT_AFTER = 8  # batches: a bucket of a table has one file a batch
 
 
@@ -37,8 +39,25 @@ def _bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> None:
     rows.sparkSession.sql(f"DROP TABLE {name}")
 
 
-def _put(rows: DataFrame, path: str, key: str, buckets: int | None, anew: bool, base: int | None = None) -> log.Version:
-    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _enough(buckets: int, rows: int) -> int:
+    """``buckets``, doubled until they hold at most ``BUCKET_ROWS`` on average."""
+    while rows > BUCKET_ROWS * buckets:
+        buckets *= 2
+    return buckets
+
+
+def _first(rows: DataFrame, path: str, key: str, buckets: int | None, anew: bool) -> log.Version:
+    """``_put`` for a store's first batch: the rows are written and counted before they are dealt."""
+    spark = rows.sparkSession
+    draft = stored(rows, "batch")
+    where = WRITTEN.pop()
+    try:
+        return _put(draft, path, key, _enough(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), draft.count()), anew)
+    finally:
+        _delete(spark, where)
+
+
+def _put(rows: DataFrame, path: str, key: str, buckets: int, anew: bool, base: int | None = None) -> log.Version:
     held = log.version(rows.sparkSession, path)
     if BATCH in rows.columns:
         raise ValueError(f"{BATCH} is the store's own column")
@@ -56,14 +75,17 @@ def _put(rows: DataFrame, path: str, key: str, buckets: int | None, anew: bool,
 def append(rows: DataFrame, path: str, key: str, buckets: int | None = None) -> log.Version:
     """Publish ``rows`` behind all that is there; a store that exists keeps its key and buckets, and its columns must be given.
 
-    A new store has as many buckets as shuffles have partitions, unless told otherwise.
+    A new store has as many buckets as shuffles have partitions, unless told otherwise, and more if
+    these would hold over ``BUCKET_ROWS``.
     """
-    return _put(rows, path, key, buckets, False)
+    if exists(rows.sparkSession, path):
+        return _put(rows, path, key, 0, False)
+    return _first(rows, path, key, buckets, False)
 
 
 def rewrite(rows: DataFrame, path: str, key: str, buckets: int | None = None) -> log.Version:
     """Publish ``rows`` in place of all that is there; they may be read from ``path`` itself."""
-    return _put(rows, path, key, buckets, True)
+    return _first(rows, path, key, buckets, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -100,13 +122,15 @@ def without(new: DataFrame, path: str, column: str | None = None) -> DataFrame:
     return new.join(held.hint("merge"), F.col(column or key) == F.col("_held"), "left_anti")
 
 
-def last(spark: SparkSession, path: str, *rest: str, order: Column | None = None) -> DataFrame:
+def last(spark: SparkSession, path: str, *rest: str, order: Column | None = None, buckets: int = 0) -> DataFrame:
     """Of each key (the store's, and ``rest``) the row of the last batch; of several in it the greatest by ``order``, else by all fields.
 
-    Grouped where it lies, as the store's key is among the columns grouped by.
+    Grouped where it lies, as the store's key is among the columns grouped by; a store of fewer
+    than ``buckets`` is dealt into so many first.
     """
-    table = read(spark, path)
-    keys = [log.version(spark, path).layout["key"], *rest]
+    table, layout = read(spark, path), log.version(spark, path).layout
+    keys = [layout["key"], *rest]
+    table = table.repartition(buckets, keys[0]) if buckets > layout["buckets"] else table
     others = [c for c in table.columns if c not in (*keys, BATCH)]
     fields = F.struct(*others)
     rank = F.struct(F.col(BATCH), fields if order is None else order)
@@ -122,20 +146,22 @@ def _size(spark: SparkSession, path: str, held: log.Version) -> int:
 def compact(spark: SparkSession, path: str, *rest: str, order: Column | None = None, bucket_bytes: int = BUCKET_BYTES) -> log.Version:
     """Rewrite the store with the last row of each key; the old version holds until the new one is published.
 
-    Buckets are doubled until they hold at most ``bucket_bytes`` on average.  ``log.Moved`` if a
+    Buckets are doubled until they hold at most ``bucket_bytes`` and ``BUCKET_ROWS`` on average.  ``log.Moved`` if a
     batch came in between, which then is not lost.
     """
     held = log.version(spark, path)
     buckets, size = held.layout["buckets"], _size(spark, path, held)
     while size > bucket_bytes * buckets:
         buckets *= 2
-    return _put(last(spark, path, *rest, order=order), path, held.layout["key"], buckets, True, held.number)
+    buckets = _enough(buckets, read(spark, path).count())
+    return _put(last(spark, path, *rest, order=order, buckets=buckets), path, held.layout["key"], buckets, True, held.number)
 
 
 def compact_when_many(spark: SparkSession, path: str, *rest: str, after: int = COMPACT_AFTER, bucket_bytes: int = BUCKET_BYTES) -> bool:
     """``compact`` a store of over ``after`` batches, or of buckets twice too large, and delete what no version names any more; whether it was done."""
     held = log.version(spark, path)
-    if len(held.batches) <= after and _size(spark, path, held) <= 2 * bucket_bytes * held.layout["buckets"]:
+    fits = len(held.batches) <= after and _size(spark, path, held) <= 2 * bucket_bytes * held.layout["buckets"]
+    if fits and read(spark, path).count() <= 2 * BUCKET_ROWS * held.layout["buckets"]:
         return False
     try:
         compact(spark, path, *rest, bucket_bytes=bucket_bytes)
