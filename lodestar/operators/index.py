@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..storage import cut, dealt, looked_up, small
 
 
 def entity_chunks(triplets: DataFrame) -> DataFrame:
@@ -62,6 +63,23 @@ def first_docs(index: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
     return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _options(names: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """``node, options``: the ``n`` documents that come first after each document ``last`` of ``names`` (``last, entity``).
+
+    ``first`` has ``entity`` and its first documents ``near`` (``draw, next``), in order.  An option
+    is ``draw, entity, next``, and no document is one twice.  Names may repeat.
+    """
+    near = F.slice(F.filter("near", lambda x: x["next"] != F.col("last")), 1, n)  # of an entity, n are enough
+    met = names.join(small(first), "entity").select("last", "entity", F.explode(near).alias("x")).select("last", "entity", "x.draw", "x.next")
+    if n == 1:
+        best = met.groupBy("last").agg(F.min(F.struct("draw", "entity", "next")).alias("o"))
+        return best.select(F.col("last").alias("node"), F.array("o").alias("options"))
+    once = met.groupBy("last", "next").agg(F.min(F.struct("draw", "entity")).alias("o")).select("last", F.struct("o.draw", "o.entity", "next").alias("o"))
+    order = Window.partitionBy("last").orderBy("o")
+    kept = once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return kept.groupBy(F.col("last").alias("node")).agg(F.array_sort(F.collect_list("o")).alias("options"))
+
+
 def chains(index: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFrame:
     """Chains of ``n_docs`` documents, each joined to the next by an entity: one for each start.
 
@@ -69,20 +87,28 @@ def chains(index: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFrame
     smallest draw among those whose document is not in the chain; a chain has at most
     ``n_docs - 1`` documents before, so the first ``n_docs`` of an entity are enough.  Chains
     over the same set of documents count once, the one with the smallest start.
+
+    What may follow hangs on the last document alone, so it is found once for each: most chains
+    go on to the same few documents, which are not joined with their entities for every chain.
+    ``index`` is cut.
     """
-    names = index.select(F.col("doc_id").alias("last"), "entity").distinct()
-    first = first_docs(index, n_docs, config).select("entity", F.col("doc_id").alias("next"), "draw")
-    made = index.select(F.col("doc_id").alias("doc_1")).distinct().withColumn("last", F.col("doc_1"))
-    cols = ["doc_1"]
+    rows = dealt(index, index.count(), "doc_id")
+    names = rows.select(F.col("doc_id").alias("last"), "entity")
+    first = cut(first_docs(rows, n_docs, config).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("draw", F.col("doc_id").alias("next")))).alias("near")))
+    made, cols = None, ["doc_1"]
     for k in range(2, n_docs + 1):
-        near = made.join(names, "last").join(first, "entity")
-        for j in range(1, k):
-            near = near.where(F.col("next") != F.col(f"doc_{j}"))
-        best = F.min(F.struct("draw", "entity", "next")).alias("b")
-        made = near.groupBy(*cols).agg(best).select(*cols, F.col("b.entity").alias(f"bridge_{k - 1}"), F.col("b.next").alias(f"doc_{k}"), F.col("b.next").alias("last"))
+        if made is None:
+            met = _options(names, first, 1).withColumnRenamed("node", "doc_1")
+        else:
+            lasts = small(cut(made.select("last").distinct()))
+            met = looked_up(made, "last", cut(_options(names.join(lasts, "last", "left_semi"), first, k - 1)))
+        chain = F.array(*(f"doc_{j}" for j in range(1, k)))
+        taken = met.withColumn("b", F.get(F.filter("options", lambda o: ~F.array_contains(chain, o["next"])), F.lit(0))).where("b is not null")
+        made = cut(taken.select(*cols, F.col("b.entity").alias(f"bridge_{k - 1}"), F.col("b.next").alias(f"doc_{k}"), F.col("b.next").alias("last")))
         cols += [f"bridge_{k - 1}", f"doc_{k}"]
     same = F.array_sort(F.array(*(f"doc_{k}" for k in range(1, n_docs + 1))))
-    return made.withColumn("docs", same).groupBy("docs").agg(F.min(F.struct(*cols)).alias("c")).select("c.*")
+    sets = dealt(made.withColumn("docs", same), made.count(), "docs")  # a set has at most as many rows as documents
+    return sets.groupBy("docs").agg(F.min(F.struct(*cols)).alias("c")).select("c.*")
 
 
 def summary_clusters(index: DataFrame, n: int, least: int = 2, config: Config = DEFAULT) -> DataFrame:
