@@ -42,17 +42,18 @@ def _word(core: Column) -> Column:
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n_ended, n_open, n_small, n_large``: with a full stop and without, small, and capitalised inside of a sentence.
 
-    One pass and one shuffle, of counts.  Null and blank texts have no words.
+    One pass, and shuffles of counts.  Null and blank texts have no words.
     """
     split = docs.select(tokens(F.col(text)).alias("t"))
 
     def seen(x: Column, i: Column) -> Column:
         before = F.get(F.col("t"), i - 1)
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
-        return F.struct(_core(x).alias("core"), inside.alias("inside"))
+        return F.struct(F.when(F.length(x) <= WORD_CHARS, x).alias("token"), inside.alias("inside"))
 
-    rows = split.select(F.explode(F.transform("t", seen)).alias("s")).select("s.*").where("core is not null")
-    number = lambda c: F.sum(c.cast("long"))
+    times = split.select(F.explode(F.transform("t", seen)).alias("s")).select("s.*").groupBy("token", "inside").agg(F.count("*").alias("n"))
+    rows = times.withColumn("core", _core(F.col("token"))).where("core is not null")  # once for all that are written alike
+    number = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     ended = F.endswith(F.col("core"), F.lit("."))
     return rows.groupBy(_word(F.col("core")).alias("word")).agg(
         number(ended).alias("n_ended"), number(~ended).alias("n_open"), number(F.col("core").rlike(r"^\p{Ll}")).alias("n_small"),
@@ -89,10 +90,16 @@ def _pieces(text: Column) -> Column:
 
 def _joints(docs: DataFrame, learned: Learned) -> DataFrame:
     """``node, joints``: of each text (by digest) the pieces that the next one goes on, where there are any."""
-    pairs = docs.select("_digest", F.posexplode("_pieces").alias("i", "piece"), F.col("_pieces").alias("all"))
-    last, following = F.try_element_at(tokens(F.col("piece")), F.lit(-1)), F.get(tokens(F.get("all", F.col("i") + 1)), F.lit(0))
-    ends = pairs.select("_digest", "i", last.alias("last"), _core(last).alias("a"), _core(following).alias("b"))
-    ends = ends.where("last like '%.' and a is not null").select("_digest", "i", _word(F.col("a")).alias("a"), _word(F.col("b")).alias("b"), F.coalesce(F.col("b").rlike(r"^\p{Lu}"), F.lit(False)).alias("large"))
+    edge = F.lit(WORD_CHARS + 1)  # a longer token has no core, nor has what is cut of it
+
+    def joint(piece: Column, i: Column) -> Column:
+        last = F.regexp_extract(F.right(F.rtrim(piece, F.lit(WHITE)), edge), r"(\S*)$", 1)
+        following = F.regexp_extract(F.left(F.ltrim(F.get("_pieces", i + 1), F.lit(WHITE)), edge), r"^(\S*)", 1)
+        return F.when(F.endswith(last, F.lit(".")), F.struct(i.alias("i"), last.alias("last"), following.alias("following")))
+
+    ends = docs.select("_digest", F.explode(F.filter(F.transform("_pieces", joint), lambda x: x.isNotNull())).alias("j"))
+    ends = ends.select("_digest", "j.i", _core(F.col("j.last")).alias("a"), _core(F.col("j.following")).alias("b")).where("a is not null")
+    ends = ends.select("_digest", "i", _word(F.col("a")).alias("a"), _word(F.col("b")).alias("b"), F.coalesce(F.col("b").rlike(r"^\p{Lu}"), F.lit(False)).alias("large"))
     after = cut(looked_up(ends, "a", learned.abbreviations.select(F.col("word").alias("node"), F.lit(True).alias("short"))).where("short").distinct())
     told = looked_up(after, "b", learned.small.select(F.col("word").alias("node"), F.lit(True).alias("small")))
     return told.where("not (large and coalesce(small, false))").groupBy(F.col("_digest").alias("node")).agg(F.collect_list("i").alias("joints"))
@@ -106,8 +113,9 @@ def with_sentences(docs: DataFrame, learned: Learned, text: str = "text", to: st
     dropped; null and blank texts have none.  Equal texts are split once and the same way; texts
     move only if the table of places behind abbreviations is too large to be sent out.
     """
-    split = docs.withColumns({"_pieces": _pieces(F.coalesce(text, F.lit(""))), "_digest": F.md5(F.coalesce(text, F.lit("")))})
-    found = looked_up(split, "_digest", cut(_joints(split, learned)))
+    named, pieces = docs.withColumn("_digest", F.md5(F.coalesce(text, F.lit("")))), _pieces(F.coalesce(text, F.lit("")))
+    joints = cut(_joints(named.select("_digest", pieces.alias("_pieces")), learned))
+    found = looked_up(named, "_digest", joints).withColumn("_pieces", pieces)
     ends = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), F.coalesce("joints", F.array().cast("array<int>")))
     rows = found.withColumn("_ends", F.array_union(ends, F.array(F.size("_pieces") - 1)))
 
