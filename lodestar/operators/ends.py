@@ -8,12 +8,18 @@ it does if the next word is capitalised here but written small elsewhere.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import SENTENCE_END, WHITE, tokens
+from ..functions.text import SENTENCE_END, WHITE
+from ..functions.vectors import WORD
 from ..storage import cut, looked_up
 
 THRESHOLD = 0.3
@@ -44,14 +50,20 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     One pass, and shuffles of counts.  Null and blank texts have no words.
     """
-    split = docs.select(tokens(F.col(text)).alias("t"))
 
-    def seen(x: Column, i: Column) -> Column:
-        before = F.get(F.col("t"), i - 1)
-        inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
-        return F.struct(F.when(F.length(x) <= WORD_CHARS, x).alias("token"), inside.alias("inside"))
-
-    times = split.select(F.explode(F.transform("t", seen)).alias("s")).select("s.*").groupBy("token", "inside").agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, inner = Counter(), Counter()
+            for x in batch.column(0):
+                words = WORD.findall(x.as_py() or "")
+                every.update(words)
+                inner.update(b for a, b in zip(words, words[1:]) if a[-1] not in ".!?:")
+            rows = [(w, False, n - inner[w]) for w, n in every.items()] + [(w, True, n) for w, n in inner.items()]
+            rows = [r for r in rows if len(r[0]) <= WORD_CHARS and r[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int64()))], ["token", "inside", "n"])
+
+    seen = docs.select(F.col(text).alias("text")).mapInArrow(run, "token string, inside boolean, n long")
+    times = seen.groupBy("token", "inside").agg(F.sum("n").alias("n"))
     rows = times.withColumn("core", _core(F.col("token"))).where("core is not null")  # once for all that are written alike
     number = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     ended = F.endswith(F.col("core"), F.lit("."))
@@ -83,21 +95,41 @@ def learn(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     return Learned(cut(known), cut(counts.where("n_small > n_large").select("word")))
 
 
-def _pieces(text: Column) -> Column:
+STOP = StructType([StructField("i", IntegerType()), StructField("last", StringType()), StructField("following", StringType())])
+_END, _LAST = re.compile(f"([.!?][{WHITE}]+)"), re.compile(f"[^{WHITE}]*$")
+
+
+def _pieces(text: str | None) -> list[str]:
     """Text up to and with the white space behind each . ! or ?"""
-    return F.split(F.regexp_replace(text, r"([.!?]\s+)", f"$1{SENTENCE_END}"), SENTENCE_END)
+    return _END.sub(rf"\1{SENTENCE_END}", text or "").split(SENTENCE_END)
 
 
-def _joints(docs: DataFrame, learned: Learned) -> DataFrame:
-    """``node, joints``: of each text (by digest) the pieces that the next one goes on, where there are any."""
-    edge = F.lit(WORD_CHARS + 1)  # a longer token has no core, nor has what is cut of it
+@F.udf(ArrayType(STOP), useArrow=True)
+def _stops(text: str | None) -> list[tuple[int, str, str | None]]:
+    """The pieces that end with a full stop, their last word and the next one, where there is one; of long words the part that tells that."""
+    pieces, edge, out = _pieces(text), WORD_CHARS + 1, []  # a longer token has no core, nor has what is cut of it
+    for i, piece in enumerate(pieces):
+        last = _LAST.search(piece.rstrip(WHITE)[-edge:]).group()
+        if last.endswith("."):
+            following = WORD.match(pieces[i + 1].lstrip(WHITE)[:edge]) if i + 1 < len(pieces) else None
+            out.append((i, last, following and following.group()))
+    return out
 
-    def joint(piece: Column, i: Column) -> Column:
-        last = F.regexp_extract(F.right(F.rtrim(piece, F.lit(WHITE)), edge), r"(\S*)$", 1)
-        following = F.regexp_extract(F.left(F.ltrim(F.get("_pieces", i + 1), F.lit(WHITE)), edge), r"^(\S*)", 1)
-        return F.when(F.endswith(last, F.lit(".")), F.struct(i.alias("i"), last.alias("last"), following.alias("following")))
 
-    ends = docs.select("_digest", F.explode(F.filter(F.transform("_pieces", joint), lambda x: x.isNotNull())).alias("j"))
+@F.udf(ArrayType(StringType()), useArrow=True)
+def _sentences(text: str | None, joints: list[int] | None) -> list[str]:
+    """The pieces, each that is in ``joints`` put together with the next one; stripped, blank ones dropped."""
+    pieces, on, out, begin = _pieces(text), {*(() if joints is None else joints)}, [], 0
+    for i in range(len(pieces)):
+        if i not in on or i + 1 == len(pieces):
+            out.append("".join(pieces[begin : i + 1]).strip(WHITE))
+            begin = i + 1
+    return [x for x in out if x]
+
+
+def _joints(docs: DataFrame, learned: Learned) -> DataFrame:
+    """``node, joints``: of each text (by digest) the pieces that the next one goes on, where there are any."""
+    ends = docs.select("_digest", F.explode(_stops("_text")).alias("j"))
     ends = ends.select("_digest", "j.i", _core(F.col("j.last")).alias("a"), _core(F.col("j.following")).alias("b")).where("a is not null")
     ends = ends.select("_digest", "i", _word(F.col("a")).alias("a"), _word(F.col("b")).alias("b"), F.coalesce(F.col("b").rlike(r"^\p{Lu}"), F.lit(False)).alias("large"))
     after = cut(looked_up(ends, "a", learned.abbreviations.select(F.col("word").alias("node"), F.lit(True).alias("short"))).where("short").distinct())
@@ -113,15 +145,7 @@ def with_sentences(docs: DataFrame, learned: Learned, text: str = "text", to: st
     dropped; null and blank texts have none.  Equal texts are split once and the same way; texts
     move only if the table of places behind abbreviations is too large to be sent out.
     """
-    named, pieces = docs.withColumn("_digest", F.md5(F.coalesce(text, F.lit("")))), _pieces(F.coalesce(text, F.lit("")))
-    joints = cut(_joints(named.select("_digest", pieces.alias("_pieces")), learned))
-    found = looked_up(named, "_digest", joints).withColumn("_pieces", pieces)
-    ends = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), F.coalesce("joints", F.array().cast("array<int>")))
-    rows = found.withColumn("_ends", F.array_union(ends, F.array(F.size("_pieces") - 1)))
-
-    def sentence(end: Column, j: Column) -> Column:
-        start = F.when(j == 0, F.lit(0)).otherwise(F.get(F.col("_ends"), j - 1) + 1)
-        return F.trim(F.array_join(F.slice("_pieces", start + 1, end - start + 1), ""), F.lit(WHITE))
-
-    made = F.filter(F.transform("_ends", sentence), lambda s: s != "")
-    return rows.withColumn(to, made).select(*(c for c in docs.columns if c != to), to)
+    named = docs.withColumn("_digest", F.md5(F.coalesce(text, F.lit(""))))
+    joints = cut(_joints(named.select("_digest", F.col(text).alias("_text")), learned))
+    found = looked_up(named, "_digest", joints)
+    return found.withColumn(to, _sentences(text, "joints")).select(*(c for c in docs.columns if c != to), to)

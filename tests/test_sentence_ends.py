@@ -97,3 +97,13 @@ def test_nothing_to_learn(spark):
     plain = spark.createDataFrame([(1, "no stop at all", "x"), (1, "no stop at all", "y")], "doc_id long, text string, _n string")
     made = ends.with_sentences(plain, ends.learn(plain))
     assert made.columns == ["doc_id", "text", "_n", "sentences"] and [r["sentences"] for r in made.collect()] == [["no stop at all"]] * 2
+
+
+def test_a_text_is_cut_once_not_for_each_sentence(spark):
+    """No plan splits a text by an expression inside of a loop over its sentences, and odd marks are told apart as before."""
+    docs = spark.createDataFrame([(1, "Dr. Who.\tYes\u00a0no. x\x01y. dr.  "), (2, "a.\u2028 b! Dr. "), (3, None), (4, " \n")], "doc_id long, text string")
+    learned = ends.Learned(spark.createDataFrame([("dr", 1, 0, 1.0)], "word string, n_ended long, n_open long, score double"), spark.createDataFrame([("x", )], "word string"))
+    made = ends.with_sentences(docs, learned)
+    assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r["sentences"] for r in made.collect()}
+    assert got == {1: ["Dr. Who.", "Yes\u00a0no.", "x", "y.", "dr."], 2: ["a.\u2028 b!", "Dr."], 3: [], 4: []}
