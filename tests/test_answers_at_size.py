@@ -6,6 +6,7 @@ import pytest
 
 from lodestar import plans
 from lodestar.config import Config
+from lodestar.functions import vectors
 from lodestar.operators import graph, search, strategies
 
 QUERIES, SQL = plans.load()
@@ -79,3 +80,18 @@ def test_passages_that_the_budget_reaches(spark, tables, tokens):
     a, _ = strategies.iterative(asked, lambda q: strategies.graph_passages(q, world, chunks, config, rounds=4), config)
     b, _ = strategies.iterative(asked, lambda q: strategies.graph_marked(q, world, chunks, config, rounds=4), config, chunks=chunks)
     assert same(a, b)
+
+
+def test_texts_are_embedded_where_they_lie(spark):
+    """No row for a token is shuffled; repeated keys share a vector, null ones have none, whatever white space parts the words."""
+    rows = [(1, "a b\ta"), (2, None), (None, "a"), (3, "É x İ"), (3, "y"), (4, "  ")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    made = vectors.embedded(df, "k", "t")
+
+    plain = {}
+    for r in vectors.token_counts(df.where("k is not null"), ["k"], "t").collect():
+        plain.setdefault(r["k"], [0.0] * 64)[r["bucket"]] = r["value"]
+    got = sorted(((r["k"], r["embedding"]) for r in made.collect()), key=repr)
+    assert got == sorted(((k, plain.get(k, [0.0] * 64)) for k, _ in rows), key=repr)
+    one = vectors.embedded(df.where("k = 1"), "k", "t")
+    assert not {"Generate", "Window"} & set(one._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split())

@@ -78,3 +78,13 @@ def test_few_rows_meet_many_cells_at_once():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000))], ["qid"])
     parts = list(_slices([batch], 4000))
     assert max(p.num_rows for p in parts) * 4000 <= AT_ONCE and sum(p.num_rows for p in parts) == 10_000
+
+
+def test_near_ties_are_told_in_doubles(spark):
+    """Items that differ by less than a float's error keep the order of ``block_top_k``."""
+    base = np.random.default_rng(9).normal(size=8)
+    rows = [(i, [float(x) for x in base + 1e-8 * (i % 37) * np.eye(8)[i % 8]]) for i in range(400)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>").localCheckpoint()
+    asked = items.where("item_id % 40 = 0").withColumnRenamed("item_id", "qid")
+    shown = lambda found: sorted((r["qid"], r["rank"], r["item_id"]) for r in found.collect())
+    assert shown(search.pruned_top_k(asked, items, 9, cell=16, block=50).found) == shown(search.block_top_k(asked, items, 9))
